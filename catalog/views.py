@@ -12,8 +12,19 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 LINE_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+# Stated, not inferred: reading footers for a schema is a job of its own.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "lineitem": "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double,"
+                " l_discount double, l_tax double, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """The columns of a test table that the catalog uses."""
+    return configure(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:

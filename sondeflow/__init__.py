@@ -1,6 +1,6 @@
 """Cleaning, profiling and analysis of wide sensor tables on Spark."""
 
 from .schema import MEASURES, SEASONS, WEEKDAYS
-from .session import configure
+from .session import configure, session
 
-__all__ = ["MEASURES", "SEASONS", "WEEKDAYS", "configure"]
+__all__ = ["MEASURES", "SEASONS", "WEEKDAYS", "configure", "session"]

@@ -1,16 +1,17 @@
 """Exact quantiles of large columns, without sorting or collecting them.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here
-a quantile is found by narrowing: count the readings per equal-width cell of the
-value range, keep the cells that hold a wanted rank, cut those into cells again,
-and at last look at the few distinct values that remain. Every pass is a scan
-with a partial aggregate, so tasks exchange cell counts and not readings, and a
-value that fills a third of the table is one count per task.
+a quantile is found by narrowing. Count the readings per cell of a logarithmic
+scale and keep the cells that hold a wanted rank; cut those into equal cells and
+count again; at last look at the few distinct values that remain. Every pass is
+a scan with a partial aggregate, so tasks exchange cell counts and not readings,
+and a value that fills a third of the table is one count per task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,8 +20,10 @@ from ..scale import BROADCAST_ROWS, materialized, same_keys
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-_LEVELS = 2
-_CELLS = 2048
+# Cells per power of two in the first pass. The offset keeps the cells of
+# positive and negative values apart; no double's exponent reaches it.
+_PER_OCTAVE = 32
+_OFFSET = 40_000
 
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -31,88 +34,89 @@ def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     )
 
 
-def group_table(groups: DataFrame, by: Sequence[str]) -> tuple[DataFrame, bool]:
+def group_table(groups: DataFrame, bounded: bool) -> tuple[DataFrame, bool]:
     """A per-group table, and whether it may be broadcast.
 
-    Without ``by`` it has one row per listed column. Otherwise its size is known
-    only from the data: compute it once and count.
+    A table that is bounded by construction passes as it is. The size of any
+    other is known only from the data: compute it once and count.
     """
-    if not by:
+    if bounded:
         return groups, True
     groups = materialized(groups)
     return groups, groups.count() <= BROADCAST_ROWS
 
 
-def with_group(values: DataFrame, groups: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
+def with_group(values: DataFrame, groups: DataFrame, keys: list[str], small: bool) -> DataFrame:
     """Put the columns of a per-group table next to every value of the group."""
     theirs = {k: f"__{k}" for k in keys}
     groups = groups.withColumnsRenamed(theirs)
     return values.join(
-        F.broadcast(groups) if bounded else groups, same_keys(theirs)
+        F.broadcast(groups) if small else groups, same_keys(theirs)
     ).drop(*theirs.values())
 
 
-def _ranks(total: Column, probabilities: Sequence[float]) -> Column:
-    """The zero-based ranks on either side of each wanted quantile."""
-    sides = []
-    for p in probabilities:
-        at = F.lit(float(p)) * (total - 1)
-        sides += [F.floor(at), F.ceil(at)]
-    return F.array_distinct(F.array(*sides))
+def _log_cell(value: Column) -> Column:
+    """Cell on a scale with equal ratios; it never decreases with the value.
 
+    It needs no knowledge of the data and copes with long tails.
+    """
+    size = F.floor(F.least(F.log2(F.abs(value)) * _PER_OCTAVE, F.lit(33_000.0))) + _OFFSET
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
 
-def _cell(value: Column, low: Column, high: Column, cells: int) -> Column:
-    """Number of the equal-width cell; it never decreases with the value.
 
-    A range with an infinite end is first cut into its ends and the rest.
-    """
-    infinity = F.lit(float("inf"))
-    width = high - low
-    return (
-        F.when(
-            (width > 0) & (width < infinity),
-            F.least(F.floor((value - low) / width * cells), F.lit(cells - 1)),
-        )
-        .when(value == -infinity, F.lit(0))
-        .when(value == infinity, F.lit(2))
-        .otherwise(F.lit(1))
+def _equal_cell(value: Column, low: Column, high: Column, cells: int) -> Column:
+    """Cell of equal width between two finite values, or 0 for a single value."""
+    at = F.floor((value - low) / (high - low) * cells)
+    return F.when(high > low, F.least(at, F.lit(cells - 1))).otherwise(F.lit(0))
+
+
+def _sides(total: Column, probabilities: Sequence[float]) -> list[tuple[Column, Column]]:
+    """For each quantile the zero-based ranks on either side of its position."""
+    at = [F.lit(float(p)) * (total - 1) for p in probabilities]
+    return [(F.floor(a), F.ceil(a)) for a in at]
+
+
+def _with_ranks(cells: DataFrame, keys: list[str], *extra: str) -> DataFrame:
+    """Number the readings through the cells: this cell holds ``below..upto-1``."""
+    running = Window.partitionBy(*keys, *extra).orderBy("cell").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    start = F.col("start") if "start" in cells.columns else F.lit(0)
+    return cells.withColumn("upto", start + F.sum("n").over(running)).withColumn(
+        "below", F.col("upto") - F.col("n")
+    )
+
+
+def _holds(rank: Column) -> Column:
+    return (rank >= F.col("below")) & (rank < F.col("upto"))
+
+
+def _wanted(ranked: DataFrame, keys: list[str], probabilities: Sequence[float]) -> DataFrame:
+    """The cells that hold a wanted rank."""
+    ranks = [r for pair in _sides(F.col("total"), probabilities) for r in pair]
+    return ranked.where(reduce(lambda a, b: a | b, map(_holds, ranks))).select(
+        *keys, "total", "low", "high", F.col("below").alias("start")
     )
 
 
-def _narrow(
-    values: DataFrame,
-    intervals: DataFrame,
-    keys: list[str],
-    bounded: bool,
-    cell: Callable[[Column, Column, Column], Column],
-    probabilities: Sequence[float],
+def _inside(
+    values: DataFrame, cells: DataFrame, keys: list[str], small: bool, cell: Column
 ) -> DataFrame:
-    """Cut intervals into cells; keep one row per wanted rank and its cell."""
-    value = F.col("value")
-    cells = (
-        with_group(values, intervals, keys, bounded)
-        .where(value.between(F.col("low"), F.col("high")))
-        .groupBy(*keys, F.col("low").alias("from"), cell(value, F.col("low"), F.col("high")).alias("cell"))
+    """Readings per finer cell of the given cells."""
+    hit = F.col("value").between(F.col("low"), F.col("high"))
+    counted = (
+        with_group(values, cells, keys, small).where(hit)
+        .groupBy(*keys, F.col("low").alias("from"), cell.alias("cell"))
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.min(value).alias("least"),
-            F.max(value).alias("most"),
-            F.max("below").alias("below"),
+            F.min("value").alias("__low"),
+            F.max("value").alias("__high"),
+            F.max("start").alias("start"),
             F.max("total").alias("total"),
         )
-        .withColumnsRenamed({"least": "low", "most": "high"})
-    )
-    in_order = Window.partitionBy(*keys, "from").orderBy("cell").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    rank = F.col("rank")
-    return (
-        cells.withColumn("upto", F.col("below") + F.sum("n").over(in_order))
-        .withColumn("below", F.col("upto") - F.col("n"))
-        .withColumn("rank", F.explode(_ranks(F.col("total"), probabilities)))
-        .where((rank >= F.col("below")) & (rank < F.col("upto")))
-        .select(*keys, "total", "rank", "low", "high", "below")
+        .withColumnsRenamed({"__low": "low", "__high": "high"})
     )
+    return _with_ranks(counted, keys, "from")
 
 
 def exact_quantiles(
@@ -120,8 +124,8 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float] = QUARTILES,
     by: Sequence[str] = (),
-    levels: int = _LEVELS,
-    cells: int = _CELLS,
+    levels: int = 1,
+    cells: int = 4096,
 ) -> DataFrame:
     """Quantiles with linear interpolation, per column and group.
 
@@ -132,31 +136,35 @@ def exact_quantiles(
     """
     keys = [*by, "parameter"]
     values = long_values(df, columns, by)
-    extent = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
+    value = F.col("value")
+    coarse = values.groupBy(*keys, _log_cell(value).alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")
     )
-    extent, bounded = group_table(extent, by)
-    intervals = extent.withColumn("below", F.lit(0).cast("bigint"))
-
+    ranked = _with_ranks(coarse, keys).withColumn(
+        "total", F.sum("n").over(Window.partitionBy(*keys))
+    )
+    # Without groups: at most two cells per quantile of each listed column.
+    found, small = group_table(_wanted(ranked, keys, probabilities), bounded=not by)
     for _ in range(levels):
-        found = _narrow(
-            values, intervals, keys, bounded,
-            lambda v, low, high: _cell(v, low, high, cells), probabilities,
-        )
-        intervals = found.drop("rank").distinct()
-    found = _narrow(values, intervals, keys, bounded, lambda v, low, high: v, probabilities)
-
-    total = F.max("total")
-    quantiles = []
-    for i, p in enumerate(probabilities):
-        at = F.lit(float(p)) * (F.col("total") - 1)
-        below = F.max(F.when(F.col("rank") == F.floor(at), F.col("low")))
-        above = F.max(F.when(F.col("rank") == F.ceil(at), F.col("low")))
-        share = F.lit(float(p)) * (total - 1) - F.floor(F.lit(float(p)) * (total - 1))
-        quantiles.append((below + (above - below) * share).alias(f"q{i}"))
-    return found.groupBy(*keys).agg(total.alias("n"), *quantiles)
+        finer = _equal_cell(value, F.col("low"), F.col("high"), cells)
+        found = _wanted(_inside(values, found, keys, small, finer), keys, probabilities)
+    ranked = _inside(values, found, keys, small, value)
+
+    quantiles, share = [], []
+    for i, (lower, upper) in enumerate(_sides(F.col("total"), probabilities)):
+        quantiles += [
+            F.max(F.when(_holds(lower), F.col("low"))).alias(f"a{i}"),
+            F.max(F.when(_holds(upper), F.col("low"))).alias(f"b{i}"),
+        ]
+    for p in probabilities:
+        at = F.lit(float(p)) * (F.col("n") - 1)
+        share.append(at - F.floor(at))
+    found = ranked.groupBy(*keys).agg(F.max("total").alias("n"), *quantiles)
+    return found.select(*keys, "n", *[
+        F.when(F.col(f"a{i}") == F.col(f"b{i}"), F.col(f"a{i}"))
+        .otherwise(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * s).alias(f"q{i}")
+        for i, s in enumerate(share)
+    ])
 
 
 def sketched_quantiles(

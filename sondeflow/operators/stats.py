@@ -101,7 +101,7 @@ def box_stats(
     and never inside the box.
     """
     keys = [*by, "parameter"]
-    fences, bounded = group_table(_fences(_quartiles(df, columns, by, exact)), by)
+    fences, bounded = group_table(_fences(_quartiles(df, columns, by, exact)), bounded=not by)
     value = F.col("value")
     inside = value.between(F.col("lower_fence"), F.col("upper_fence"))
     r = lambda c: rounded(c, digits)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cleaning import clean
 from ..operators.quality import assert_clean
-from ..session import configure
+from ..session import configure, session
 from ..sources import read_clean_parquet, read_raw_csv, register_view, write_clean_parquet
 
 
@@ -57,7 +57,7 @@ def main() -> None:
     parser.add_argument("clean_path")
     parser.add_argument("--rebalance", action="store_true", help="raw files are not in time order")
     options = parser.parse_args()
-    spark = SparkSession.builder.appName("materialize readings").getOrCreate()
+    spark = session("materialize readings")
     try:
         materialize(spark, options.raw_path, options.clean_path, rebalance=options.rebalance)
     finally:

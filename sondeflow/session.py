@@ -15,6 +15,21 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+#: Settings that only a new session can take. Capturing the caller's source line
+#: for every column expression takes longer than planning the query.
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
+def session(name: str = "sensor analytics", **options: str) -> SparkSession:
+    """A session with the settings the operators rely on.
+
+    Cluster, memory and parallelism come from ``spark-submit`` or ``options``.
+    """
+    builder = SparkSession.builder.appName(name)
+    for key, value in {**SETTINGS, **STATIC_SETTINGS, **options}.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a session that somebody else built."""
