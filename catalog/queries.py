@@ -78,7 +78,7 @@ def row_count(df):
 
 @query(long_range)
 def filtered_row_count(df):
-    return overview.filtered_row_count(df, filters.in_seasons(df, ["Summer", "Winter"]))
+    return overview.filtered_row_count(df, filters.selected(["Summer", "Winter"]))
 
 
 @query(readings)

@@ -9,11 +9,19 @@ from .calendar import (
     season_of,
     weekday_name,
 )
-from .numeric import missing_share, nan_to_null, ratio, rounded, steady_mean
+from .numeric import (
+    mean_of,
+    missing_share,
+    nan_to_null,
+    ratio,
+    rounded,
+    steady_mean,
+    steady_total,
+)
 from .reshape import one_row_per_column
 
 __all__ = [
-    "as_category", "band", "missing_share", "month_index", "nan_to_null",
+    "as_category", "band", "mean_of", "missing_share", "month_index", "nan_to_null",
     "one_row_per_column", "ordinal", "period", "ratio", "rounded", "season_of",
-    "steady_mean", "weekday_name",
+    "steady_mean", "steady_total", "weekday_name",
 ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, WindowSpec, functions as F
 
-# steady_mean adds the low and high parts of each value separately, so that
+# steady_total adds the low and high parts of each value separately, so that
 # neither sum leaves the 64-bit range before 2**43 rows.
 _LOW_BITS = 20
 
@@ -33,26 +33,44 @@ def missing_share(column: str | Column, scale: float = 100.0) -> Column:
     return ratio(F.lit(scale) * F.count_if(_col(column).isNull()), F.count(F.lit(1)))
 
 
-def steady_mean(
+def steady_total(
     column: str | Column,
     resolution: int | None = None,
     over: WindowSpec | None = None,
 ) -> Column:
-    """Mean of the non-missing values, as an aggregate or over a window.
+    """Sum of the non-missing values, as an aggregate or over a window.
 
     A sum of doubles depends on the order of its terms in the last bits, which
     is enough to flip a rounding tie or a threshold when partitions change. When
     the sensor's ``resolution`` (number of decimals) is given, values are added
-    as whole multiples of that step, and the result is the same for every
-    partitioning. The step count of a value must stay below 2**40.
+    as whole multiples of that step: the result counts steps, and is the same
+    for every partitioning. The steps of one value must stay below 2**40.
     """
     value = _col(column)
     bind = (lambda c: c.over(over)) if over is not None else (lambda c: c)
     if resolution is None:
-        return bind(F.avg(value))
-    step = float(10**resolution)
-    units = F.rint(value * step).cast("bigint")
-    high = bind(F.sum(F.shiftright(units, _LOW_BITS))).cast("decimal(38,0)")
-    low = bind(F.sum(units.bitwiseAND((1 << _LOW_BITS) - 1))).cast("decimal(38,0)")
-    total = (high * F.lit(1 << _LOW_BITS).cast("decimal(10,0)") + low).cast("double")
-    return ratio(total, bind(F.count(value)) * F.lit(step))
+        return bind(F.sum(value))
+    units = F.rint(value * float(10**resolution)).cast("bigint")
+    high = bind(F.sum(F.shiftright(units, _LOW_BITS))).cast("decimal(28,0)")
+    low = bind(F.sum(units.bitwiseAND((1 << _LOW_BITS) - 1))).cast("decimal(28,0)")
+    return (high * F.lit(1 << _LOW_BITS).cast("decimal(8,0)") + low).cast("decimal(38,0)")
+
+
+def mean_of(total: Column, count: Column, resolution: int | None = None) -> Column:
+    """Mean from a steady total and a count, with a single rounding."""
+    step = 1.0 if resolution is None else float(10**resolution)
+    return ratio(total.cast("double"), count * F.lit(step))
+
+
+def steady_mean(
+    column: str | Column,
+    resolution: int | None = None,
+    over: WindowSpec | None = None,
+) -> Column:
+    """Mean of the non-missing values; see :func:`steady_total`."""
+    value = _col(column)
+    if resolution is None:
+        mean = F.avg(value)
+        return mean if over is None else mean.over(over)
+    count = F.count(value) if over is None else F.count(value).over(over)
+    return mean_of(steady_total(value, resolution, over), count, resolution)

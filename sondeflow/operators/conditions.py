@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from ..functions import band, one_row_per_column, ratio, rounded, steady_mean
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions import (
+    band,
+    mean_of,
+    one_row_per_column,
+    ratio,
+    rounded,
+    steady_mean,
+    steady_total,
+)
 from .filters import inside
 
 
@@ -97,16 +105,19 @@ def months_above_overall_mean(
 ) -> DataFrame:
     """Months whose mean exceeds ``factor`` times the mean of all readings.
 
-    The overall mean comes from a second aggregate over the one column; it is a
-    single row, so it is broadcast.
+    The overall mean follows from the months' totals, so readings are read once;
+    the window runs over months.
     """
-    kept = df.where(F.col(column).isNotNull())
-    months = kept.groupBy(year_column, month_column).agg(
-        steady_mean(column, resolution).alias("mean")
+    every = Window.partitionBy()
+    months = (
+        df.where(F.col(column).isNotNull())
+        .groupBy(year_column, month_column)
+        .agg(steady_total(column, resolution).alias("total"), F.count(column).alias("n"))
     )
-    overall = kept.agg(steady_mean(column, resolution).alias("overall"))
+    overall = mean_of(F.sum("total").over(every), F.sum("n").over(every), resolution)
     return (
-        months.crossJoin(F.broadcast(overall))
+        months.withColumn("mean", mean_of(F.col("total"), F.col("n"), resolution))
+        .withColumn("overall", overall)
         .where(F.col("mean") > F.col("overall") * factor)
         .select(year_column, month_column, rounded(F.col("mean"), digits).alias("mean"))
         .orderBy(F.col("mean").desc(), year_column, month_column)

@@ -12,9 +12,14 @@ from ..functions import month_index
 Window = tuple[str, str, str]
 
 
+def selected(seasons: Sequence[str], column: str = "season") -> Column:
+    """Whether a row's season is selected; an empty selection selects nothing."""
+    return F.col(column).isin(list(seasons))
+
+
 def in_seasons(df: DataFrame, seasons: Sequence[str], column: str = "season") -> DataFrame:
     """Keep the selected seasons; an empty selection keeps nothing."""
-    return df.where(F.col(column).isin(list(seasons)))
+    return df.where(selected(seasons, column))
 
 
 def with_values(df: DataFrame, column: str) -> DataFrame:

@@ -89,6 +89,9 @@ def interval_counts(
         df.where(F.col(timestamp_column).isNotNull())
         .groupBy(_micros(timestamp_column).alias("t"))
         .agg(F.count(F.lit(1)).alias("copies"))
+        # Always true; it makes both uses below need the same columns, so that
+        # they share one scan and one shuffle.
+        .where(F.col("copies") > 0)
         .withColumn("slot", _floor(F.col("t"), _MINUTE))
     )
     in_slot = Window.partitionBy("slot").orderBy("t")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import one_row_per_column
 
@@ -14,11 +14,11 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_rows"))
 
 
-def filtered_row_count(df: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of a filtered frame next to the rows of the whole one."""
-    return (
-        kept.agg(F.count(F.lit(1)).alias("filtered_rows"))
-        .crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total_rows"))))
+def filtered_row_count(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition next to all rows."""
+    return df.agg(
+        F.count_if(condition).alias("filtered_rows"),
+        F.count(F.lit(1)).alias("total_rows"),
     )
 
 

@@ -49,13 +49,17 @@ def range_counts(df: DataFrame, rules: Sequence[RangeRule] = PHYSICAL_RULES) ->
     return {r["check"]: r["failing_rows"] for r in range_report(df, rules).collect()}
 
 
+def breaks_any(df: DataFrame, rules: Sequence[RangeRule]) -> Column:
+    """Whether a row breaks at least one rule."""
+    tests = [t for t in (out_of_range(df, r) for r in rules) if t is not None]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
 def implausible_rows(
     df: DataFrame, rules: Sequence[RangeRule] = PHYSICAL_RULES, name: str = "failing_rows"
 ) -> DataFrame:
     """Number of rows that break at least one rule."""
-    tests = [t for t in (out_of_range(df, r) for r in rules) if t is not None]
-    broken = reduce(lambda a, b: a | b, tests, F.lit(False))
-    return df.agg(F.count_if(broken).alias(name))
+    return df.agg(F.count_if(breaks_any(df, rules)).alias(name))
 
 
 def negative_rows(df: DataFrame, columns: Sequence[str], name: str = "negative_value_rows") -> DataFrame:
@@ -130,13 +134,16 @@ def quality_summary(
     raw_key: str | None = None,
 ) -> DataFrame:
     """Six headline numbers of a cleaning run, all computed from the data."""
-    numbers = (
-        raw.agg(F.count(F.lit(1)).alias("original"))
-        .crossJoin(F.broadcast(excess_rows(raw, name="copies")))
-        .crossJoin(F.broadcast(excess_rows(raw, [raw_key or key], name="repeats")))
-        .crossJoin(F.broadcast(implausible_rows(cleaned, rules, name="implausible")))
-        .crossJoin(F.broadcast(cleaned.agg(F.count(F.lit(1)).alias("final"))))
+    copies = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("original"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("copies"),
+    )
+    final = cleaned.agg(
+        F.count_if(breaks_any(cleaned, rules)).alias("implausible"),
+        F.count(F.lit(1)).alias("final"),
     )
+    repeats = excess_rows(raw, [raw_key or key], name="repeats")
+    numbers = copies.crossJoin(F.broadcast(repeats)).crossJoin(F.broadcast(final))
     return one_row_per_column(numbers, "metric", {
         "Original records": {"value": F.col("original")},
         "Fully duplicated rows found": {"value": F.col("copies")},

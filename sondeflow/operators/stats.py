@@ -197,40 +197,40 @@ def _pearson(a: str, b: str) -> Column:
     return ratio(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def _correlations(df: DataFrame, columns: Sequence[str], mirrored: bool) -> DataFrame:
+    """Correlations in long form, from one aggregate over all columns."""
+    pairs = list(combinations(columns, 2))
+    wide = df.agg(
+        *[_pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
+        *([F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)] if mirrored else []),
+    )
+    entries = [(a, b, F.col(f"r{i}")) for i, (a, b) in enumerate(pairs)]
+    if mirrored:
+        entries += [(b, a, r) for a, b, r in entries]
+        entries += [
+            (c, c, F.when(F.col(f"s{i}") > 0, F.lit(1.0))) for i, c in enumerate(columns)
+        ]
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("r"))
+        for a, b, r in entries
+    ])))
+
+
 def correlation_pairs(
     df: DataFrame, columns: Sequence[str], digits: int | None = None
 ) -> DataFrame:
-    """Pearson correlation of every pair of columns, in one aggregate.
+    """Pearson correlation of every pair of columns, in column order.
 
-    The pairs above the diagonal, in column order.
+    Each pair uses the rows that have both values.
     """
-    pairs = list(combinations(range(len(columns)), 2))
-    wide = df.agg(*[_pearson(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in pairs])
-    rows = F.array(*[
-        F.struct(
-            F.lit(columns[i]).alias("column_a"),
-            F.lit(columns[j]).alias("column_b"),
-            rounded(F.col(f"r{i}_{j}"), digits).alias("r"),
-        )
-        for i, j in pairs
-    ])
-    return wide.select(F.inline(rows))
+    return _correlations(df, columns, False).withColumn("r", rounded(F.col("r"), digits))
 
 
 def correlation_matrix(
     df: DataFrame, columns: Sequence[str], digits: int | None = None
 ) -> DataFrame:
     """The full symmetric matrix in long form; the diagonal is 1 where defined."""
-    pairs = correlation_pairs(df, columns)
-    spread = df.agg(*[F.stddev_pop(c).alias(c) for c in columns])
-    diagonal = one_row_per_column(spread, "column_a", {
-        c: {"column_b": F.lit(c), "r": F.when(F.col(c) > 0, F.lit(1.0))} for c in columns
-    })
-    both = pairs.select(F.inline(F.array(
-        F.struct("column_a", "column_b", "r"),
-        F.struct(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r"),
-    )))
-    return both.unionByName(diagonal).withColumn("r", rounded(F.col("r"), digits))
+    return _correlations(df, columns, True).withColumn("r", rounded(F.col("r"), digits))
 
 
 def strongest_correlation(

@@ -127,10 +127,21 @@ def daily_mean(
     )
 
 
-def calendar_days(bounds: DataFrame, first: str = "first", last: str = "last") -> DataFrame:
-    """Every day from first to last, from a one-row table of bounds."""
-    return bounds.select(
-        F.explode(F.sequence(F.col(first), F.col(last), F.expr("interval 1 day"))).alias("date")
+def fill_calendar(days: DataFrame, columns: Sequence[str], date_column: str = "date") -> DataFrame:
+    """Add the missing days between the first and the last, with NULL values.
+
+    Each day is followed by the days up to the next one present, so nothing has
+    to be joined or read twice. Days are few (the date type itself ends at 3.7
+    million), whatever the number of readings behind them.
+    """
+    following = F.lead(date_column).over(Window.orderBy(date_column))
+    until = F.coalesce(F.date_sub(following, 1), F.col(date_column))
+    return days.withColumn("__until", until).select(
+        F.explode(F.sequence(F.col(date_column), F.col("__until"), F.expr("interval 1 day"))).alias("__day"),
+        *days.columns,
+    ).select(
+        F.col("__day").alias(date_column),
+        *[F.when(F.col("__day") == F.col(date_column), F.col(c)).alias(c) for c in columns],
     )
 
 
@@ -143,16 +154,14 @@ def daily_means_calendar(
     """Daily means of several columns on the full calendar.
 
     Every day from the first to the last reading has a row; a day without values
-    has NULL. Days are few (the date type itself ends at 3.7 million), so the
-    calendar join is small whatever the number of readings.
+    has NULL.
     """
     daily = (
         df.where(F.col(timestamp_column).isNotNull())
         .groupBy(F.to_date(timestamp_column).alias("date"))
         .agg(*[steady_mean(c, resolution).alias(c) for c in columns])
     )
-    bounds = daily.agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    return calendar_days(bounds).join(daily, "date", "left")
+    return fill_calendar(daily, columns)
 
 
 def daily_mean_calendar(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from ..operators.cleaning import present_measures
-from ..operators.filters import Window, annotate_events, in_seasons
+from ..operators.filters import Window, annotate_events, in_seasons, selected
 from ..operators.missingness import missing_pct
 from ..operators.overview import filtered_row_count
 from ..operators.stats import box_stats, correlation_matrix
@@ -25,7 +25,7 @@ def dashboard_frames(
     """Headline numbers, daily trend, seasonal boxes, hour pattern, correlation."""
     kept = in_seasons(df, seasons)
     return {
-        "rows": filtered_row_count(df, kept),
+        "rows": filtered_row_count(df, selected(seasons)),
         "missing": missing_pct(kept, parameter, digits=1),
         "daily_trend": annotate_events(daily_mean_calendar(kept, parameter), windows).orderBy("date"),
         "season_boxes": box_stats(kept, [parameter], by=["season"]),

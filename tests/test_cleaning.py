@@ -1,0 +1,197 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F, types as T
+
+from sondeflow.functions import as_category, ordinal, season_of
+from sondeflow.operators import cleaning, duplicates, missingness, quality
+from sondeflow.schema import MEASURES, SEASONS, WEEKDAYS
+
+from conftest import raw_frame, readings, rows, to_spark
+
+
+def test_rename_gives_clean_names(raw):
+    names = cleaning.rename_columns(raw).columns
+    assert {"timestamp", "record_number", "dissolved_oxygen_pct_sat"} <= set(names)
+    assert not {"Timestamp", "Dissolved Oxygen (%Saturation)"} & set(names)
+
+
+def test_rename_twice_is_rename_once(raw):
+    once = cleaning.rename_columns(raw)
+    assert cleaning.rename_columns(once).columns == once.columns
+
+
+def test_rename_skips_absent_and_keeps_unknown(spark):
+    df = spark.createDataFrame([(1.0, "x")], "`pH` double, `Station note` string")
+    assert cleaning.rename_columns(df).columns == ["ph", "Station note"]
+
+
+def test_all_measures_after_rename(raw):
+    assert set(MEASURES) <= set(cleaning.rename_columns(raw).columns)
+
+
+def test_timestamp_is_typed_and_keeps_its_value(raw):
+    before = cleaning.rename_columns(raw)
+    after = cleaning.convert_timestamp(before)
+    assert isinstance(before.schema["timestamp"].dataType, T.StringType)
+    assert isinstance(after.schema["timestamp"].dataType, T.TimestampType)
+    assert after.orderBy("record_number").first()["timestamp"] == dt.datetime(2023, 8, 4)
+
+
+def test_malformed_timestamp_raises_or_becomes_null(spark):
+    df = spark.createDataFrame([("2024-01-01 00:00:00",), ("not a time",)], "timestamp string")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|CANNOT_PARSE_TIMESTAMP"):
+        cleaning.convert_timestamp(df).collect()
+    kept = cleaning.convert_timestamp(df, malformed="null")
+    assert kept.where(F.col("timestamp").isNull()).count() == 1
+
+
+def test_nan_becomes_null(clean):
+    assert clean.where(F.col("turbidity_quality").isNull()).count() == 400
+
+
+def test_clean_keeps_every_row(raw, clean):
+    assert clean.count() == raw.count()
+
+
+def test_no_duplicates_in_clean_data(clean):
+    assert duplicates.full_duplicates(clean).count() == 0
+    assert duplicates.duplicate_key_rows(clean, "record_number").count() == 0
+
+
+def test_injected_duplicate_row_gives_both_copies(clean):
+    found = duplicates.full_duplicates(clean.unionByName(clean.orderBy("timestamp").limit(1)))
+    assert found.count() == 2
+    assert found.columns == clean.columns
+
+
+def test_injected_duplicate_number_gives_both_rows(clean):
+    again = clean.where("record_number = 1005").withColumn("turbidity", F.lit(1.0))
+    found = duplicates.duplicate_key_rows(clean.unionByName(again), "record_number")
+    assert found.count() == 2
+    assert found.select("record_number").distinct().count() == 1
+
+
+def test_nothing_missing_in_clean_data(clean):
+    assert {r[1:] for r in rows(missingness.missingness_summary(clean, MEASURES))} == {(0, 0.0)}
+
+
+def test_injected_missing_values_are_counted(clean):
+    holes = clean.withColumn(
+        "temperature", F.when(F.col("record_number") >= 1010, F.col("temperature"))
+    )
+    summary = {r[0]: r[1:] for r in rows(missingness.missingness_summary(holes, MEASURES))}
+    assert summary["temperature"] == (10, round(10 / 400 * 100, 2))
+
+
+def test_missingness_lists_the_worst_first(clean):
+    holes = clean.withColumns({
+        "salinity": F.when(F.col("record_number") >= 1050, F.col("salinity")),
+        "turbidity": F.when(F.col("record_number") >= 1005, F.col("turbidity")),
+    })
+    listed = [r[0] for r in rows(missingness.missingness_summary(holes, MEASURES))]
+    assert listed[:2] == ["salinity", "turbidity"]
+
+
+def test_ranges_hold_in_clean_data(clean):
+    assert set(quality.range_counts(clean).values()) == {0}
+    assert set(quality.range_counts(clean)) == {
+        "invalid_ph", "invalid_water_direction", "implausible_do_saturation", "negative_values",
+    }
+
+
+@pytest.mark.parametrize("column, value, check", [
+    ("ph", 20.0, "invalid_ph"),
+    ("water_direction", 400.0, "invalid_water_direction"),
+    ("dissolved_oxygen_pct_sat", 201.0, "implausible_do_saturation"),
+    ("turbidity", -5.0, "negative_values"),
+])
+def test_injected_faults_are_found(clean, column, value, check):
+    faulty = clean.withColumn(
+        column, F.when(F.col("record_number") == 1000, F.lit(value)).otherwise(F.col(column))
+    )
+    assert quality.range_counts(faulty) == {**quality.range_counts(clean), check: 1}
+
+
+def test_missing_values_and_absent_columns_never_fail(spark):
+    df = spark.createDataFrame([(None, 0.0), (14.0, None)], "ph double, turbidity double")
+    assert quality.range_counts(df) == {"invalid_ph": 0, "negative_values": 0}
+    assert quality.range_counts(df.select(F.lit(1).alias("other"))) == {}
+
+
+def test_time_features(clean):
+    row = clean.orderBy("timestamp").select(
+        "year", "month", "day", "hour", "day_of_week", "season"
+    ).first()
+    assert tuple(row) == (2023, 8, 4, 0, "Friday", "Winter")
+    assert clean.where("month = 8 and season <> 'Winter'").count() == 0
+    assert {r[0] for r in rows(clean.select("season").distinct())} <= set(SEASONS)
+
+
+def test_seasons_follow_the_hemisphere(spark):
+    months = spark.range(1, 13).select(F.col("id").cast("int").alias("m"))
+    south = dict(rows(months.select("m", season_of(F.col("m")))))
+    north = dict(rows(months.select("m", season_of(F.col("m"), southern=False))))
+    assert [south[m] for m in (12, 1, 2, 3, 5, 6, 8, 9, 11)] == (
+        ["Summer"] * 3 + ["Autumn"] * 2 + ["Winter"] * 2 + ["Spring"] * 2
+    )
+    assert [north[m] for m in (12, 3, 6, 9)] == ["Winter", "Spring", "Summer", "Autumn"]
+    assert rows(spark.range(1).select(season_of(F.lit(None).cast("int")))) == [(None,)]
+
+
+def test_weekday_names(spark):
+    days = readings(spark, [(f"2024-01-0{d}", 0.0) for d in range(1, 8)])
+    named = cleaning.add_time_features(days).orderBy("timestamp").select("day_of_week")
+    assert [r[0] for r in rows(named)] == WEEKDAYS
+
+
+def test_category_orders(spark):
+    df = spark.createDataFrame([("Winter",), ("Monsoon",), (None,)], "season string")
+    found = df.select(as_category("season", SEASONS), ordinal("season", SEASONS))
+    assert rows(found) == [("Winter", 3), (None, None), (None, None)]
+
+
+def test_present_measures(clean):
+    some = clean.select("turbidity", "season", "ph")
+    assert cleaning.select_measures(some).columns == ["ph", "turbidity"]
+
+
+def gate_input(spark, n=2000):
+    frame = raw_frame(n, hours=4)[["Timestamp", "Record number"]]
+    return cleaning.clean(to_spark(spark, frame))
+
+
+def test_gate_passes_and_fails(spark):
+    df = gate_input(spark)
+    quality.assert_clean(df, 2000)
+    with pytest.raises(AssertionError, match="row_count_unchanged"):
+        quality.assert_clean(df.limit(1999), 2000)
+    with pytest.raises(AssertionError, match="key_unique"):
+        quality.assert_clean(df.withColumn("record_number", F.lit(0)), 2000)
+
+
+def test_gate_reports_every_kind_of_failure(spark):
+    df = gate_input(spark)
+    broken = {
+        "timestamp_typed": df.withColumn("timestamp", F.col("timestamp").cast("string")),
+        "season_present": df.withColumn(
+            "season", F.when(F.col("record_number") > 1000, F.col("season"))
+        ),
+        "seasons_complete": df.where("season <> 'Autumn'"),
+    }
+    for check, bad in broken.items():
+        report = {r["check"]: r["passed"] for r in quality.gate_report(bad, bad.count()).collect()}
+        assert [name for name, passed in report.items() if not passed] == [check]
+
+
+def test_quality_summary_counts_instead_of_assuming(raw, clean):
+    doubled = raw.unionByName(raw.limit(3))
+    faulty = clean.withColumn("ph", F.lit(20.0))
+    numbers = dict(rows(quality.quality_summary(doubled, faulty, raw_key="Record number")))
+    assert numbers == {
+        "Original records": 403, "Fully duplicated rows found": 3,
+        "Duplicate record numbers found": 3, "Rows failing plausibility checks": 400,
+        "Records removed during cleaning": 3, "Final records": 400,
+    }
