@@ -420,7 +420,7 @@ ORACLE: dict[str, str] = {
         " FROM readings r JOIN days d ON CAST(r.timestamp AS DATE) = d.date"
         " ORDER BY deviation DESC, timestamp, record_number LIMIT 15",
     "all_deviations": f"WITH {READINGS}, {_days('readings', 'value')} SELECT r.record_number, r.timestamp,"
-        f" r.value, {_round('d.value', 6)} AS day_mean, {_round('r.value - d.value', 6)} AS deviation"
+        f" r.value, d.value AS day_mean, r.value - d.value AS deviation"
         " FROM readings r JOIN days d ON CAST(r.timestamp AS DATE) = d.date",
     "anomaly_days_high": f"WITH {LONG}, {_days('long_range', 'l_extendedprice')}, s AS (SELECT AVG(value) AS m,"
         " SQRT(AVG((value - (SELECT AVG(value) FROM days)) * (value - (SELECT AVG(value) FROM days)))) AS sd FROM days)"

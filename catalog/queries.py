@@ -471,7 +471,7 @@ def strongest_correlation(df):
 
 @query(readings)
 def reproducible_sample(df):
-    return stats.reproducible_sample(df.select("record_number", "timestamp", "value"), 3000)
+    return stats.reproducible_sample(df.select("record_number", "timestamp", "value"), 3000, digest="md5")
 
 
 @query(long_range)
@@ -514,7 +514,7 @@ def deviation_from_day_mean(df):
 @query(readings)
 def all_deviations(df):
     return windows.deviation_from_day(
-        df.select("record_number", "timestamp", "value"), "value", digits=6, resolution=2
+        df.select("record_number", "timestamp", "value"), "value", digits=None, resolution=2
     )
 
 

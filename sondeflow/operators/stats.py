@@ -13,6 +13,7 @@ from .quantiles import (
     exact_quantiles,
     group_table,
     long_values,
+    named,
     sketched_quantiles,
     with_group,
 )
@@ -100,13 +101,17 @@ def box_stats(
     A whisker ends at the last value within one and a half interquartile ranges,
     and never inside the box.
     """
-    keys = [*by, "parameter"]
-    fences, bounded = group_table(_fences(_quartiles(df, columns, by, exact)), bounded=not by)
+    keys = [*by, "position"]
+    place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("parameter"))
+    fences = _fences(_quartiles(df, columns, by, exact)).withColumn(
+        "position", (place - 1).cast("int")
+    ).drop("parameter")
+    fences, small = group_table(fences, bounded=not by)
     value = F.col("value")
     inside = value.between(F.col("lower_fence"), F.col("upper_fence"))
     r = lambda c: rounded(c, digits)
-    return (
-        with_group(long_values(df, columns, by), fences, keys, bounded)
+    boxes = (
+        with_group(long_values(df, columns, by), fences, keys, small)
         .groupBy(*keys)
         .agg(
             F.max("n").alias("count"),
@@ -115,13 +120,13 @@ def box_stats(
             F.max(F.when(inside, value)).alias("high"),
             F.count_if(~inside).alias("outliers"),
         )
-        .select(
-            *keys, "count",
-            r(F.least("low", "q0")).alias("whisker_low"),
-            r(F.col("q0")).alias("q25"), r(F.col("q1")).alias("q50"), r(F.col("q2")).alias("q75"),
-            r(F.greatest("high", "q2")).alias("whisker_high"),
-            "outliers",
-        )
+    )
+    return named(boxes, columns, by).select(
+        *by, "parameter", "count",
+        r(F.least("low", "q0")).alias("whisker_low"),
+        r(F.col("q0")).alias("q25"), r(F.col("q1")).alias("q50"), r(F.col("q2")).alias("q75"),
+        r(F.greatest("high", "q2")).alias("whisker_high"),
+        "outliers",
     )
 
 
@@ -150,10 +155,10 @@ def histogram(
     constant column gets a range of one around its value.
     """
     values = long_values(df, columns)
-    extent = values.groupBy("parameter").agg(F.min("value").alias("min"), F.max("value").alias("max"))
+    extent = values.groupBy("position").agg(F.min("value").alias("min"), F.max("value").alias("max"))
     flat = F.col("min") == F.col("max")
     extent = extent.select(
-        "parameter",
+        "position",
         F.when(flat, F.col("min") - 0.5).otherwise(F.col("min")).alias("low"),
         F.when(flat, F.col("max") + 0.5).otherwise(F.col("max")).alias("high"),
     ).withColumn("width", (F.col("high") - F.col("low")) / bins)
@@ -161,7 +166,7 @@ def histogram(
     def edge(number: Column) -> Column:
         return F.when(number == bins, F.col("high")).otherwise(F.col("low") + number * F.col("width"))
 
-    # One row per listed column and bin.
+    # One row per listed column, and later one per listed column and bin.
     extent = F.broadcast(extent)
     value = F.col("value")
     guess = F.least(F.floor((value - F.col("low")) / F.col("width")), F.lit(bins - 1))
@@ -172,22 +177,19 @@ def histogram(
         .otherwise(guess)
     )
     counts = (
-        values.join(extent, "parameter")
-        .groupBy("parameter", number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        values.join(extent, "position")
+        .groupBy("position", number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     )
     all_bins = extent.withColumn(
         "bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint")))
     )
-    return (
-        all_bins.join(F.broadcast(counts), ["parameter", "bin"], "left")
-        .select(
-            "parameter", "bin",
-            rounded(edge(F.col("bin")), digits).alias("bin_from"),
-            rounded(edge(F.col("bin") + 1), digits).alias("bin_to"),
-            F.coalesce("n", F.lit(0).cast("bigint")).alias("readings"),
-        )
-        .orderBy("parameter", "bin")
+    filled = all_bins.join(F.broadcast(counts), ["position", "bin"], "left").select(
+        "position", "bin",
+        rounded(edge(F.col("bin")), digits).alias("bin_from"),
+        rounded(edge(F.col("bin") + 1), digits).alias("bin_to"),
+        F.coalesce("n", F.lit(0).cast("bigint")).alias("readings"),
     )
+    return named(filled, columns).orderBy("parameter", "bin")
 
 
 def _pearson(a: str, b: str) -> Column:
@@ -258,12 +260,17 @@ def reproducible_sample(
     size: int = 3000,
     key: Sequence[str] = ("record_number",),
     seed: int = 42,
+    digest: str = "xxhash64",
 ) -> DataFrame:
     """Random sample of exactly ``min(size, rows)`` rows.
 
     Rows are ordered by a digest of key and seed, so the sample is the same for
     every partitioning. Each task keeps its own first ``size`` rows only.
+    ``digest="md5"`` is slower and picks rows that other engines can pick too.
     """
-    digest = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+    if digest == "md5":
+        order = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+    else:
+        order = F.xxhash64(*key, F.lit(seed))
     rest = [c for c in df.columns if c not in key]
-    return df.orderBy(digest, *key, *rest).limit(size)
+    return df.orderBy(order, *key, *rest).limit(size)

@@ -63,31 +63,44 @@ def rank_months(
     )
 
 
-def deviation_from_day(
+def _with_day_mean(
     df: DataFrame,
     column: str,
-    timestamp_column: str = "timestamp",
-    digits: int | None = 2,
-    resolution: int | None = None,
+    timestamp_column: str,
+    resolution: int | None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Difference of each reading from the mean of its day.
+    """Put the mean of its day next to every non-missing reading.
 
     A window partitioned by day would hold a whole day in one task, and one day
     may hold much of the table. The daily means are aggregated and joined
-    instead; readings stay where they were read.
+    instead, by day number; readings stay where they were read.
     """
-    readings = df.where(F.col(column).isNotNull()).withColumn("date", F.to_date(timestamp_column))
-    days = readings.groupBy("date").agg(
-        F.count(F.lit(1)).alias("readings"),
-        steady_mean(column, resolution).alias("day_mean"),
+    readings = df.where(F.col(column).isNotNull()).withColumn(
+        "__day", F.unix_date(F.to_date(timestamp_column))
     )
-    joined = keyed_join(readings, days, ["date"], "readings", broadcast_rows=broadcast_rows)
-    return (
-        joined.withColumn("deviation", rounded(F.col(column) - F.col("day_mean"), digits))
-        .withColumn("day_mean", rounded(F.col("day_mean"), digits))
-        .drop("date")
+    days = readings.groupBy("__day").agg(
+        F.count(F.lit(1)).alias("__readings"),
+        steady_mean(column, resolution).alias("day_mean"),
     )
+    return keyed_join(readings, days, ["__day"], "__readings", broadcast_rows=broadcast_rows).drop("__day")
+
+
+def deviation_from_day(
+    df: DataFrame,
+    column: str,
+    timestamp_column: str = "timestamp",
+    digits: int | None = 2,
+    resolution: int | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Difference of each reading from the mean of its day."""
+    joined = _with_day_mean(df, column, timestamp_column, resolution, broadcast_rows)
+    deviation = F.col(column) - F.col("day_mean")
+    return joined.withColumns({
+        "deviation": rounded(deviation, digits),
+        "day_mean": rounded(F.col("day_mean"), digits),
+    })
 
 
 def largest_deviations(
@@ -100,6 +113,13 @@ def largest_deviations(
     resolution: int | None = None,
 ) -> DataFrame:
     """The ``k`` readings furthest above the mean of their day."""
-    narrow = df.select(timestamp_column, key, column)
-    deviations = deviation_from_day(narrow, column, timestamp_column, digits, resolution)
-    return deviations.orderBy(F.col("deviation").desc(), timestamp_column, key).limit(k)
+    joined = _with_day_mean(
+        df.select(timestamp_column, key, column), column, timestamp_column, resolution
+    )
+    deviation = rounded(F.col(column) - F.col("day_mean"), digits)
+    return (
+        joined.withColumn("deviation", deviation)
+        .orderBy(F.col("deviation").desc(), timestamp_column, key)
+        .limit(k)
+        .withColumn("day_mean", rounded(F.col("day_mean"), digits))
+    )

@@ -160,11 +160,12 @@ def test_strongest_pair_keeps_its_sign_and_the_first_of_ties(spark):
     assert rows(stats.strongest_correlation(df, ["a", "k"])) == []
 
 
-def test_sample_is_exact_and_does_not_depend_on_partitions(spark):
+@pytest.mark.parametrize("digest", ["xxhash64", "md5"])
+def test_sample_is_exact_and_does_not_depend_on_partitions(spark, digest):
     df = spark.range(5000).select(F.col("id").alias("record_number"))
     picks = [
-        sorted(rows(stats.reproducible_sample(df.repartition(n), 300))) for n in (1, 4, 32)
+        sorted(rows(stats.reproducible_sample(df.repartition(n), 300, digest=digest))) for n in (1, 4, 32)
     ]
     assert picks[0] == picks[1] == picks[2] and len(set(picks[0])) == 300
-    assert picks[0] != sorted(rows(stats.reproducible_sample(df, 300, seed=1)))
+    assert picks[0] != sorted(rows(stats.reproducible_sample(df, 300, seed=1, digest=digest)))
     assert stats.reproducible_sample(df.limit(10), 300).count() == 10
