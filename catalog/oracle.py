@@ -263,6 +263,11 @@ ORACLE: dict[str, str] = {
         " CASE WHEN event_type = 'view' THEN value END AS turbidity,"
         " CAST(user_id AS DOUBLE) AS temperature_quality, event_type AS \"Station note\","
         f" {_features('ts')} FROM events",
+    "chronological_readings": f"{_lead('readings')}SELECT record_number, timestamp, value FROM readings"
+        " ORDER BY timestamp, record_number",
+    "materialized_orders": f"WITH {ORDERS} SELECT record_number, timestamp,"
+        " CASE WHEN record_number % 10 > 0 THEN o_totalprice END AS turbidity,"
+        " year, month, day, hour, day_of_week, season FROM readings",
     "time_features": f"{_lead('readings')}SELECT * FROM readings",
     "time_features_long_range": f"{_lead('long_range')}SELECT {_KEY}, timestamp, year, month, day, hour,"
         " day_of_week, season FROM long_range",

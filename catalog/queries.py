@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -21,13 +22,16 @@ from sondeflow.operators import (
     temporal,
     windows,
 )
+from sondeflow.plans import materialize
 from sondeflow.schema import SEASONS, WEEKDAYS, RangeRule
+from sondeflow.session import ensure_checkpoint_dir
 
 from .views import (
     EVENT_TYPES,
     LINE_MEASURES,
     long_range,
     orders,
+    raw_orders,
     raw_readings,
     readings,
     table,
@@ -124,6 +128,25 @@ def clean_readings(df):
     return cleaned.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
+@query(readings)
+def chronological_readings(df):
+    return cleaning.chronological(df.select("record_number", "timestamp", "value"))
+
+
+def materialized_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw CSV to validated Parquet to SQL, in a new folder among the checkpoints."""
+    folder = f"{ensure_checkpoint_dir(spark)}/catalog-{uuid4().hex}"
+    raw_orders(spark, sf_dir).write.option("header", True).csv(f"{folder}/raw")
+    materialize(spark, f"{folder}/raw", f"{folder}/clean")
+    return spark.sql(
+        "SELECT record_number, CAST(timestamp AS TIMESTAMP_NTZ) AS timestamp, turbidity,"
+        " year, month, day, hour, day_of_week, season FROM water_quality"
+    )
+
+
+QUERIES["materialized_orders"] = materialized_orders
+
+
 @query(readings)
 def time_features(df):
     return df

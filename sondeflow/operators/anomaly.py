@@ -19,20 +19,19 @@ def high_days(
 ) -> DataFrame:
     """Days far above the mean of all days, by population deviation.
 
-    One-sided. The statistics are one row; it is broadcast to the days.
+    One-sided. The statistics are a window over the days.
     """
-    value = F.col(value_column)
-    stats = days.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
-    z = ratio(value - F.col("mean"), F.col("deviation"))
+    value, every = F.col(value_column), Window.partitionBy()
+    mean, deviation = F.avg(value).over(every), F.stddev_pop(value).over(every)
     return (
-        days.crossJoin(F.broadcast(stats))
-        .withColumn("z", z)
-        .where(F.col("z") > z_threshold)
+        days.withColumn("__mean", mean)
+        .withColumn("__z", ratio(value - F.col("__mean"), deviation))
+        .where(F.col("__z") > z_threshold)
         .select(
             date_column,
             rounded(value, digits).alias(value_column),
-            rounded(F.col("mean"), digits).alias("overall_mean"),
-            rounded(F.col("z"), digits).alias("z_score"),
+            rounded(F.col("__mean"), digits).alias("overall_mean"),
+            rounded(F.col("__z"), digits).alias("z_score"),
         )
         .orderBy(F.col("z_score").desc(), date_column)
     )
@@ -51,14 +50,9 @@ def flag_anomalous_days(
 
     Days without a value are not flagged, nor is any day of a constant series.
     """
-    value = F.col(value_column)
-    stats = days.agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__deviation"))
-    z = ratio(value - F.col("__mean"), F.col("__deviation"))
-    return (
-        days.crossJoin(F.broadcast(stats))
-        .withColumn("is_flagged", _flag(z, z_threshold))
-        .drop("__mean", "__deviation")
-    )
+    value, every = F.col(value_column), Window.partitionBy()
+    z = ratio(value - F.avg(value).over(every), F.stddev_samp(value).over(every))
+    return days.withColumn("is_flagged", _flag(z, z_threshold))
 
 
 def find_streaks(
@@ -134,17 +128,12 @@ def flagged_days(
 ) -> DataFrame:
     """Every calendar day of every column with its two-sided anomaly flag.
 
-    The statistics have one row per listed column and are broadcast.
+    The statistics are a window over the days of each column.
     """
     days = _days_by_parameter(df, columns, timestamp_column, resolution)
-    stats = days.groupBy("parameter").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation")
-    )
-    z = ratio(F.col("value") - F.col("mean"), F.col("deviation"))
-    return (
-        days.join(F.broadcast(stats), "parameter")
-        .select("parameter", "date", "value", _flag(z, z_threshold).alias("is_flagged"))
-    )
+    value, every = F.col("value"), Window.partitionBy("parameter")
+    z = ratio(value - F.avg(value).over(every), F.stddev_samp(value).over(every))
+    return days.select("parameter", "date", "value", _flag(z, z_threshold).alias("is_flagged"))
 
 
 def flagged_day_counts(flagged: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..scale import BROADCAST_ROWS, keyed_join
+from ..scale import keyed_join
 
 #: Copies written back by one task for one duplicated row.
 _COPIES_PER_CHUNK = 100_000
@@ -59,13 +59,13 @@ def repeated_keys(df: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def duplicate_key_rows(
-    df: DataFrame, *columns: str, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """All rows whose key occurs more than once. A NULL key is never reported."""
+def duplicate_key_rows(df: DataFrame, *columns: str, limit: int | None = None) -> DataFrame:
+    """All rows whose key occurs more than once. A NULL key is never reported.
+
+    ``limit`` is the size in bytes up to which the keys are broadcast.
+    """
     return keyed_join(
-        df, repeated_keys(df, *columns), list(columns), "occurrences", "left_semi",
-        broadcast_rows,
+        df, repeated_keys(df, *columns), list(columns), "occurrences", "left_semi", limit
     )
 
 

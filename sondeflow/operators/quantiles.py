@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import one_row_per_column
-from ..scale import BROADCAST_ROWS, materialized, same_keys
+from ..scale import attach, fits_broadcast, materialized, spread_join
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -52,24 +52,21 @@ def group_table(groups: DataFrame, bounded: bool) -> tuple[DataFrame, bool]:
     """A per-group table, and whether it may be broadcast.
 
     A table that is bounded by construction passes as it is. The size of any
-    other is known only from the data: compute it once and count.
+    other is known only from the data: compute it once and measure it.
     """
     if bounded:
         return groups, True
     groups = materialized(groups)
-    return groups, groups.count() <= BROADCAST_ROWS
+    return groups, fits_broadcast(groups)
 
 
-def with_group(values: DataFrame, groups: DataFrame, keys: list[str], small: bool) -> DataFrame:
+def with_group(
+    values: DataFrame, groups: DataFrame, keys: list[str], weight: str, small: bool
+) -> DataFrame:
     """Put the columns of a per-group table next to every value of the group."""
-    theirs = {k: f"__{k}" for k in keys if k != "position"}
-    groups = groups.withColumnsRenamed({**theirs, "position": "__position"})
-    matches = F.col("position") == F.col("__position")
-    if theirs:
-        matches = matches & same_keys(theirs)
-    return values.join(F.broadcast(groups) if small else groups, matches).drop(
-        "__position", *theirs.values()
-    )
+    if small:
+        return attach(values, groups, keys, null_keys=True, broadcast=True)
+    return spread_join(values, groups, keys, weight, null_keys=True)
 
 
 def _log_cell(value: Column) -> Column:
@@ -122,7 +119,7 @@ def _inside(
     """Readings per finer cell of the given cells."""
     hit = F.col("value").between(F.col("low"), F.col("high"))
     counted = (
-        with_group(values, cells, keys, small).where(hit)
+        with_group(values, cells, keys, "total", small).where(hit)
         .groupBy(*keys, F.col("low").alias("from"), cell.alias("cell"))
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -165,6 +162,7 @@ def exact_quantiles(
     for _ in range(levels):
         finer = _equal_cell(value, F.col("low"), F.col("high"), cells)
         found = _wanted(_inside(values, found, keys, small, finer), keys, probabilities)
+        found = found if small else materialized(found)
     ranked = _inside(values, found, keys, small, value)
 
     quantiles, share = [], []

@@ -111,7 +111,7 @@ def box_stats(
     inside = value.between(F.col("lower_fence"), F.col("upper_fence"))
     r = lambda c: rounded(c, digits)
     boxes = (
-        with_group(long_values(df, columns, by), fences, keys, small)
+        with_group(long_values(df, columns, by), fences, keys, "n", small)
         .groupBy(*keys)
         .agg(
             F.max("n").alias("count"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import rounded, steady_mean
-from ..scale import BROADCAST_ROWS, keyed_join
+from ..scale import keyed_join
 
 
 def rolling_mean(
@@ -68,7 +68,7 @@ def _with_day_mean(
     column: str,
     timestamp_column: str,
     resolution: int | None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Put the mean of its day next to every non-missing reading.
 
@@ -83,7 +83,7 @@ def _with_day_mean(
         F.count(F.lit(1)).alias("__readings"),
         steady_mean(column, resolution).alias("day_mean"),
     )
-    return keyed_join(readings, days, ["__day"], "__readings", broadcast_rows=broadcast_rows).drop("__day")
+    return keyed_join(readings, days, ["__day"], "__readings", limit=limit).drop("__day")
 
 
 def deviation_from_day(
@@ -92,10 +92,10 @@ def deviation_from_day(
     timestamp_column: str = "timestamp",
     digits: int | None = 2,
     resolution: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Difference of each reading from the mean of its day."""
-    joined = _with_day_mean(df, column, timestamp_column, resolution, broadcast_rows)
+    joined = _with_day_mean(df, column, timestamp_column, resolution, limit)
     deviation = F.col(column) - F.col("day_mean")
     return joined.withColumns({
         "deviation": rounded(deviation, digits),

@@ -62,7 +62,3 @@ def main() -> None:
         materialize(spark, options.raw_path, options.clean_path, rebalance=options.rebalance)
     finally:
         spark.stop()
-
-
-if __name__ == "__main__":
-    main()

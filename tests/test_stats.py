@@ -69,10 +69,15 @@ def test_exact_quantiles_per_group(df, frame):
 
 
 def test_many_groups_take_the_join_without_broadcast(df, monkeypatch):
-    from sondeflow.operators import quantiles
-    plain = sorted(rows(exact_quantiles(df.where("kind is not null"), ["hot"], by=["kind"])))
-    monkeypatch.setattr(quantiles, "BROADCAST_ROWS", 0)
-    assert sorted(rows(exact_quantiles(df.where("kind is not null"), ["hot"], by=["kind"]))) == plain
+    from sondeflow import scale
+    columns = ["hot", "tailed"]
+    plain = [f(df, columns, by=["kind"]) for f in (exact_quantiles, stats.box_stats)]
+    plain = [sorted(rows(p), key=str) for p in plain]
+    for share in (1e-4, 0.3, 0.99):
+        monkeypatch.setattr(scale, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(scale, "HOT_SHARE", share)
+        spread = [f(df, columns, by=["kind"]) for f in (exact_quantiles, stats.box_stats)]
+        assert [sorted(rows(s), key=str) for s in spread] == plain
 
 
 @pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [float("-inf"), -1.0, 0.0, 5.0, float("inf")],
