@@ -18,12 +18,13 @@ def season_of(month: Column, southern: bool = True) -> Column:
     shift = 0 if southern else 2
     names = F.array(*[F.lit(SEASONS[(i + shift) % 4]) for i in range(4)])
     quarter = F.floor((month % 12) / 3).cast("int")
-    return F.element_at(names, quarter + 1)
+    # Not element_at: under ANSI rules that takes a NULL position for a value.
+    return F.get(names, quarter)
 
 
 def weekday_name(moment: Column) -> Column:
     """Full English day name. A lookup, so no formatter runs per row."""
-    return F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.weekday(moment) + 1)
+    return F.get(F.array(*[F.lit(d) for d in WEEKDAYS]), F.weekday(moment))
 
 
 def ordinal(column: str | Column, categories: Sequence[str]) -> Column:

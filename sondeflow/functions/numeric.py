@@ -44,7 +44,8 @@ def steady_total(
     is enough to flip a rounding tie or a threshold when partitions change. When
     the sensor's ``resolution`` (number of decimals) is given, values are added
     as whole multiples of that step: the result counts steps, and is the same
-    for every partitioning. The steps of one value must stay below 2**40.
+    for every partitioning. Values must be finite, and their steps
+    below 2**40.
     """
     value = _col(column)
     bind = (lambda c: c.over(over)) if over is not None else (lambda c: c)

@@ -43,7 +43,7 @@ def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
 
 def named(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Put the column's name as ``parameter`` in the place of its position."""
-    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("position") + 1)
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("position"))
     rest = [c for c in df.columns if c not in by and c != "position"]
     return df.select(*by, name.alias("parameter"), *rest)
 

@@ -201,6 +201,8 @@ def _pearson(a: str, b: str) -> Column:
 
 def _correlations(df: DataFrame, columns: Sequence[str], mirrored: bool) -> DataFrame:
     """Correlations in long form, from one aggregate over all columns."""
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
     pairs = list(combinations(columns, 2))
     wide = df.agg(
         *[_pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
@@ -231,7 +233,10 @@ def correlation_pairs(
 def correlation_matrix(
     df: DataFrame, columns: Sequence[str], digits: int | None = None
 ) -> DataFrame:
-    """The full symmetric matrix in long form; the diagonal is 1 where defined."""
+    """The full symmetric matrix in long form; the diagonal is 1 where defined.
+
+    Fewer than two columns have no matrix: no rows.
+    """
     return _correlations(df, columns, True).withColumn("r", rounded(F.col("r"), digits))
 
 

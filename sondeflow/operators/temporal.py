@@ -35,8 +35,14 @@ def monthly_summary(
     month_column: str = "month",
     digits: int | None = 2,
     resolution: int | None = None,
+    null_groups: bool = True,
 ) -> DataFrame:
-    """Mean, minimum and maximum of each column per calendar month."""
+    """Mean, minimum and maximum of each column per calendar month.
+
+    Readings without a time form a group of their own unless ``null_groups`` is
+    off.
+    """
+    df = df if null_groups else df.dropna(subset=[year_column, month_column])
     statistics = []
     for c in columns:
         statistics += [
@@ -73,8 +79,14 @@ def seasonal_summary(
     digits: int | None = 2,
     resolution: int | None = None,
     counted: bool = True,
+    null_groups: bool = True,
 ) -> DataFrame:
-    """Readings and means per season, Summer to Spring, seasons present only."""
+    """Readings and means per season, Summer to Spring, seasons present only.
+
+    Readings without a known season form groups of their own unless
+    ``null_groups`` is off.
+    """
+    df = df if null_groups else df.where(ordinal(season_column, SEASONS).isNotNull())
     count = [F.count(F.lit(1)).alias("reading_count")] if counted else []
     return (
         df.groupBy(season_column).agg(*count, *_means(columns, digits, resolution))

@@ -138,13 +138,16 @@ def test_seasons_follow_the_hemisphere(spark):
         ["Summer"] * 3 + ["Autumn"] * 2 + ["Winter"] * 2 + ["Spring"] * 2
     )
     assert [north[m] for m in (12, 3, 6, 9)] == ["Winter", "Spring", "Summer", "Autumn"]
-    assert rows(spark.range(1).select(season_of(F.lit(None).cast("int")))) == [(None,)]
+    unknown = spark.createDataFrame([(None,), (3,)], "m int")
+    assert rows(unknown.select(season_of(F.col("m")))) == [(None,), ("Autumn",)]
 
 
 def test_weekday_names(spark):
     days = readings(spark, [(f"2024-01-0{d}", 0.0) for d in range(1, 8)])
     named = cleaning.add_time_features(days).orderBy("timestamp").select("day_of_week")
     assert [r[0] for r in rows(named)] == WEEKDAYS
+    unknown = cleaning.add_time_features(readings(spark, [(None, 0.0), ("2024-01-02", 1.0)]))
+    assert [tuple(r)[3:] for r in rows(unknown)] == [(None,) * 6, (2024, 1, 2, 0, "Tuesday", "Summer")]
 
 
 def test_category_orders(spark):

@@ -35,6 +35,41 @@ SQL = {
         " OR temperature > 30) AS atypical_temp_readings, round(CAST(100.0 * count(*) FILTER (WHERE temperature < 15"
         " OR temperature > 30) / count(*) AS DECIMAL(20,8)), 2)::DOUBLE AS atypical_temp_pct FROM t"
         " WHERE temperature IS NOT NULL GROUP BY season",
+    "null_counts": "SELECT count(*) AS total_rows, " + ", ".join(
+        f"count(*) FILTER (WHERE {m} IS NULL) AS null_{'do_pct_sat' if m == 'dissolved_oxygen_pct_sat' else m}"
+        for m in MEASURES
+    ) + " FROM t",
+    "monthly_coverage": "SELECT year, month, count(*) AS reading_count, count(DISTINCT day)"
+        " AS distinct_days_with_readings FROM t GROUP BY ALL",
+    "monthly_conditions": "SELECT year, month, " + ", ".join(
+        f"round({f}({m}), 2) AS {f}_{m}" for m in ("temperature", "dissolved_oxygen", "turbidity")
+        for f in ("avg", "min", "max")
+    ) + " FROM t GROUP BY year, month",
+    "seasonal_conditions": "SELECT season, count(*) AS reading_count, " + ", ".join(
+        f"round(avg({m}), 2) AS avg_{'do_pct_sat' if m == 'dissolved_oxygen_pct_sat' else m}"
+        for m in ("temperature", "dissolved_oxygen", "dissolved_oxygen_pct_sat", "salinity", "turbidity", "ph")
+    ) + " FROM t GROUP BY season",
+    "weekday_conditions": "SELECT day_of_week, count(*) AS reading_count, round(avg(turbidity), 2) AS avg_turbidity,"
+        " round(avg(dissolved_oxygen), 2) AS avg_dissolved_oxygen FROM t GROUP BY day_of_week",
+    "hourly_conditions": "SELECT hour, count(*) AS reading_count, round(avg(temperature), 2) AS avg_temperature,"
+        " round(avg(dissolved_oxygen_pct_sat), 2) AS avg_do_pct_sat FROM t GROUP BY hour",
+    "temperature_change": "WITH m AS (SELECT year, month, round(avg(temperature), 2) AS v FROM t GROUP BY ALL)"
+        " SELECT a.year, a.month, a.v AS avg_temperature, b.v AS prev_month_avg_temperature,"
+        " round(a.v - b.v, 2) AS change_from_prev_month FROM m a LEFT JOIN m b"
+        " ON a.year * 12 + a.month = b.year * 12 + b.month + 1",
+    "daytime_ph": "SELECT season, count(*) AS reading_count, round(avg(ph), 3) AS avg_ph, round(min(ph), 3) AS min_ph,"
+        " round(max(ph), 3) AS max_ph FROM t WHERE hour BETWEEN 6 AND 17 AND ph IS NOT NULL GROUP BY season",
+    "turbid_months": "SELECT year, month, round(avg(turbidity), 2) AS avg_turbidity FROM t GROUP BY year, month"
+        " HAVING avg(turbidity) > 2 * (SELECT avg(turbidity) FROM t)",
+    "salinity_classes": "SELECT season, CASE WHEN salinity < 0.5 THEN 'Freshwater (< 0.5)' WHEN salinity < 30"
+        " THEN 'Brackish (0.5-30)' ELSE 'Saline (>= 30)' END AS salinity_class, count(*) AS reading_count FROM t"
+        " WHERE salinity IS NOT NULL GROUP BY 1, 2",
+    "rolling_turbidity": "WITH d AS (SELECT CAST(timestamp AS DATE) AS reading_date, round(avg(turbidity), 2)"
+        " AS avg_turbidity FROM t WHERE turbidity IS NOT NULL GROUP BY 1) SELECT *, round(avg(avg_turbidity) OVER"
+        " (ORDER BY reading_date ROWS 6 PRECEDING), 2) AS rolling_7day_avg_turbidity FROM d",
+    "cumulative_oxygen": "WITH d AS (SELECT CAST(timestamp AS DATE) AS reading_date, avg(dissolved_oxygen) AS v FROM t"
+        " WHERE dissolved_oxygen IS NOT NULL GROUP BY 1) SELECT reading_date, round(v, 2) AS avg_do,"
+        " round(avg(v) OVER (ORDER BY reading_date ROWS UNBOUNDED PRECEDING), 2) AS cumulative_avg_do FROM d",
     "turbidity_ranks": "SELECT year, month, round(avg(turbidity), 2) AS avg_turbidity,"
         " rank() OVER (ORDER BY avg(turbidity) DESC) AS turbidity_rank FROM t WHERE turbidity IS NOT NULL GROUP BY year, month",
     "turbidity_anomalies": "WITH d AS (SELECT CAST(timestamp AS DATE) AS reading_date, avg(turbidity) AS v FROM t"

@@ -163,6 +163,8 @@ def test_strongest_pair_keeps_its_sign_and_the_first_of_ties(spark):
     a, b, r = rows(stats.strongest_correlation(df, ["a", "b", "c", "k"], digits=9))[0]
     assert (a, b, r) == ("a", "b", -1.0)
     assert rows(stats.strongest_correlation(df, ["a", "k"])) == []
+    assert rows(stats.strongest_correlation(df, ["a"])) == []
+    assert rows(stats.correlation_matrix(df, ["a"])) == []
 
 
 @pytest.mark.parametrize("digest", ["xxhash64", "md5"])

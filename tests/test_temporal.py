@@ -74,6 +74,14 @@ def test_steady_mean_ignores_the_order_of_rows(spark):
     assert rows(values.where("false").agg(steady_mean("v", 2))) == [(None,)]
 
 
+def test_groups_without_a_time_are_kept_or_dropped(spark):
+    df = cleaning.add_time_features(readings(spark, [("2024-01-01", 1.0), (None, 5.0)]))
+    assert temporal.monthly_summary(df, ["value"]).count() == 2
+    assert temporal.monthly_summary(df, ["value"], null_groups=False).count() == 1
+    assert rows(temporal.seasonal_summary(df, ["value"])) == [(None, 1, 5.0), ("Summer", 1, 1.0)]
+    assert rows(temporal.seasonal_summary(df, ["value"], null_groups=False)) == [("Summer", 1, 1.0)]
+
+
 def test_month_shape(spark):
     df = months(spark, [(2023, 1, 1.0), (2024, 1, 3.0), (2024, 2, 6.0), (2024, 3, 4.0)]).withColumn("flat", F.lit(1.0))
     assert rows(temporal.month_shape(df, ["value", "flat"])) == [(1, 0.0, None), (2, 1.0, None), (3, 0.5, None)]
@@ -106,7 +114,8 @@ def test_time_window_prunes_month_folders(spark, clean, tmp_path):
     )
     assert kept.count() == 89
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(year" in plan and "PushedFilters: [IsNotNull(timestamp)" in plan
+    assert "PartitionFilters: [isnotnull(year" in plan
+    assert "GreaterThanOrEqual(timestamp" in plan and "LessThanOrEqual(timestamp" in plan
 
 
 def test_overlapping_events_give_one_row_each(spark):
