@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import ngram_join
+from . import ngram_join, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,3 +49,8 @@ def documents_query(function: Callable[[DataFrame], DataFrame]) -> Callable[[Dat
 def op6_parity_sketch_join(docs: DataFrame) -> DataFrame:
     links = ngram_join.link_components(docs)
     return links.withColumnRenamed("id", "doc_id")
+
+
+@documents_query
+def op9_best_fit_packing(docs: DataFrame) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
