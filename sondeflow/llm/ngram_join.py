@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import hashing as H
 from .components import connected
-from .store import maybe_in, saved, slot_filter
+from .store import maybe_in, saved, slot_filter, without_ids
 
 #: The smallest band of the block sketches: sizes 8 to 15.
 _LOWEST_BAND = 3
@@ -256,7 +256,7 @@ def _verified(candidates: DataFrame, docs: DataFrame, shapes: DataFrame, width:
         _with_sides(candidates, shapes, "n", "bits").mapInArrow(_near, "a long, b long").distinct(), "near"
     )
     ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    texts = maybe_in(docs, F.col("id"), slot_filter(ids, "id"))
+    texts = maybe_in(docs, slot_filter(ids, "id"), "id")
     sets = saved(texts.mapInArrow(set_batches(width), "id long, held binary").join(ids, "id", "left_semi"), "sets")
     return _with_sides(near, sets, "held").mapInArrow(_similar, "a long, b long").distinct()
 
@@ -268,11 +268,11 @@ def _shared_buckets(shapes: DataFrame, members: DataFrame) -> DataFrame:
     fixed size then keeps the rows of the others from the second shuffle.
     """
     sent = shapes.select("id", F.explode("keys").alias("key"))
-    short = F.shiftrightunsigned("key", 24)
-    repeated = sent.groupBy(short.alias("short")).count().where("count > 1")
+    sent = sent.withColumn("short", F.shiftrightunsigned("key", 24))
+    repeated = sent.groupBy("short").count().where("count > 1")
     copies = members.where("id <> rep")
     rows = (
-        maybe_in(sent, short, slot_filter(repeated, "short"))
+        maybe_in(sent, slot_filter(repeated, "short"), "short")
         .join(copies, "id", "left")
         .select("key", F.coalesce("rep", "id").alias("rep"))
         .distinct()
@@ -366,5 +366,5 @@ def keep_first(
 ) -> DataFrame:
     """``docs`` without those that a linked one with a smaller id stands for."""
     links = link_components(docs, id_column, text_column, width)
-    dropped = links.where("component_id < id").select(F.col("id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col(id_column) == F.col("__dropped"), "left_anti")
+    dropped = saved(links.where("component_id < id").select("id").distinct(), "linked")
+    return without_ids(docs, id_column, dropped)

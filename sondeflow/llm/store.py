@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
 
-#: Bits per row of a slot filter, as Spark's bitmap functions lay them out.
-BITMAP_BITS = 32768
-
-#: Slots of a filter: 2**26 bits are 2,048 rows of 4 KiB, 8 MiB in all.
+#: Slots of a filter. It is kept as at most ``slots / 64`` rows of two 64-bit
+#: numbers: 16 MiB for 2**26 slots.
 FILTER_SLOTS = 1 << 26
 
 
@@ -32,37 +30,53 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _slot(key: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots))
+def _slot(keys: tuple, slots: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(slots))
 
 
-def slot_filter(keys: DataFrame, column: str, slots: int = FILTER_SLOTS) -> DataFrame:
-    """Bitmaps of the hash slots that the keys occupy: at most ``slots`` bits.
+def slot_filter(df: DataFrame, *keys: str, slots: int = FILTER_SLOTS) -> DataFrame:
+    """The hash slots that the keys occupy, 64 to a row.
 
-    The size is bounded by ``slots`` whatever the number of keys, so the result
-    can be broadcast without measuring it.
+    The size is bounded by ``slots`` whatever the number of keys, so the result can
+    be broadcast without measuring it.
     """
-    slot = _slot(F.col(column), slots)
-    bits = keys.where(F.col(column).isNotNull()).select(
-        F.bitmap_bucket_number(slot).alias("__bucket"), F.bitmap_bit_position(slot).alias("__bit")
+    slot = _slot(keys, slots)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("__slot") % 64).cast("int"))
+    return (
+        df.select(slot.alias("__slot"))
+        .groupBy(F.shiftright("__slot", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
     )
-    return bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
 
 
-def maybe_in(df: DataFrame, key: Column, bitmaps: DataFrame, slots: int = FILTER_SLOTS) -> DataFrame:
-    """Rows whose key may be among the filter's keys, without a shuffle.
+def flagged(
+    df: DataFrame, flag: str, bitmaps: DataFrame, *keys: str, slots: int = FILTER_SLOTS
+) -> DataFrame:
+    """``df`` with a boolean: may the keys be among those of the filter?
 
-    Never loses a key. Keys that share a slot with another one pass as well, so an
-    exact step has to follow; with very many keys everything passes.
+    Never false for a key of the filter. Keys that share a slot with another one are
+    flagged as well, so an exact step has to follow; with far more keys than slots
+    everything is flagged, which costs time and no row.
     """
-    slot = _slot(key, slots)
-    bit = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("__bits", F.expr("CAST(__position DIV 8 AS INT) + 1"), F.lit(1))), 16, 10)
+    hit = F.getbit("__bits", (F.col("__slot") % 64).cast("int")) == 1
     return (
-        df.withColumn("__wanted", F.bitmap_bucket_number(slot))
-        .withColumn("__position", bit)
-        .join(F.broadcast(bitmaps), F.col("__wanted") == F.col("__bucket"))
-        .where(F.getbit(byte.cast("int"), (F.col("__position") % 8).cast("int")) == 1)
-        .drop("__wanted", "__position", "__bucket", "__bits")
+        df.withColumn("__slot", _slot(keys, slots))
+        .join(F.broadcast(bitmaps), F.shiftright("__slot", 6) == F.col("__word"), "left")
+        .withColumn(flag, F.coalesce(hit, F.lit(False)))
+        .drop("__slot", "__word", "__bits")
     )
 
+
+def maybe_in(df: DataFrame, bitmaps: DataFrame, *keys: str, slots: int = FILTER_SLOTS) -> DataFrame:
+    """Rows whose keys may be among those of the filter; see :func:`flagged`."""
+    return flagged(df, "__maybe", bitmaps, *keys, slots=slots).where("__maybe").drop("__maybe")
+
+
+def without_ids(docs: DataFrame, id_column: str, dropped: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``dropped (id)``.
+
+    A filter of fixed size lets most rows pass where they are; only those that it
+    flags are shuffled with their texts to the exact comparison.
+    """
+    marked = flagged(docs, "__maybe", saved(slot_filter(dropped, "id"), "dropped"), id_column)
+    exact = marked.where("__maybe").join(dropped, F.col(id_column) == F.col("id"), "left_anti")
+    return marked.where("NOT __maybe").unionByName(exact).drop("__maybe")
