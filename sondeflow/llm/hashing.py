@@ -19,7 +19,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _SEEDS = np.random.Generator(np.random.PCG64(20240611))
-_BYTE = _SEEDS.integers(0, 1 << 63, 256, dtype=np.uint64)[_LOWER]
+
+#: A random number for every byte; A to Z count as a to z in the second table.
+EXACT = _SEEDS.integers(0, 1 << 63, 256, dtype=np.uint64)
+FOLDED = EXACT[_LOWER]
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -76,9 +79,14 @@ def _power(length: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the first word's number of each text."""
-    inside = ~SPACE[data]
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the first word's number of each text.
+
+    A word is a run of bytes that the table ``outside`` does not mark.
+    """
+    inside = ~outside[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -91,8 +99,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One hash for the bytes of each span; spans are in order and do not overlap."""
+def span_hashes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = FOLDED
+) -> np.ndarray:
+    """One hash for the bytes of each span; starts and ends both ascend."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
@@ -100,7 +110,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         j = max(i + 1, int(np.searchsorted(ends, origin + BLOCK, side="right")))
         up, down = _power(int(ends[j - 1] - origin) + 1)
         total = np.zeros(ends[j - 1] - origin + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data[origin:ends[j - 1]]] * up[:len(total) - 1], out=total[1:])
+        np.cumsum(table[data[origin:ends[j - 1]]] * up[:len(total) - 1], out=total[1:])
         s, e = starts[i:j] - origin, ends[i:j] - origin
         out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
         i = j
@@ -144,3 +154,8 @@ def per_text(ufunc: np.ufunc, values: np.ndarray, offsets: np.ndarray, empty: in
     if full.any():
         out[full] = ufunc.reduceat(values, offsets[:-1][full])
     return out
+
+
+def characters(data: np.ndarray) -> np.ndarray:
+    """Where each character starts, and the end."""
+    return np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))

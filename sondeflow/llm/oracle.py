@@ -3,3 +3,90 @@
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op3_progressive_dedup"] = """
+WITH hashed AS (
+    SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+)
+SELECT doc_id, text_sha256,
+       max(doc_id) OVER same AS keep_id,
+       count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept
+FROM hashed
+WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+ORACLE["op8_hash_threshold_mix"] = r"""
+WITH sized AS (
+    SELECT doc_id, source,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
+    FROM documents
+), totals AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+           CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight,
+           CAST(3 * sum(size) AS DOUBLE) AS most
+    FROM sized GROUP BY source
+), filled AS (
+    SELECT *,
+           sum(weight) OVER (ORDER BY most / weight, source NULLS LAST
+                             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_weight,
+           sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_size
+    FROM totals
+), levelled AS (
+    SELECT *, most * rest_weight <= weight * rest_size AS is_full FROM filled
+), targets AS (
+    SELECT source, source_size,
+           CASE WHEN is_full THEN most ELSE
+               weight * max(rest_size) FILTER (NOT is_full) OVER ()
+                   / max(rest_weight) FILTER (NOT is_full) OVER () END AS target
+    FROM levelled
+), budget AS (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets
+), running AS (
+    SELECT doc_id, size, place, source_size, target, whole,
+           target - whole * source_size AS wanted,
+           sum(size) OVER (PARTITION BY s.source ORDER BY place RANGE UNBOUNDED PRECEDING) AS upto,
+           sum(size) OVER (PARTITION BY s.source, place) AS own
+    FROM sized s JOIN budget b ON s.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(size * (whole + CASE WHEN upto <= wanted OR (upto - own <= wanted
+            AND upto - wanted < wanted - (upto - own)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM running
+"""
+
+ORACLE["op10_rule_cascade"] = r"""
+WITH split AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+           list_filter(string_split(coalesce(text, ''), chr(10)),
+                       lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents
+), windows AS (
+    SELECT doc_id, w AS place, array_to_string(words[w:w + 4], ' ') AS content
+    FROM split, unnest(range(1, len(words) - 3)) AS u(w)
+), twice AS (
+    SELECT doc_id, place FROM windows
+    QUALIFY count(*) OVER (PARTITION BY doc_id, content) > 1
+), covered AS (
+    SELECT doc_id, sum(least(5, coalesce(after - place, 5))) AS n
+    FROM (SELECT *, lead(place) OVER (PARTITION BY doc_id ORDER BY place) AS after FROM twice)
+    GROUP BY doc_id
+), counted AS (
+    SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+           CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+           CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+           CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+           len(lines) AS n_lines, len(regexp_extract_all(text, '!')) AS n_marks
+    FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id
+), based AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 5 * word_chars OR 100 * n_dup_lines > 30 * n_lines
+            OR 10 * n_marks > 5 * n_words OR word_chars > 40 * n_words) AS kept
+FROM based
+"""

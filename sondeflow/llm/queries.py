@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import ngram_join, packing
+from . import exact_dedup, mixing, ngram_join, packing, quality_rules, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,3 +54,26 @@ def op6_parity_sketch_join(docs: DataFrame) -> DataFrame:
 @documents_query
 def op9_best_fit_packing(docs: DataFrame) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@documents_query
+def op3_progressive_dedup(docs: DataFrame) -> DataFrame:
+    return exact_dedup.mark_duplicates(docs)
+
+
+@documents_query
+def op8_hash_threshold_mix(docs: DataFrame) -> DataFrame:
+    return mixing.mix(docs)
+
+
+@documents_query
+def op10_rule_cascade(docs: DataFrame) -> DataFrame:
+    return quality_rules.judge(docs)
+
+
+def op7_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents")
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
+
+
+QUERIES["op7_nearest_toxic"] = op7_nearest_toxic
