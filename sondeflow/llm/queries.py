@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import exact_dedup, mixing, ngram_join, packing, quality_rules, toxicity
+from . import exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,3 +77,11 @@ def op7_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_nearest_toxic"] = op7_nearest_toxic
+
+
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents")
+    return quality_classifier.score_quality(docs, table(spark, sf_dir, "labels"))
+
+
+QUERIES["op2_subword_quality"] = op2_subword_quality
