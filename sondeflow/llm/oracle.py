@@ -90,3 +90,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * n_marks > 5 * n_words OR word_chars > 40 * n_words) AS kept
 FROM based
 """
+
+ORACLE["op1_permutation_shards"] = """
+WITH RECURSIVE hashed AS (
+    SELECT i, printf('shard-%02d', i) AS name FROM range(32) AS r(i)
+), preferences AS (
+    SELECT list(CAST('0x' || substr(md5(name || '/offset'), 1, 15) AS BIGINT) % 4099 ORDER BY i) AS offsets,
+           list(CAST('0x' || substr(md5(name || '/skip'), 1, 15) AS BIGINT) % 4098 + 1 ORDER BY i) AS skips,
+           list(name ORDER BY i) AS names
+    FROM hashed
+), filled AS (
+    SELECT 0 AS turn, list_transform(range(4099), lambda x: -1) AS owner
+    UNION ALL
+    SELECT turn + 1, list_concat(list_append(owner[:slot], turn % 32), owner[slot + 2:])
+    FROM (
+        SELECT turn, owner, list_filter(
+            list_transform(range(4099), lambda j: (offsets[turn % 32 + 1] + j * skips[turn % 32 + 1]) % 4099),
+            lambda s: owner[s + 1] < 0)[1] AS slot
+        FROM filled, preferences WHERE turn < 4099
+    )
+), placed AS (
+    SELECT unnest(range(4099)) AS slot, unnest(owner) AS shard FROM filled WHERE turn = 4099
+), keyed AS (
+    SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % 4099 AS slot
+    FROM documents
+)
+SELECT doc_id, keyed.slot, names[shard + 1] AS shard
+FROM keyed JOIN placed ON keyed.slot = placed.slot, preferences
+"""

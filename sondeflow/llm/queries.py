@@ -6,10 +6,21 @@ import os
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity
+from . import (
+    exact_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    toxicity,
+    training_order,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,3 +96,21 @@ def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_subword_quality"] = op2_subword_quality
+
+
+@documents_query
+def op1_permutation_shards(docs: DataFrame) -> DataFrame:
+    shards = [f"shard-{n:02d}" for n in range(32)]
+    return sharding.place(docs.select("doc_id"), "doc_id", shards)
+
+
+@documents_query
+def op4_training_order(docs: DataFrame) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return training_order.training_order(docs, path, key=0x5EED)
+
+
+@documents_query
+def op5_feistel_pseudonyms(docs: DataFrame) -> DataFrame:
+    replaced = pii.replace_personal(docs, key=b"rotate this key for every release")
+    return replaced.withColumn("n_spans", F.size("spans").cast("long"))

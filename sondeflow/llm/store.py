@@ -78,5 +78,6 @@ def without_ids(docs: DataFrame, id_column: str, dropped: DataFrame) -> DataFram
     flags are shuffled with their texts to the exact comparison.
     """
     marked = flagged(docs, "__maybe", saved(slot_filter(dropped, "id"), "dropped"), id_column)
-    exact = marked.where("__maybe").join(dropped, F.col(id_column) == F.col("id"), "left_anti")
+    named = dropped.select(F.col("id").alias("__dropped"))
+    exact = marked.where("__maybe").join(named, F.col(id_column) == F.col("__dropped"), "left_anti")
     return marked.where("NOT __maybe").unionByName(exact).drop("__maybe")
