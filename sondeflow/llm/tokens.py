@@ -5,6 +5,10 @@ visible character starts one, and so does ASCII punctuation after a letter, so a
 text may be cut there and its parts encoded apart: the ids are the same. Texts
 repeat their words, so the parts are dictionary-encoded first and only new ones
 reach the tokenizer.
+
+The vocabulary is that of the tokenizer file. Its own encoder takes 0.85 s of CPU per
+MB of this corpus, against 0.25 s of a byte-pair encoder with the same ranks, which
+encodes all parts without special tokens; the tests compare the ids of both.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import hashing as H
 
@@ -89,6 +94,10 @@ class Encoder:
         """All ids of the column as 32-bit numbers, and the offset of each text."""
         data, offsets = H.buffers(column)
         places = cuts(data, offsets)
+        for token in self._added:
+            # a special token may span cuts, so a text that spells one stays whole
+            for i in pc.indices_nonzero(pc.fill_null(pc.match_substring(column, token), False)).to_pylist():
+                places = places[(places <= offsets[i]) | (places >= offsets[i + 1])]
         parts = pa.LargeStringArray.from_buffers(
             len(places) - 1, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))
         ).dictionary_encode()

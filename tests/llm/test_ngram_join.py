@@ -1,0 +1,111 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import plain
+import pytest
+from conftest import AWKWARD
+
+from sondeflow.llm import ngram_join
+from sondeflow.llm.queries import QUERIES
+
+
+def linked(df) -> dict:
+    return {r["id"]: (r["n_shingles"], r["component_id"]) for r in df.collect()}
+
+
+def test_query_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = QUERIES["op6_parity_sketch_join"](spark, "/root/testdata/sf0.001").collect()
+    wanted = plain.link_components([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == wanted
+
+
+def test_copies_around_the_threshold(documents):
+    """Families of edited copies, of every size from one shingle to some hundreds."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for size in [*range(1, 24), 30, 31, 32, 33, 60, 64, 79, 80, 125, 128, 130, 200, 260, 300]:
+        base = rng.sample(words, size + 4)
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(7):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, size // 30))):
+                at = rng.randrange(len(copy))
+                edit = rng.choice("dis")
+                copy[at:at + (edit != "i")] = [] if edit == "d" else [rng.choice(words)]
+            if rng.random() < 0.3:
+                copy += rng.sample(words, rng.randint(1, max(1, size // 5)))
+            rows.append((len(rows), " ".join(copy)))
+    rng.shuffle(rows)
+    assert linked(ngram_join.link_components(documents(rows))) == plain.link_components(rows)
+
+
+def test_many_near_copies_and_a_common_passage(documents):
+    """Copies too far from each other meet at their original; a shared passage links nothing."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    original = rng.sample(words, 150)
+    rows = [(0, " ".join(original))]
+    for i in range(1, 160):
+        copy = list(original)
+        for at in rng.sample(range(150), rng.randint(1, 6)):
+            copy[at] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    passage = " ".join(rng.sample(words, 40))
+    rows += [(i, passage + " " + " ".join(rng.sample(words, 60))) for i in range(200, 300)]
+    assert linked(ngram_join.link_components(documents(rows))) == plain.link_components(rows)
+
+
+def test_linked_sets_share_keys():
+    """The pigeonhole bound itself: a pair at the threshold shares more than ``spare`` keys."""
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        a = int(rng.integers(4, 400))
+        most = a // 4
+        extra = int(rng.integers(0, most + 1))
+        gone = int(rng.integers(0, most + 1 - extra))
+        pool = rng.integers(0, 1 << 63, a + extra, dtype=np.uint64)
+        x, y = np.unique(pool[:a]), np.unique(pool[gone:])
+        common = len(np.intersect1d(x, y))
+        if 100 * common < 80 * (len(x) + len(y) - common):
+            continue
+        texts, keys = ngram_join._signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+        shared = len(np.intersect1d(keys[texts == 0], keys[texts == 1]))
+        if len(x) == len(y) == common:
+            continue
+        assert shared > (ngram_join.Bounds.spare(min(len(x), len(y))) if min(len(x), len(y)) > 7 else 0)
+
+
+def test_bit_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (rng.integers(0, 300, int(rng.integers(1, 250)), dtype=np.uint64) for _ in range(2))
+        x, y = np.unique(ngram_join.H.mix(a)), np.unique(ngram_join.H.mix(b))
+        one, two = ngram_join._bit_sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+        assert ngram_join.hamming(one, two) <= len(np.setxor1d(x, y))
+
+
+def test_awkward_rows_and_clashing_columns(documents):
+    got = ngram_join.link_components(documents(AWKWARD, "id n keys size root close")).collect()
+    assert len(got) == len(AWKWARD)
+    found = {r["id"]: (r["n_shingles"], r["component_id"]) for r in got}
+    assert found[1] == (0, 1) and found[2] == (0, 2) and found[3] == (0, 3) and found[12] == (0, 12)
+    assert found[5] == found[6] == (1, 5)
+    assert found[None] == (6, None)
+    assert found[8] == (2, 8) and found[9] == (1, 9)
+
+
+@pytest.mark.parametrize("function", [ngram_join.link_components, ngram_join.keep_first])
+def test_no_document(documents, function):
+    assert function(documents([])).collect() == []
+
+
+def test_one_of_each_group_stays(documents):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = documents([(3, text), (2, text + " more"), (9, "else"), (None, text)], "id")
+    kept = ngram_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {2, 9, None}
