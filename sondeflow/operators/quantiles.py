@@ -1,11 +1,13 @@
 """Exact quantiles of large columns, without sorting or collecting them.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here
-a quantile is found by narrowing. Count the readings per cell of a logarithmic
-scale and keep the cells that hold a wanted rank; cut those into equal cells and
-count again; at last look at the few distinct values that remain. Every pass is
-a scan with a partial aggregate, so tasks exchange cell counts and not readings,
-and a value that fills a third of the table is one count per task.
+a quantile is found digit by digit. A double has 64 bits, and their order as a
+whole number is that of the values. Count the readings per leading 16 bits, keep
+the prefixes that hold a wanted rank, count those by their next 16 bits, and so on:
+after four scans the whole value is known. Every pass is a partial aggregate, so
+tasks exchange counts and not readings, a value that fills a third of the table is
+one count per task, and no distribution puts more than 65,536 counts under one
+prefix.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from ..scale import attach, fits_broadcast, materialized, spread_join
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-# Cells per power of two in the first pass. The offset keeps the cells of
-# positive and negative values apart; no double's exponent reaches it.
-_PER_OCTAVE = 32
-_OFFSET = 40_000
+#: Low bits that each pass leaves out; the last one looks at the whole value.
+SHIFTS = (48, 32, 16, 0)
+
+_MANTISSA = 52
+_LEAST_EXPONENT, _BIAS = -1022, 1023
 
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -69,19 +72,27 @@ def with_group(
     return spread_join(values, groups, keys, weight, null_keys=True)
 
 
-def _log_cell(value: Column) -> Column:
-    """Cell on a scale with equal ratios; it never decreases with the value.
+def ordered_bits(value: Column) -> Column:
+    """The bits of a double as a whole number that orders like the value.
 
-    It needs no knowledge of the data and copes with long tails.
+    Powers of two scale a double exactly, so the result is exact. The logarithm may
+    be off by one next to a power of two, which the comparison with it corrects.
     """
-    size = F.floor(F.least(F.log2(F.abs(value)) * _PER_OCTAVE, F.lit(33_000.0))) + _OFFSET
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
+    size = F.abs(value)
+    guess = F.greatest(F.floor(F.log2(size)), F.lit(_LEAST_EXPONENT))
+    low = F.pow(F.lit(2.0), guess)
+    exponent = F.when(size < low, guess - 1).when(size / low >= 2, guess + 1).otherwise(guess)
+    normal = exponent >= _LEAST_EXPONENT
+    scaled = size / F.pow(F.lit(2.0), F.greatest(exponent, F.lit(_LEAST_EXPONENT)))
+    digits = (F.when(normal, scaled - 1).otherwise(scaled) * float(1 << _MANTISSA)).cast("bigint")
+    leading = F.when(normal, exponent + _BIAS).otherwise(0).cast("bigint")
+    bits = F.shiftleft(leading, _MANTISSA) + digits
+    bits = F.when(size == float("inf"), F.lit((2 * _BIAS + 1) << _MANTISSA)).otherwise(bits)
+    return F.when(value > 0, bits).when(value < 0, -bits).otherwise(F.lit(0).cast("bigint"))
 
 
-def _equal_cell(value: Column, low: Column, high: Column, cells: int) -> Column:
-    """Cell of equal width between two finite values, or 0 for a single value."""
-    at = F.floor((value - low) / (high - low) * cells)
-    return F.when(high > low, F.least(at, F.lit(cells - 1))).otherwise(F.lit(0))
+def _prefix(value: Column, shift: int) -> Column:
+    return F.shiftright(ordered_bits(value), shift)
 
 
 def _sides(total: Column, probabilities: Sequence[float]) -> list[tuple[Column, Column]]:
@@ -109,28 +120,29 @@ def _wanted(ranked: DataFrame, keys: list[str], probabilities: Sequence[float])
     """The cells that hold a wanted rank."""
     ranks = [r for pair in _sides(F.col("total"), probabilities) for r in pair]
     return ranked.where(reduce(lambda a, b: a | b, map(_holds, ranks))).select(
-        *keys, "total", "low", "high", F.col("below").alias("start")
+        *keys, F.col("cell").alias("prefix"), "n", "total", F.col("below").alias("start")
     )
 
 
 def _inside(
-    values: DataFrame, cells: DataFrame, keys: list[str], small: bool, cell: Column
+    values: DataFrame, cells: DataFrame, keys: list[str], small: bool, before: int, shift: int
 ) -> DataFrame:
-    """Readings per finer cell of the given cells."""
-    hit = F.col("value").between(F.col("low"), F.col("high"))
+    """Readings per finer prefix of the given cells."""
+    value = F.col("value")
     counted = (
-        with_group(values, cells, keys, "total", small).where(hit)
-        .groupBy(*keys, F.col("low").alias("from"), cell.alias("cell"))
+        with_group(
+            values.withColumn("prefix", _prefix(value, before)), cells, [*keys, "prefix"], "n", small
+        )
+        .groupBy(*keys, "prefix", _prefix(value, shift).alias("cell"))
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("value").alias("__low"),
-            F.max("value").alias("__high"),
+            F.count(F.lit(1)).alias("__n"),
+            F.min("value").alias("low"),
             F.max("start").alias("start"),
             F.max("total").alias("total"),
         )
-        .withColumnsRenamed({"__low": "low", "__high": "high"})
+        .withColumnRenamed("__n", "n")
     )
-    return _with_ranks(counted, keys, "from")
+    return _with_ranks(counted, keys, "prefix")
 
 
 def exact_quantiles(
@@ -138,32 +150,28 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float] = QUARTILES,
     by: Sequence[str] = (),
-    levels: int = 1,
-    cells: int = 4096,
+    shifts: Sequence[int] = SHIFTS,
 ) -> DataFrame:
     """Quantiles with linear interpolation, per column and group.
 
     One row per ``(*by, parameter)`` that has values, with the number of values
     as ``n`` and the quantiles as ``q0, q1, ...`` in the order asked for.
-    ``levels`` and ``cells`` trade scans against the rows the last pass has to
-    sort; they never change the result.
+    ``shifts`` end in 0 and trade scans against counts per prefix; they never
+    change the result.
     """
     keys = [*by, "position"]
     values = long_values(df, columns, by)
     value = F.col("value")
-    coarse = values.groupBy(*keys, _log_cell(value).alias("cell")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")
+    coarse = values.groupBy(*keys, _prefix(value, shifts[0]).alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("low")
     )
     ranked = _with_ranks(coarse, keys).withColumn(
         "total", F.sum("n").over(Window.partitionBy(*keys))
     )
-    # Without groups: at most two cells per quantile of each listed column.
-    found, small = group_table(_wanted(ranked, keys, probabilities), bounded=not by)
-    for _ in range(levels):
-        finer = _equal_cell(value, F.col("low"), F.col("high"), cells)
-        found = _wanted(_inside(values, found, keys, small, finer), keys, probabilities)
-        found = found if small else materialized(found)
-    ranked = _inside(values, found, keys, small, value)
+    for before, shift in zip(shifts[:-1], shifts[1:]):
+        # Without groups: at most two cells per quantile of each listed column.
+        found, small = group_table(_wanted(ranked, keys, probabilities), bounded=not by)
+        ranked = _inside(values, found, keys, small, before, shift)
 
     quantiles, share = [], []
     for i, (lower, upper) in enumerate(_sides(F.col("total"), probabilities)):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sondeflow.operators import stats
-from sondeflow.operators.quantiles import exact_quantiles, sketched_quantiles
+from sondeflow.operators.quantiles import SHIFTS, exact_quantiles, ordered_bits, sketched_quantiles
 
 from conftest import rows
 
@@ -48,9 +48,9 @@ def df(spark, frame):
     ).repartition(16).cache()
 
 
-@pytest.mark.parametrize("levels, cells", [(0, 1), (1, 4096), (2, 3)])
-def test_exact_quantiles_equal_a_sort(df, frame, levels, cells):
-    found = {r["parameter"]: r for r in exact_quantiles(df, COLUMNS, PROBABILITIES, levels=levels, cells=cells).collect()}
+@pytest.mark.parametrize("shifts", [(0,), (60, 30, 0), SHIFTS])
+def test_exact_quantiles_equal_a_sort(df, frame, shifts):
+    found = {r["parameter"]: r for r in exact_quantiles(df, COLUMNS, PROBABILITIES, shifts=shifts).collect()}
     assert set(found) == set(COLUMNS) - {"nothing"}
     for c, row in found.items():
         values = frame[c].dropna()
@@ -80,6 +80,53 @@ def test_many_groups_take_the_join_without_broadcast(df, monkeypatch):
         assert [sorted(rows(s), key=str) for s in spread] == plain
 
 
+def test_bits_order_like_the_values(spark):
+    """The whole number is the one that the double is stored as, negated below zero."""
+    random = np.random.default_rng(2)
+    powers = 2.0 ** np.arange(-1074, 1024)
+    values = np.concatenate([
+        powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), random.normal(0, 1, 500),
+        random.integers(0, 1 << 62, 500).view(np.float64), [0.0, np.inf],
+    ])
+    values = np.concatenate([values, -values])
+    values = values[~np.isnan(values)]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, v double")
+    found = {r[0]: r[1] for r in df.select("i", ordered_bits(F.col("v"))).collect()}
+    for i, v in enumerate(values):
+        stored = int(np.abs(v).view(np.int64))
+        assert found[i] == (-stored if v < 0 else stored), v
+
+
+@pytest.mark.parametrize("by", [[], ["kind"]])
+def test_no_distribution_fills_a_window(spark, by, monkeypatch):
+    """Values that share all but their last bits, a few far ones, and a hot one."""
+    from sondeflow.operators import quantiles
+
+    random = np.random.default_rng(3)
+    n = 200_000
+    close = 293.15 + random.uniform(0, 1e-5, n)
+    close[:20] += 50
+    frame = pd.DataFrame({
+        "close": close, "even": random.uniform(0, 1e6, n),
+        "hot": np.where(random.random(n) < 0.4, 7.25, random.normal(0, 1, n)), "kind": random.choice(["a", "b"], n),
+    })
+    df = spark.createDataFrame(frame).repartition(8).cache()
+    fullest, plain = [], quantiles._with_ranks
+
+    def watched(cells, keys, *extra):
+        count = cells.groupBy(*keys, *extra).count().agg(F.max("count")).first()[0]
+        fullest.append(count)
+        return plain(cells, keys, *extra)
+
+    monkeypatch.setattr(quantiles, "_with_ranks", watched)
+    columns = ["close", "even", "hot"]
+    for row in exact_quantiles(df, columns, by=by).collect():
+        own = frame if not by else frame[frame.kind == row["kind"]]
+        expected = own[row["parameter"]].quantile([0.25, 0.5, 0.75]).tolist()
+        assert [row["q0"], row["q1"], row["q2"]] == pytest.approx(expected, rel=1e-14)
+    assert len(fullest) == 4 and max(fullest) <= 65_536
+
+
 @pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [float("-inf"), -1.0, 0.0, 5.0, float("inf")],
                                     [-0.0, 0.0, 0.0], [1e308, -1e308, 3.0], [5e-324, 1e-310, -5e-324]])
 def test_quantiles_of_few_and_extreme_values(spark, values):
