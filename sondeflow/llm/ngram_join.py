@@ -16,10 +16,13 @@ the words of one shingle less. A second, dense bit sketch refuses most candidate
 by its Hamming distance, and what is left is verified on the exact sets.
 
 Links are found in two rounds, so that a group of thousands of near copies never
-becomes all of its pairs. First each text is compared with the smallest text of its
-best bucket. Then only texts that are not yet connected are compared, across the
-components that meet in a bucket. Shared counts of sent blocks have a lower bound
-too, which lets each text leave its most crowded buckets out of the second round.
+becomes all of its pairs. First each text is compared with the hubs of its buckets:
+that gives trees of linked texts, and looser families of texts
+that resemble a common hub. Then only texts of different trees are compared. Within
+a family that is done on blocks of bit sketches, of which only pairs that may be linked
+come out; across families, on the buckets where they meet. Shared counts of sent
+blocks have a lower bound too, which lets each text leave its most crowded buckets
+out of the second round.
 
 Defined results: no text, no words: 0 shingles, linked with nothing. Fewer words
 than ``width``: the whole sequence is the only shingle. Equal sets form one class,
@@ -33,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import hashing as H
@@ -46,6 +50,9 @@ _CLASS_A, _CLASS_B, _BLOCK, _ORDER, _BIT, _TINY = (
     np.uint64(x) for x in H._SEEDS.integers(1, 1 << 63, 6, dtype=np.uint64)
 )
 
+#: Texts of a family that are compared with as many others at a time.
+FAMILY_BLOCK = 2048
+
 #: Bits of the dense sketch are limited to this; larger sets only filter less.
 _MOST_BITS = 1 << 16
 
@@ -54,13 +61,13 @@ class Bounds:
     """What a similarity of at least 4/5 implies, in whole numbers.
 
     ``d <= (a + b) / 9`` for the symmetric difference, ``4 b <= 5 a`` for a <= b.
-    A text sends ``sure`` more blocks than the difference can spoil, so linked
-    texts share more than ``spare`` of the sent ones.
+    A text sends 1 + ``spare`` more blocks than the difference can spoil, so linked
+    texts share more than the ``spare`` of the smaller one.
     """
 
     @staticmethod
     def spare(n):
-        return 3 * n // 100
+        return 6 * n // 100
 
     @staticmethod
     def sent(n):
@@ -74,8 +81,8 @@ class Bounds:
 
     @staticmethod
     def blocks(band):
-        """Blocks of a band's sketch, 1.5 to 3 shingles in each."""
-        return (2 * (1 << band) + 2) // 3
+        """Blocks of a band's sketch, 4/3 to 8/3 shingles in each."""
+        return 3 * (1 << band) // 4
 
 
 def _bands(sizes: np.ndarray) -> np.ndarray:
@@ -218,12 +225,54 @@ def set_batches(width: int):
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates whose bit sketches differ no more than linked sets can."""
+    """Candidates that resemble each other, and whether their sets may be linked.
+
+    Linked sets differ in ``(n_a + n_b) / 9`` parities at most; three times that, a
+    similarity of about 0.4, is the looser bound of a family.
+    """
     for batch in batches:
-        most = ((batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) // 9).tolist()
-        pairs = zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), most)
-        keep = pa.array([hamming(a, b) <= d for a, b, d in pairs], pa.bool_())
-        yield batch.select(["a", "b"]).filter(keep)
+        most = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) // 9
+        pairs = zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())
+        apart = np.array([hamming(a, b) for a, b in pairs], dtype=np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array(apart <= most)], names=["a", "b", "close"]
+        ).filter(pa.array(apart <= 3 * most))
+
+
+def _family_block(group: pa.Table) -> pa.Table:
+    """The pairs of a block of texts, one of them a newcomer, that may be linked."""
+    sides = []
+    for side in (True, False):
+        part = group.filter(pc.equal(group.column("newcomer"), side))
+        sides.append([part.column(c).to_numpy() for c in ("rep", "root", "n")] + [part.column("bits").to_pylist()])
+    (rep_x, root_x, n_x, bits_x), (rep_y, root_y, n_y, bits_y) = sides
+    main = group.column("main")[0].as_py()
+    found_a, found_b = [], []
+    lengths_x, lengths_y = (np.array([len(b) for b in bits], dtype=np.int64) for bits in (bits_x, bits_y))
+    for long_x in np.unique(lengths_x).tolist():
+        rows_x = np.flatnonzero(lengths_x == long_x)
+        for long_y in np.unique(lengths_y).tolist():
+            rows_y = np.flatnonzero(lengths_y == long_y)
+            width = min(long_x, long_y)
+            x, y = (_folded([bits[i] for i in rows], width) for bits, rows in ((bits_x, rows_x), (bits_y, rows_y)))
+            strip = max(1, (1 << 24) // (y.nbytes + 1))
+            for s in range(0, len(x), strip):
+                i = rows_x[s:s + strip, None]
+                apart = np.bitwise_count(x[s:s + strip, None, :] ^ y[None]).sum(axis=2, dtype=np.int64)
+                once = (root_y[rows_y] == main) | (rep_x[i] < rep_y[rows_y])
+                ok = (apart <= (n_x[i] + n_y[rows_y]) // 9) & (root_x[i] != root_y[rows_y]) & once
+                u, v = np.nonzero(ok)
+                found_a.append(rep_x[rows_x[s + u]])
+                found_b.append(rep_y[rows_y[v]])
+    a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
+    b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one length as rows of 64-bit words, folded to ``width`` bytes."""
+    rows = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(bits), -1, width // 8)
+    return np.bitwise_xor.reduce(rows, axis=1)
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,15 +295,12 @@ def _with_sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def _verified(candidates: DataFrame, docs: DataFrame, shapes: DataFrame, width: int) -> DataFrame:
-    """The linked ones of the candidate pairs ``(a, b)``.
+def _linked(near: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The pairs ``(a, b)`` that are linked, by their exact sets.
 
-    Only texts of a candidate that passed the bit sketches are read again; a filter
-    of fixed size picks them in the scan, so texts are not shuffled.
+    Only texts of these pairs are read again; a filter of fixed size picks them in the
+    scan, so texts are not shuffled.
     """
-    near = saved(
-        _with_sides(candidates, shapes, "n", "bits").mapInArrow(_near, "a long, b long").distinct(), "near"
-    )
     ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
     texts = maybe_in(docs, slot_filter(ids, "id"), "id")
     sets = saved(texts.mapInArrow(set_batches(width), "id long, held binary").join(ids, "id", "left_semi"), "sets")
@@ -262,7 +308,7 @@ def _verified(candidates: DataFrame, docs: DataFrame, shapes: DataFrame, width:
 
 
 def _shared_buckets(shapes: DataFrame, members: DataFrame) -> DataFrame:
-    """``(key, rep, size)`` where at least two classes sent the key; size counts them.
+    """``(key, rep, size)`` where at least two classes sent the key; ``size`` counts them.
 
     Most keys occur once. Counting 40 bits of each finds those, and a filter of
     fixed size then keeps the rows of the others from the second shuffle.
@@ -278,49 +324,95 @@ def _shared_buckets(shapes: DataFrame, members: DataFrame) -> DataFrame:
         .distinct()
     )
     rows = saved(rows, "buckets")
-    sizes = rows.groupBy("key").agg(F.count("rep").alias("size"), F.min("rep").alias("hub")).where("size > 1")
+    sizes = rows.groupBy("key").agg(F.count("rep").alias("size")).where("size > 1")
     return saved(rows.join(sizes, "key"), "shared")
 
 
 def _first_candidates(shared: DataFrame) -> DataFrame:
-    """Each text with the hub that it shares most buckets with."""
-    hubs = shared.where("rep <> hub").groupBy("rep", "hub").count()
-    best = hubs.groupBy("rep").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
-    return best.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    """Each text with the hubs of its buckets.
 
+    The hub of a bucket is its text with the most company in all its buckets: where
+    many copies differ from one original, that is the original, and copies that are
+    too far from each other still meet there.
+    """
+    company = shared.groupBy("rep").agg(F.sum("size").alias("company"))
+    rows = shared.join(company, "rep")
+    hubs = rows.groupBy("key").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"))
+    met = shared.join(hubs, "key").where("rep <> hub")
+    return met.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
-def _open_candidates(shared: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of texts that share buckets but are not connected yet."""
-    rows = (
-        shared.join(roots, F.col("rep") == F.col("node"), "left")
-        .select("key", "rep", "size", F.coalesce("root", "rep").alias("root"))
-        .join(sizes.withColumnRenamed("id", "rep"), "rep")
+
+def _rooted(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the root of their ``rep``, itself if it has none."""
+    named = roots.select(F.col("node").alias("rep"), F.col("root").alias(name))
+    return rows.join(named, "rep", "left").withColumn(name, F.coalesce(name, "rep"))
+
+
+def _within_families(families: DataFrame, trees: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Pairs of one family but of different trees that may be linked.
+
+    The texts outside a family's largest tree are compared with all of it, on a grid
+    of blocks that bounds what a task holds.
+    """
+    rows = families.select(F.col("node").alias("rep"), F.col("root").alias("family"))
+    rows = _rooted(rows, trees, "root")
+    met = rows.groupBy("family", "root").count()
+    main = met.groupBy("family").agg(
+        F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("trees"),
+        F.sum("count").alias("all"), (F.sum("count") - F.max("count")).alias("newcomers"),
+    ).where("trees > 1")
+    rows = rows.join(main, "family").join(
+        shapes.select(F.col("id").alias("rep"), "n", "bits").dropDuplicates(["rep"]), "rep"
     )
-    met = rows.groupBy("key", "root").count()
+    columns = ["family", "main", "rep", "root", "n", "bits"]
+
+    def grid(side: DataFrame, newcomer: bool) -> DataFrame:
+        own, other = ("newcomers", "all") if newcomer else ("all", "newcomers")
+        chunks = {c: F.ceil(F.col(c) / FAMILY_BLOCK).cast("int") for c in (own, other)}
+        mine = F.pmod(F.xxhash64("rep"), chunks[own]).cast("int")
+        theirs = F.explode(F.sequence(F.lit(0), chunks[other] - 1))
+        names = ("row", "column") if newcomer else ("column", "row")
+        return side.select(*columns, mine.alias(names[0]), theirs.alias(names[1])).withColumn(
+            "newcomer", F.lit(newcomer)
+        )
+
+    both = grid(rows.where("root <> main"), True).unionByName(grid(rows, False))
+    return both.groupBy("family", "row", "column").applyInArrow(_family_block, "a long, b long")
+
+
+def _across_families(
+    shared: DataFrame, families: DataFrame, trees: DataFrame, sizes: DataFrame
+) -> DataFrame:
+    """Pairs of different families and trees that share as many buckets as linked texts do."""
+    rows = _rooted(_rooted(shared, trees, "root"), families, "family")
+    rows = rows.join(sizes.withColumnRenamed("id", "rep"), "rep")
+    met = rows.groupBy("key", "family").count()
     main = met.groupBy("key").agg(
-        F.count(F.lit(1)).alias("trees"), F.max_by("root", F.struct("count", "root")).alias("main")
-    ).where("trees > 1").drop("trees")
+        F.count(F.lit(1)).alias("families"), F.max_by("family", F.struct("count", "family")).alias("main")
+    ).where("families > 1").drop("families")
     rows = rows.join(main, "key")
     # a pair shares more than spare(min) buckets, so each side may leave some out
-    skipped = F.expr("3 * (4 * n DIV 5) DIV 200")
+    skipped = F.expr("6 * (4 * n DIV 5) DIV 100")
     crowded = Window.partitionBy("rep").orderBy(F.desc("size"), "key")
+    side = ("rep", "root", "family", "n", "skipped")
     rows = saved(
         rows.withColumn("crowd", F.row_number().over(crowded))
         .where(F.col("crowd") > skipped)
-        .select("key", "rep", "root", "main", "n", skipped.alias("skipped")),
+        .select("key", "main", "rep", "root", "family", "n", skipped.alias("skipped")),
         "open",
     )
-    # the largest tree of a bucket is not compared with itself
-    left = rows.where("root <> main").select(
-        "key", *(F.col(c).alias(f"{c}_x") for c in ("rep", "root", "n", "skipped"))
+    # the largest family of a bucket is not compared with itself
+    left = rows.where("family <> main").select("key", *(F.col(c).alias(f"{c}_x") for c in side))
+    right = rows.select("key", "main", *(F.col(c).alias(f"{c}_y") for c in side))
+    fits = (
+        (4 * F.greatest("n_x", "n_y") <= 5 * F.least("n_x", "n_y"))
+        & (F.col("root_x") != F.col("root_y")) & (F.col("family_x") != F.col("family_y"))
     )
-    right = rows.select("key", "main", *(F.col(c).alias(f"{c}_y") for c in ("rep", "root", "n", "skipped")))
-    fits = (4 * F.greatest("n_x", "n_y") <= 5 * F.least("n_x", "n_y")) & (F.col("root_x") != F.col("root_y"))
-    # two small trees meet twice, from either side: count them once
-    once = (F.col("root_y") == F.col("main")) | (F.col("rep_x") < F.col("rep_y"))
+    # two small families meet twice, from either side: count them once
+    once = (F.col("family_y") == F.col("main")) | (F.col("rep_x") < F.col("rep_y"))
     pairs = left.join(right, "key").where(fits & once)
     shared_least = (
-        F.expr("1 + 3 * least(n_x, n_y) DIV 100") - F.greatest("skipped_x", "skipped_y")
+        F.expr("1 + 6 * least(n_x, n_y) DIV 100") - F.greatest("skipped_x", "skipped_y")
     )
     return (
         pairs.groupBy(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
@@ -350,11 +442,18 @@ def link_components(
 
     shared = _shared_buckets(shapes, members)
     sizes = shapes.select("id", "n").distinct()
-    links = saved(_verified(_first_candidates(shared), docs, shapes, width), "links")
-    roots = connected(links)
-    rest = _verified(_open_candidates(shared, sizes, roots), docs, shapes, width)
+    near_schema = "a long, b long, close boolean"
+
+    def near(candidates: DataFrame) -> DataFrame:
+        return _with_sides(candidates, shapes, "n", "bits").mapInArrow(_near, near_schema).distinct()
+
+    first = saved(near(_first_candidates(shared)), "near")
+    links = saved(_linked(first.where("close").select("a", "b"), docs, width), "links")
+    trees, families = connected(links), connected(first.select("a", "b"))
+    across = near(_across_families(shared, families, trees, sizes)).where("close").select("a", "b")
+    more = saved(across.union(_within_families(families, trees, shapes)).distinct(), "near")
     copied = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    roots = connected(links.union(rest).union(copied))
+    roots = connected(links.union(_linked(more, docs, width)).union(copied))
     return (
         every.join(roots, (F.col("id") == F.col("node")) & (F.col("n") > 0), "left")
         .select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
