@@ -6,19 +6,16 @@ plain windows, quantile functions and self joins.
 
 from __future__ import annotations
 
-from .queries import EVENT_TYPES, LINE_MEASURES, WINDOWS
+from .queries import EVENT_TYPES, LINE_MEASURES, TEN_MEASURES, WINDOWS
 
 _WEEKDAYS = "['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday']"
 _SEASONS = "['Summer','Autumn','Winter','Spring']"
 
 
 def _mean(x: str, where: str | None = None) -> str:
-    """Mean of values with two decimals, summed as whole hundredths."""
+    """Mean of values with two decimals, as the engine adds decimals."""
     keep = f" FILTER (WHERE {where})" if where else ""
-    return (
-        f"(CAST(SUM(CAST(ROUND({x} * 100) AS BIGINT)){keep} AS DOUBLE)"
-        f" / NULLIF(100 * COUNT({x}){keep}, 0))"
-    )
+    return f"AVG(CAST({x} AS DECIMAL(18, 2))){keep}"
 
 
 def _round(x: str, digits: int) -> str:
@@ -208,18 +205,50 @@ def _overview() -> str:
     )
 
 
-def _gate(view_sql: str, view: str) -> str:
+def _gate(view_sql: str, view: str, raw: str, where: str = "TRUE", time: str = "timestamp") -> str:
+    """The checks of rows of a view against the rows of the raw table."""
     return (
-        f"WITH {view_sql}, f AS (SELECT COUNT(*) AS n, COUNT(*) - COUNT(DISTINCT record_number) AS rep,"
-        f" COUNT(*) FILTER (WHERE season IS NULL) AS no_season, COUNT(DISTINCT season) AS seasons FROM {view})"
-        " SELECT 'row_count_unchanged' AS \"check\", TRUE AS passed, n AS detail FROM f"
+        f"WITH {view_sql}, c AS (SELECT *, {time} AS checked_time FROM {view} WHERE {where}),"
+        " f AS (SELECT COUNT(*) AS n, COUNT(*) - COUNT(DISTINCT record_number) AS rep,"
+        " COUNT(*) FILTER (WHERE season IS NULL) AS no_season, COUNT(DISTINCT season) AS seasons,"
+        " BOOL_AND(typeof(checked_time) LIKE 'TIMESTAMP%') AS typed FROM c)"
+        f" SELECT 'row_count_unchanged' AS \"check\", n = (SELECT COUNT(*) FROM {raw}) AS passed, n AS detail FROM f"
         " UNION ALL SELECT 'key_unique', rep = 0, rep FROM f"
-        " UNION ALL SELECT 'timestamp_typed', TRUE, 0 FROM f"
+        " UNION ALL SELECT 'timestamp_typed', typed, CASE WHEN typed THEN 0 ELSE 1 END FROM f"
         " UNION ALL SELECT 'season_present', no_season = 0, no_season FROM f"
         " UNION ALL SELECT 'seasons_complete', seasons = 4, seasons FROM f"
     )
 
 
+def _summary(where: str = "TRUE") -> str:
+    """Headline numbers of a cleaning that keeps the rows of ``where``."""
+    return (
+        f"WITH {LONG}, f AS (SELECT COUNT(*) AS n, COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT"
+        f" {_KEY} FROM long_range)) AS copies, COUNT(*) - COUNT(DISTINCT record_number) AS rep FROM long_range),"
+        " c AS (SELECT COUNT(*) AS n,"
+        " COUNT(*) FILTER (WHERE l_quantity < 2 OR l_quantity > 49 OR l_discount > 0.09 OR l_tax < 0) AS bad"
+        f" FROM long_range WHERE {where}) SELECT 'Original records' AS metric, n AS value FROM f"
+        " UNION ALL SELECT 'Fully duplicated rows found', copies FROM f"
+        " UNION ALL SELECT 'Duplicate record numbers found', rep FROM f"
+        " UNION ALL SELECT 'Rows failing plausibility checks', bad FROM c"
+        " UNION ALL SELECT 'Records removed during cleaning', f.n - c.n FROM f, c"
+        " UNION ALL SELECT 'Final records', n FROM c"
+    )
+
+
+def _ten() -> str:
+    """Every pair of ten measures with holes, by the engine's own correlation."""
+    measures = ", ".join(
+        f"CASE WHEN l_orderkey % 7 <> {i % 7} THEN CAST({x} AS DOUBLE) END AS m{i}"
+        for i, x in enumerate(TEN_MEASURES)
+    )
+    pairs = _union(
+        f"SELECT 'm{i}' AS column_a, 'm{j}' AS column_b, {_round(f'CORR(m{i}, m{j})', 6)} AS r FROM t"
+        for i in range(10) for j in range(i + 1, 10)
+    )
+    return f"WITH t AS (SELECT {measures} FROM lineitem) {pairs}"
+
+
 def _monthly() -> str:
     parts = []
     for c in ("l_quantity", "l_extendedprice", "l_tax"):
@@ -265,9 +294,12 @@ ORACLE: dict[str, str] = {
         f" {_features('ts')} FROM events",
     "chronological_readings": f"{_lead('readings')}SELECT record_number, timestamp, value FROM readings"
         " ORDER BY timestamp, record_number",
-    "materialized_orders": f"WITH {ORDERS} SELECT record_number, timestamp,"
+    **dict.fromkeys(
+        ("materialized_orders", "materialized_again", "clean_csv_orders", "saved_table_orders"),
+        f"WITH {ORDERS} SELECT record_number, timestamp,"
         " CASE WHEN record_number % 10 > 0 THEN o_totalprice END AS turbidity,"
         " year, month, day, hour, day_of_week, season FROM readings",
+    ),
     "time_features": f"{_lead('readings')}SELECT * FROM readings",
     "time_features_long_range": f"{_lead('long_range')}SELECT {_KEY}, timestamp, year, month, day, hour,"
         " day_of_week, season FROM long_range",
@@ -331,17 +363,21 @@ ORACLE: dict[str, str] = {
     "min_max_ranges": _lead("long_range") + _union(
         f"SELECT '{c}' AS parameter, MIN({c}) AS min, MAX({c}) AS max FROM long_range" for c in LINE_MEASURES
     ),
-    "clean_gate_report": _gate(LONG, "long_range"),
-    "clean_gate_report_orders": _gate(ORDERS, "readings"),
-    "quality_summary": f"WITH {LONG}, f AS (SELECT COUNT(*) AS n, COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT"
-        f" {_KEY} FROM long_range)) AS copies, COUNT(*) - COUNT(DISTINCT record_number) AS rep,"
-        " COUNT(*) FILTER (WHERE l_quantity < 2 OR l_quantity > 49 OR l_discount > 0.09 OR l_tax < 0) AS bad"
-        " FROM long_range) SELECT 'Original records' AS metric, n AS value FROM f"
-        " UNION ALL SELECT 'Fully duplicated rows found', copies FROM f"
-        " UNION ALL SELECT 'Duplicate record numbers found', rep FROM f"
-        " UNION ALL SELECT 'Rows failing plausibility checks', bad FROM f"
-        " UNION ALL SELECT 'Records removed during cleaning', 0 FROM f"
-        " UNION ALL SELECT 'Final records', n FROM f",
+    "clean_gate_report": _gate(LONG, "long_range", "lineitem"),
+    "clean_gate_report_orders": _gate(ORDERS, "readings", "orders"),
+    "clean_gate_report_lost_rows": _gate(LONG, "long_range", "lineitem", "l_quantity > 1"),
+    "clean_gate_report_untyped": _gate(ORDERS, "readings", "orders", time="CAST(timestamp AS VARCHAR)"),
+    "quality_summary": _summary(),
+    "quality_summary_removed": _summary("l_quantity > 3"),
+    "duplicate_whole_rows": f"WITH {LONG}, t AS (SELECT record_number, timestamp, l_linenumber,"
+        f" {', '.join(LINE_MEASURES)} FROM long_range UNION ALL SELECT record_number, timestamp, l_linenumber,"
+        f" {', '.join(LINE_MEASURES)} FROM long_range WHERE l_linenumber = 3)"
+        " SELECT * FROM t QUALIFY COUNT(*) OVER (PARTITION BY t) > 1",
+    "gap_report_millisecond": f"WITH {READINGS}, g AS (SELECT timestamp,"
+        " epoch_us(timestamp) - LAG(epoch_us(timestamp)) OVER (ORDER BY timestamp) AS us FROM readings)"
+        " SELECT COUNT(*) AS gaps, MAX(CAST(us AS DOUBLE) / 1000000.0) AS longest, MAX(timestamp) AS last_end"
+        " FROM g WHERE us > 1000",
+    "correlation_ten_measures": _ten(),
     "monthly_coverage": f"{_lead('long_range')}SELECT year, month, COUNT(*) AS reading_count,"
         " COUNT(DISTINCT day) AS distinct_days_with_readings FROM long_range GROUP BY year, month",
     "monthly_stats": _monthly(),

@@ -25,6 +25,7 @@ from sondeflow.operators import (
 from sondeflow.plans import materialize
 from sondeflow.schema import SEASONS, WEEKDAYS, RangeRule
 from sondeflow.session import ensure_checkpoint_dir
+from sondeflow.sources import readers, writers
 
 from .views import (
     EVENT_TYPES,
@@ -54,6 +55,11 @@ WINDOWS = [
     ("2024-01-10 00:00:00", "2024-01-14 00:00:00", "first event"),
     ("2024-01-20 00:00:00", "2024-01-21 00:00:00", "second event"),
 ]
+#: SQL of ten measures of a line item, each missing for some orders.
+TEN_MEASURES = [
+    "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey", "l_linenumber",
+    "l_extendedprice * l_discount", "l_quantity * (1 - l_tax)", "l_extendedprice / l_quantity",
+]
 LINE_KEY = ["record_number", "l_linenumber"]
 
 
@@ -133,17 +139,56 @@ def chronological_readings(df):
     return cleaning.chronological(df.select("record_number", "timestamp", "value"))
 
 
-def materialized_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw CSV to validated Parquet to SQL, in a new folder among the checkpoints."""
-    folder = f"{ensure_checkpoint_dir(spark)}/catalog-{uuid4().hex}"
+_ORDER_COLUMNS = (
+    "record_number", "turbidity", "year", "month", "day", "hour", "day_of_week", "season",
+)
+
+
+def _order_rows(df: DataFrame) -> DataFrame:
+    return df.select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), *_ORDER_COLUMNS)
+
+
+def _new_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/catalog-{uuid4().hex}"
+
+
+def _materialized(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Raw CSV to validated Parquet, under a view of its own."""
+    view = f"water_quality_{uuid4().hex}"
     raw_orders(spark, sf_dir).write.option("header", True).csv(f"{folder}/raw")
-    materialize(spark, f"{folder}/raw", f"{folder}/clean")
-    return spark.sql(
-        "SELECT record_number, CAST(timestamp AS TIMESTAMP_NTZ) AS timestamp, turbidity,"
-        " year, month, day, hour, day_of_week, season FROM water_quality"
-    )
+    materialize(spark, f"{folder}/raw", f"{folder}/clean", view=view)
+    return view
 
 
+def materialized_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw CSV to validated Parquet to SQL."""
+    return _order_rows(spark.sql(f"SELECT * FROM {_materialized(spark, sf_dir, _new_folder(spark))}"))
+
+
+def materialized_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table is there already, and the raw files are not looked at."""
+    folder = _new_folder(spark)
+    _materialized(spark, sf_dir, folder)
+    return _order_rows(materialize(spark, f"{folder}/nowhere", f"{folder}/clean", view=None))
+
+
+def clean_csv_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned readings to CSV and back, with their types."""
+    folder = _new_folder(spark)
+    writers.write_clean_csv(cleaning.clean(raw_orders(spark, sf_dir)), folder)
+    return _order_rows(readers.read_clean_csv(spark, folder))
+
+
+def saved_table_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned readings as a catalog table."""
+    name = f"orders_{uuid4().hex}"
+    writers.save_table(cleaning.clean(raw_orders(spark, sf_dir)), name, path=_new_folder(spark))
+    return _order_rows(spark.table(name))
+
+
+QUERIES["materialized_again"] = materialized_again
+QUERIES["clean_csv_orders"] = clean_csv_orders
+QUERIES["saved_table_orders"] = saved_table_orders
 QUERIES["materialized_orders"] = materialized_orders
 
 
@@ -318,14 +363,23 @@ def min_max_ranges(df):
     return quality.measure_ranges(df, LINE_MEASURES)
 
 
-@query(long_range)
-def clean_gate_report(df):
-    return quality.gate_report(df, df.count())
+def gate_query(name: str, cleaned: Callable[[SparkSession, str], DataFrame], raw: str) -> None:
+    """The gate over a cleaned frame, against the row count of the raw table."""
+    QUERIES[name] = lambda spark, sf_dir: quality.gate_report(
+        cleaned(spark, sf_dir), table(spark, sf_dir, raw).count()
+    )
 
 
-@query(orders)
-def clean_gate_report_orders(df):
-    return quality.gate_report(df, df.count())
+gate_query("clean_gate_report", long_range, "lineitem")
+gate_query("clean_gate_report_orders", orders, "orders")
+gate_query(
+    "clean_gate_report_lost_rows",
+    lambda spark, sf_dir: long_range(spark, sf_dir).where("l_quantity > 1"), "lineitem",
+)
+gate_query(
+    "clean_gate_report_untyped",
+    lambda spark, sf_dir: orders(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("string")), "orders",
+)
 
 
 @query(long_range)
@@ -335,6 +389,28 @@ def quality_summary(df):
     )
 
 
+@query(long_range)
+def quality_summary_removed(df):
+    return quality.quality_summary(
+        df.select(*LINE_KEY), df.where("l_quantity > 3"), raw_key="record_number", rules=LINE_RULES
+    )
+
+
+@query(long_range)
+def duplicate_whole_rows(df):
+    """Whole rows, of which a union has doubled some."""
+    doubled = df.unionByName(df.where("l_linenumber = 3"))
+    return duplicates.full_duplicates(doubled.select("record_number", "timestamp", "l_linenumber", *LINE_MEASURES))
+
+
+@query(readings)
+def gap_report_millisecond(df):
+    return gaps.gap_report(df, 0.001).agg(
+        F.count(F.lit(1)).alias("gaps"), F.max("gap_seconds").alias("longest"),
+        F.max("gap_ends_at").alias("last_end"),
+    )
+
+
 # calendar aggregation
 
 @query(long_range)
@@ -482,6 +558,17 @@ def correlation_pairs(df):
     return stats.correlation_pairs(df, EVENT_TYPES, digits=6)
 
 
+def correlation_ten_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem").select(*[
+        F.expr(f"CASE WHEN l_orderkey % 7 <> {i % 7} THEN CAST({x} AS DOUBLE) END").alias(f"m{i}")
+        for i, x in enumerate(TEN_MEASURES)
+    ])
+    return stats.correlation_pairs(df, [f"m{i}" for i in range(10)], digits=6)
+
+
+QUERIES["correlation_ten_measures"] = correlation_ten_measures
+
+
 @query(long_range)
 def correlation_matrix(df):
     return stats.correlation_matrix(df, LINE_MEASURES, digits=6)

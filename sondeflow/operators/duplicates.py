@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..scale import keyed_join
+from ..scale import attach
 
 #: Copies written back by one task for one duplicated row.
 _COPIES_PER_CHUNK = 100_000
@@ -59,14 +59,14 @@ def repeated_keys(df: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def duplicate_key_rows(df: DataFrame, *columns: str, limit: int | None = None) -> DataFrame:
+def duplicate_key_rows(df: DataFrame, *columns: str) -> DataFrame:
     """All rows whose key occurs more than once. A NULL key is never reported.
 
-    ``limit`` is the size in bytes up to which the keys are broadcast.
+    Nothing runs while the frame is built. The repeated keys are a partial aggregate;
+    adaptive execution broadcasts them if they turn out small, and otherwise
+    splits the tasks of a key that holds much of the table.
     """
-    return keyed_join(
-        df, repeated_keys(df, *columns), list(columns), "occurrences", "left_semi", limit
-    )
+    return attach(df, repeated_keys(df, *columns), list(columns), "left_semi")
 
 
 def top_repeated(df: DataFrame, column: str = "timestamp", k: int = 10) -> DataFrame:
@@ -81,8 +81,18 @@ def rows_sharing(
     order: Sequence[str] = ("timestamp", "record_number"),
     k: int | None = 10,
 ) -> DataFrame:
-    """Rows that share a value with another row, the first ``k`` in order."""
+    """Rows that share a value with another row, the first ``k`` in order.
+
+    When the shared value comes first in the order, ``k`` rows lie within the first
+    ``k`` repeated values, and only those are looked up.
+    """
     wanted = list(dict.fromkeys([*(show or df.columns), *order]))
-    rows = duplicate_key_rows(df.select(*wanted), column).orderBy(*order)
+    rows = df.select(*wanted)
+    if k is not None and order and order[0] == column:
+        first = repeated_keys(rows, column).where(F.col(column).isNotNull()).orderBy(column).limit(k)
+        rows = attach(rows, first, [column], "left_semi", broadcast=True)
+    else:
+        rows = duplicate_key_rows(rows, column)
+    rows = rows.orderBy(*order)
     rows = rows if k is None else rows.limit(k)
     return rows.select(*(show or df.columns))

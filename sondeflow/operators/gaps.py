@@ -2,11 +2,14 @@
 
 The previous reading of every reading needs an order over the whole table. A
 window over all readings would be one task, so time is cut into short slots:
-order is needed inside a slot, between the slots of a day, and between days.
+order is needed inside a slot, between the slots of a longer unit, and so on up to
+days.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MICROS = 1_000_000
@@ -22,20 +25,29 @@ def _floor(value: Column, step: int) -> Column:
     return value - F.pmod(value, F.lit(step).cast("bigint"))
 
 
-def _between_slots(slots: DataFrame) -> DataFrame:
+#: Slots are compared within ever longer units, so that no window has more than some
+#: ten thousand rows, down to a limit of a microsecond.
+_UNITS = (50_000, _MINUTE, _DAY)
+
+
+def _between_slots(slots: DataFrame, width: int) -> DataFrame:
     """Gaps from the last reading of a slot to the first of the next slot.
 
-    ``slots`` has one row per slot that holds readings: ``day, low, high`` in
-    microseconds. Slots are compared within their day, then days among
-    themselves, so the only unpartitioned window is over days.
+    ``slots`` has one row per slot of ``width`` that holds readings: ``low, high`` in
+    microseconds. Slots are compared within the next longer unit, then those units
+    within the one after it, and days among themselves: the only unpartitioned window
+    is over days.
     """
-    in_day = Window.partitionBy("day").orderBy("low")
-    within = slots.select(F.lag("high").over(in_day).alias("before"), F.col("low").alias("after"))
-    days = slots.groupBy("day").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    across = days.select(
-        F.lag("high").over(Window.orderBy("day")).alias("before"), F.col("low").alias("after")
-    )
-    return within.unionByName(across).where(F.col("before").isNotNull())
+    gaps = []
+    for unit in (u for u in _UNITS if u > width or u == _DAY):
+        slots = slots.withColumn("unit", _floor(F.col("low"), unit))
+        inside = Window.partitionBy("unit").orderBy("low")
+        gaps.append(slots.select(F.lag("high").over(inside).alias("before"), F.col("low").alias("after")))
+        slots = slots.groupBy("unit").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    gaps.append(slots.select(
+        F.lag("high").over(Window.orderBy("low")).alias("before"), F.col("low").alias("after")
+    ))
+    return reduce(DataFrame.unionByName, gaps).where(F.col("before").isNotNull())
 
 
 def gap_report(
@@ -52,17 +64,20 @@ def gap_report(
     """
     limit = round(longer_than_seconds * MICROS)
     width = min(max(limit, 1), _DAY)
+    # slots end where a unit ends, so that each lies in one
+    unit = min(u for u in _UNITS if u >= width)
     slots = (
         df.where(F.col(timestamp_column).isNotNull())
         .select(_micros(timestamp_column).alias("t"))
-        .withColumn("day", _floor(F.col("t"), _DAY))
-        .groupBy("day", _floor(F.col("t") - F.col("day"), width).alias("slot"))
+        .withColumn("unit", _floor(F.col("t"), unit))
+        .groupBy("unit", _floor(F.col("t") - F.col("unit"), width).alias("slot"))
         .agg(F.min("t").alias("low"), F.max("t").alias("high"))
+        .drop("unit")
     )
     length = F.col("after") - F.col("before")
     back = df.schema[timestamp_column].dataType
     return (
-        _between_slots(slots)
+        _between_slots(slots, width)
         .where(length > limit)
         .select(
             F.timestamp_micros("after").cast(back).alias("gap_ends_at"),
@@ -104,9 +119,8 @@ def interval_counts(
     ))).where(F.col("length").isNotNull() & (F.col("n") > 0))
     heads = (
         times.groupBy("slot").agg(F.min("t").alias("low"), F.max("t").alias("high"))
-        .withColumn("day", _floor(F.col("slot"), _DAY))
     )
-    between = _between_slots(heads).select(
+    between = _between_slots(heads, _MINUTE).select(
         (F.col("after") - F.col("before")).alias("length"), F.lit(1).cast("bigint").alias("n")
     )
     step = max(1, round((unit_seconds or 0) * MICROS))

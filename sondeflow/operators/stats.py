@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import one_row_per_column, ratio, rounded, steady_mean
+from ..functions import nan_to_null, one_row_per_column, ratio, rounded, steady_mean
 from .quantiles import (
     QUARTILES,
     exact_quantiles,
@@ -24,6 +25,10 @@ def _quartiles(df: DataFrame, columns: Sequence[str], by: Sequence[str], exact:
     return find(df, columns, QUARTILES, by)
 
 
+def _is_float(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName() in ("float", "double")
+
+
 def describe_measures(
     df: DataFrame,
     columns: Sequence[str],
@@ -33,9 +38,10 @@ def describe_measures(
 ) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles, maximum, missing %.
 
-    One row per column. Quartiles interpolate linearly; ``exact=False`` takes
-    them from a one-scan sketch.
+    One row per column. NaN is a missing value here as everywhere. Quartiles
+    interpolate linearly; ``exact=False`` takes them from a one-scan sketch.
     """
+    df = df.select([nan_to_null(c).alias(c) if c in columns and _is_float(df, c) else c for c in df.columns])
     wide = df.agg(
         F.count(F.lit(1)).alias("__rows"),
         *[F.count(c).alias(f"{c}_n") for c in columns],
@@ -74,7 +80,7 @@ def coefficient_of_variation(
     A mean of zero gives NULL.
     """
     wide = df.agg(*[
-        ratio(F.stddev_samp(c), F.abs(F.avg(c))).alias(c) for c in columns
+        ratio(F.stddev_samp(nan_to_null(c)), F.abs(F.avg(nan_to_null(c)))).alias(c) for c in columns
     ])
     return one_row_per_column(
         wide, "parameter", {c: {"cv": rounded(F.col(c), digits)} for c in columns}
@@ -192,32 +198,41 @@ def histogram(
     return named(filled, columns).orderBy("parameter", "bin")
 
 
+#: Pairs in one aggregate. Each takes six buffers, and generated code is given up
+#: beyond a hundred columns.
+_PAIRS_PER_AGGREGATE = 15
+
+
 def _pearson(a: str, b: str) -> Column:
     """Correlation over the rows that have both values; NULL for a constant."""
-    x = F.when(F.col(b).isNotNull(), F.col(a))
-    y = F.when(F.col(a).isNotNull(), F.col(b))
-    return ratio(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+    return nan_to_null(F.corr(nan_to_null(a), nan_to_null(b)))
 
 
 def _correlations(df: DataFrame, columns: Sequence[str], mirrored: bool) -> DataFrame:
-    """Correlations in long form, from one aggregate over all columns."""
+    """Correlations in long form, from few aggregates that each stay in generated code."""
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
     pairs = list(combinations(columns, 2))
-    wide = df.agg(
-        *[_pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
-        *([F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)] if mirrored else []),
-    )
-    entries = [(a, b, F.col(f"r{i}")) for i, (a, b) in enumerate(pairs)]
+    parts = []
+    for start in range(0, len(pairs), _PAIRS_PER_AGGREGATE):
+        chunk = pairs[start:start + _PAIRS_PER_AGGREGATE]
+        wide = df.agg(*[_pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
+        entries = [(a, b, F.col(f"r{i}")) for i, (a, b) in enumerate(chunk)]
+        if mirrored:
+            entries += [(b, a, r) for a, b, r in entries]
+        parts.append((wide, entries))
     if mirrored:
-        entries += [(b, a, r) for a, b, r in entries]
-        entries += [
+        wide = df.agg(*[F.stddev_pop(nan_to_null(c)).alias(f"s{i}") for i, c in enumerate(columns)])
+        parts.append((wide, [
             (c, c, F.when(F.col(f"s{i}") > 0, F.lit(1.0))) for i, c in enumerate(columns)
-        ]
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("r"))
-        for a, b, r in entries
-    ])))
+        ]))
+    return reduce(DataFrame.unionByName, [
+        wide.select(F.inline(F.array(*[
+            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("r"))
+            for a, b, r in entries
+        ])))
+        for wide, entries in parts
+    ])
 
 
 def correlation_pairs(
@@ -270,12 +285,24 @@ def reproducible_sample(
     """Random sample of exactly ``min(size, rows)`` rows.
 
     Rows are ordered by a digest of key and seed, so the sample is the same for
-    every partitioning. Each task keeps its own first ``size`` rows only.
+    every partitioning. Only rows below a digest threshold take part: about half as
+    many again as asked for, whatever the number of tasks. The threshold follows from
+    the number of rows, which is counted first, and is raised while it lets too few
+    pass (keys that repeat share a digest).
     ``digest="md5"`` is slower and picks rows that other engines can pick too.
     """
     if digest == "md5":
         order = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+        limit = lambda share: F.lit(f"{int(share * (1 << 128)):032x}")
     else:
         order = F.xxhash64(*key, F.lit(seed))
+        limit = lambda share: F.lit(int(share * (1 << 64)) - (1 << 63))
+    total = df.count()
+    wanted, share = min(size, total), 1.0
+    if total > 4 * size:
+        share = (1.5 * size + 100) / total
+        while share < 1 and df.where(order < limit(share)).limit(wanted).count() < wanted:
+            share *= 4
     rest = [c for c in df.columns if c not in key]
-    return df.orderBy(order, *key, *rest).limit(size)
+    picked = df.where(order < limit(share)) if share < 1 else df
+    return picked.orderBy(order, *key, *rest).limit(size)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import rounded, steady_mean
-from ..scale import keyed_join
+from ..scale import attach
 
 
 def rolling_mean(
@@ -68,22 +68,20 @@ def _with_day_mean(
     column: str,
     timestamp_column: str,
     resolution: int | None,
-    limit: int | None = None,
 ) -> DataFrame:
     """Put the mean of its day next to every non-missing reading.
 
     A window partitioned by day would hold a whole day in one task, and one day
     may hold much of the table. The daily means are aggregated and joined
-    instead, by day number; readings stay where they were read.
+    instead, by day number. A date has some four million values at most, and a
+    century of days is below a megabyte, so the days are broadcast and readings stay
+    where they were read.
     """
     readings = df.where(F.col(column).isNotNull()).withColumn(
         "__day", F.unix_date(F.to_date(timestamp_column))
     )
-    days = readings.groupBy("__day").agg(
-        F.count(F.lit(1)).alias("__readings"),
-        steady_mean(column, resolution).alias("day_mean"),
-    )
-    return keyed_join(readings, days, ["__day"], "__readings", limit=limit).drop("__day")
+    days = readings.groupBy("__day").agg(steady_mean(column, resolution).alias("day_mean"))
+    return attach(readings, days, ["__day"], broadcast=True).drop("__day")
 
 
 def deviation_from_day(
@@ -92,10 +90,9 @@ def deviation_from_day(
     timestamp_column: str = "timestamp",
     digits: int | None = 2,
     resolution: int | None = None,
-    limit: int | None = None,
 ) -> DataFrame:
     """Difference of each reading from the mean of its day."""
-    joined = _with_day_mean(df, column, timestamp_column, resolution, limit)
+    joined = _with_day_mean(df, column, timestamp_column, resolution)
     deviation = F.col(column) - F.col("day_mean")
     return joined.withColumns({
         "deviation": rounded(deviation, digits),

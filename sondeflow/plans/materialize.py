@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import argparse
+from uuid import uuid4
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators.cleaning import clean
 from ..operators.quality import assert_clean
@@ -13,23 +13,41 @@ from ..session import configure, session
 from ..sources import read_clean_parquet, read_raw_csv, register_view, write_clean_parquet
 
 
+def _located(spark: SparkSession, path: str):
+    """The file system that holds ``path``, and the path as it names it."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
+
+
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return read_clean_parquet(spark, path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    """The table, if a writer has finished it: the marker is written last."""
+    files, marker = _located(spark, f"{path}/_SUCCESS")
+    return read_clean_parquet(spark, path) if files.exists(marker) else None
 
 
-def checked_clean(raw: DataFrame, southern: bool = True, malformed: str = "raise") -> DataFrame:
-    """Clean the raw readings and raise unless the result passes the gate.
+def build(
+    spark: SparkSession, raw: DataFrame, clean_path: str, southern: bool = True,
+    rebalance: bool = True, malformed: str = "raise",
+) -> None:
+    """Write the cleaned table next to its place, check it, and move it there.
 
-    Counting raw rows parses no column, and the gate parses the few it needs.
+    The raw rows are read once and counted as they pass. The gate reads the written
+    Parquet. A table that fails it is removed, and ``AssertionError`` names the
+    failed checks; a half-written one in the place is replaced.
     """
-    cleaned = clean(raw, southern, malformed)
-    assert_clean(cleaned, raw.count())
-    return cleaned
+    staging = f"{clean_path.rstrip('/')}.building-{uuid4().hex}"
+    files, staged = _located(spark, staging)
+    seen = Observation("raw readings")
+    try:
+        counted = raw.observe(seen, F.count(F.lit(1)).alias("rows"))
+        write_clean_parquet(clean(counted, southern, malformed), staging, rebalance)
+        assert_clean(read_clean_parquet(spark, staging), seen.get["rows"])
+        _, place = _located(spark, clean_path)
+        files.delete(place, True)
+        if not files.rename(staged, place):
+            raise OSError(f"{staging} could not be moved to {clean_path}")
+    finally:
+        files.delete(staged, True)
 
 
 def materialize(
@@ -37,15 +55,14 @@ def materialize(
     raw_path: str,
     clean_path: str,
     southern: bool = True,
-    rebalance: bool = False,
+    rebalance: bool = True,
     view: str | None = "water_quality",
 ) -> DataFrame:
     """The cleaned table, built from the raw file if it is not there yet."""
     configure(spark)
-    table = _existing(spark, clean_path)
-    if table is None:
-        write_clean_parquet(checked_clean(read_raw_csv(spark, raw_path), southern), clean_path, rebalance)
-        table = read_clean_parquet(spark, clean_path)
+    if _existing(spark, clean_path) is None:
+        build(spark, read_raw_csv(spark, raw_path), clean_path, southern, rebalance)
+    table = read_clean_parquet(spark, clean_path)
     if view:
         register_view(table, view)
     return table
@@ -55,10 +72,10 @@ def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("raw_path")
     parser.add_argument("clean_path")
-    parser.add_argument("--rebalance", action="store_true", help="raw files are not in time order")
+    parser.add_argument("--ordered", action="store_true", help="raw files are in time order already")
     options = parser.parse_args()
     spark = session("materialize readings")
     try:
-        materialize(spark, options.raw_path, options.clean_path, rebalance=options.rebalance)
+        materialize(spark, options.raw_path, options.clean_path, rebalance=not options.ordered)
     finally:
         spark.stop()

@@ -87,24 +87,3 @@ def spread_join(
     return attach(big, hot, keys, how, null_keys, broadcast=True).unionByName(
         attach(rest, cold, keys, how, null_keys)
     )
-
-
-def keyed_join(
-    big: DataFrame,
-    groups: DataFrame,
-    keys: list[str],
-    weight: str,
-    how: str = "inner",
-    limit: int | None = None,
-) -> DataFrame:
-    """Join ``big`` with ``groups``, which has one row per key of ``big``.
-
-    ``weight`` names the column of ``groups`` that counts the rows of ``big``
-    under the key. ``how`` is ``inner`` or ``left_semi``; rows of ``big`` with a
-    NULL key never match. A group table within the broadcast limit leaves the
-    big side where it is; see :func:`spread_join` for any other.
-    """
-    groups = materialized(groups)
-    if fits_broadcast(groups, limit):
-        return attach(big, groups, keys, how, broadcast=True).drop(weight)
-    return spread_join(big, groups, keys, weight, how).drop(weight)

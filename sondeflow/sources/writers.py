@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, functions as F
 def write_clean_parquet(
     df: DataFrame,
     path: str,
-    rebalance: bool = False,
+    rebalance: bool = True,
     rows_per_file: int = 50_000_000,
 ) -> None:
     """Overwrite ``path`` with Parquet laid out by year and month.
 
-    Readings usually arrive in time order, so a task holds one or two months and
-    no shuffle is needed. For unordered input ``rebalance`` groups rows by month
-    first; the adaptive planner splits large months over several tasks. Rows are
-    in time order inside a file, so a time filter skips row groups.
+    ``rebalance`` groups rows by month first, so that a task does not write to every
+    month; the adaptive planner splits large months over several tasks. Readings
+    that arrive in time order do without: a task then holds one or two months. Rows
+    are in time order inside a file, so a time filter skips row groups.
     """
     if rebalance:
         df = df.hint("rebalance", F.col("year"), F.col("month"))

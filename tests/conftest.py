@@ -13,7 +13,7 @@ sys.path.insert(0, ROOT)
 
 from sondeflow import session  # noqa: E402
 from sondeflow.operators import cleaning  # noqa: E402
-from sondeflow.schema import RAW_TO_CLEAN  # noqa: E402
+from sondeflow.schema import MEASURES, PHYSICAL_RULES, RAW_TO_CLEAN  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -32,22 +32,26 @@ def spark(tmp_path_factory):
     spark.stop()
 
 
-RANGES = {
-    "Average Water Speed": (0, 1), "Average Water Direction": (0, 360), "Chlorophyll": (0, 20),
-    "Temperature": (15, 28), "Dissolved Oxygen": (4, 9),
-    "Dissolved Oxygen (%Saturation)": (50, 110), "pH": (6.5, 8.5), "Salinity": (0, 30),
-    "Specific Conductance": (100, 50000), "Turbidity": (0, 50),
-}
+#: Our own readings: when they start, their first number, and how many there are.
+START, FIRST, ROWS = datetime(2021, 2, 27, 3), 5000, 360
 
 
-def raw_frame(n: int = 400, hours: int = 12) -> pd.DataFrame:
+def plausible(name: str) -> tuple[float, float]:
+    """A range inside the physical limits of the measure, from 5 to 95 % of them."""
+    limits = [(r.low, r.high) for r in PHYSICAL_RULES if RAW_TO_CLEAN[name] in r.columns]
+    low = max((low for low, _ in limits if low is not None), default=0)
+    high = min((high for _, high in limits if high is not None), default=low + 40)
+    return low + 0.05 * (high - low), high - 0.05 * (high - low)
+
+
+def raw_frame(n: int = ROWS, hours: int = 15) -> pd.DataFrame:
     """Readings under raw headers: fixed seed, text timestamps, empty flags."""
     random = np.random.default_rng(7)
-    start = datetime(2023, 8, 4)
+    measures = [name for name, clean_name in RAW_TO_CLEAN.items() if clean_name in MEASURES]
     frame = pd.DataFrame({
-        "Timestamp": [str(start + timedelta(hours=hours * i)) for i in range(n)],
-        "Record number": np.arange(1000, 1000 + n),
-        **{name: random.uniform(low, high, n).round(4) for name, (low, high) in RANGES.items()},
+        "Timestamp": [str(START + timedelta(hours=hours * i)) for i in range(n)],
+        "Record number": np.arange(FIRST, FIRST + n),
+        **{name: random.uniform(*plausible(name), n).round(4) for name in measures},
     })
     for name in RAW_TO_CLEAN:
         if name.endswith("[quality]"):

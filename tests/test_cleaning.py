@@ -9,7 +9,7 @@ from sondeflow.functions import as_category, ordinal, season_of
 from sondeflow.operators import cleaning, duplicates, missingness, quality
 from sondeflow.schema import MEASURES, SEASONS, WEEKDAYS
 
-from conftest import raw_frame, readings, rows, to_spark
+from conftest import FIRST, ROWS, START, raw_frame, readings, rows, to_spark
 
 
 def test_rename_gives_clean_names(raw):
@@ -37,7 +37,7 @@ def test_timestamp_is_typed_and_keeps_its_value(raw):
     after = cleaning.convert_timestamp(before)
     assert isinstance(before.schema["timestamp"].dataType, T.StringType)
     assert isinstance(after.schema["timestamp"].dataType, T.TimestampType)
-    assert after.orderBy("record_number").first()["timestamp"] == dt.datetime(2023, 8, 4)
+    assert after.orderBy("record_number").first()["timestamp"] == START
 
 
 def test_malformed_timestamp_raises_or_becomes_null(spark):
@@ -49,7 +49,7 @@ def test_malformed_timestamp_raises_or_becomes_null(spark):
 
 
 def test_nan_becomes_null(clean):
-    assert clean.where(F.col("turbidity_quality").isNull()).count() == 400
+    assert clean.where(F.col("turbidity_quality").isNull()).count() == ROWS
 
 
 def test_clean_keeps_every_row(raw, clean):
@@ -68,7 +68,7 @@ def test_injected_duplicate_row_gives_both_copies(clean):
 
 
 def test_injected_duplicate_number_gives_both_rows(clean):
-    again = clean.where("record_number = 1005").withColumn("turbidity", F.lit(1.0))
+    again = clean.where(F.col("record_number") == FIRST + 77).withColumn("turbidity", F.lit(1.0))
     found = duplicates.duplicate_key_rows(clean.unionByName(again), "record_number")
     assert found.count() == 2
     assert found.select("record_number").distinct().count() == 1
@@ -79,20 +79,20 @@ def test_nothing_missing_in_clean_data(clean):
 
 
 def test_injected_missing_values_are_counted(clean):
-    holes = clean.withColumn(
-        "temperature", F.when(F.col("record_number") >= 1010, F.col("temperature"))
-    )
+    seventh = F.col("record_number") % 7 == 0
+    holes = clean.withColumn("chlorophyll", F.when(~seventh, F.col("chlorophyll")))
+    missing = sum(number % 7 == 0 for number in range(FIRST, FIRST + ROWS))
     summary = {r[0]: r[1:] for r in rows(missingness.missingness_summary(holes, MEASURES))}
-    assert summary["temperature"] == (10, round(10 / 400 * 100, 2))
+    assert summary["chlorophyll"] == (missing, round(missing / ROWS * 100, 2))
 
 
 def test_missingness_lists_the_worst_first(clean):
     holes = clean.withColumns({
-        "salinity": F.when(F.col("record_number") >= 1050, F.col("salinity")),
-        "turbidity": F.when(F.col("record_number") >= 1005, F.col("turbidity")),
+        "water_speed": F.when(F.col("record_number") % 3 > 0, F.col("water_speed")),
+        "ph": F.when(F.col("record_number") % 11 > 0, F.col("ph")),
     })
     listed = [r[0] for r in rows(missingness.missingness_summary(holes, MEASURES))]
-    assert listed[:2] == ["salinity", "turbidity"]
+    assert listed[:2] == ["water_speed", "ph"]
 
 
 def test_ranges_hold_in_clean_data(clean):
@@ -103,14 +103,14 @@ def test_ranges_hold_in_clean_data(clean):
 
 
 @pytest.mark.parametrize("column, value, check", [
-    ("ph", 20.0, "invalid_ph"),
-    ("water_direction", 400.0, "invalid_water_direction"),
-    ("dissolved_oxygen_pct_sat", 201.0, "implausible_do_saturation"),
-    ("turbidity", -5.0, "negative_values"),
+    ("ph", 14.5, "invalid_ph"),
+    ("water_direction", 360.25, "invalid_water_direction"),
+    ("dissolved_oxygen_pct_sat", 230.0, "implausible_do_saturation"),
+    ("chlorophyll", -0.125, "negative_values"),
 ])
 def test_injected_faults_are_found(clean, column, value, check):
     faulty = clean.withColumn(
-        column, F.when(F.col("record_number") == 1000, F.lit(value)).otherwise(F.col(column))
+        column, F.when(F.col("record_number") == FIRST + 200, F.lit(value)).otherwise(F.col(column))
     )
     assert quality.range_counts(faulty) == {**quality.range_counts(clean), check: 1}
 
@@ -121,12 +121,21 @@ def test_missing_values_and_absent_columns_never_fail(spark):
     assert quality.range_counts(df.select(F.lit(1).alias("other"))) == {}
 
 
+def test_chronological_order(spark):
+    """Rows come out by time, equal times by number."""
+    df = readings(spark, [("2024-01-03", 0.0), (None, 0.0), ("2024-01-01", 0.0), ("2024-01-03", 0.0), ("2024-01-02", 0.0)])
+    ordered = cleaning.chronological(df.repartition(3)).select("timestamp", "record_number")
+    times = [r[0] for r in rows(ordered) if r[0] is not None]
+    assert times == sorted(times) and len(times) == 4
+    assert [r[1] for r in rows(ordered) if r[0] is not None] == [2, 4, 0, 3]
+
+
 def test_time_features(clean):
     row = clean.orderBy("timestamp").select(
         "year", "month", "day", "hour", "day_of_week", "season"
     ).first()
-    assert tuple(row) == (2023, 8, 4, 0, "Friday", "Winter")
-    assert clean.where("month = 8 and season <> 'Winter'").count() == 0
+    assert tuple(row) == (2021, 2, 27, 3, "Saturday", "Summer")
+    assert clean.where("month = 7 and season <> 'Winter'").count() == 0
     assert {r[0] for r in rows(clean.select("season").distinct())} <= set(SEASONS)
 
 
@@ -161,18 +170,21 @@ def test_present_measures(clean):
     assert cleaning.select_measures(some).columns == ["ph", "turbidity"]
 
 
-def gate_input(spark, n=2000):
-    frame = raw_frame(n, hours=4)[["Timestamp", "Record number"]]
+GATE_ROWS = 1500
+
+
+def gate_input(spark, n=GATE_ROWS):
+    frame = raw_frame(n, hours=6)[["Timestamp", "Record number"]]
     return cleaning.clean(to_spark(spark, frame))
 
 
 def test_gate_passes_and_fails(spark):
     df = gate_input(spark)
-    quality.assert_clean(df, 2000)
+    quality.assert_clean(df, GATE_ROWS)
     with pytest.raises(AssertionError, match="row_count_unchanged"):
-        quality.assert_clean(df.limit(1999), 2000)
+        quality.assert_clean(df.limit(GATE_ROWS - 7), GATE_ROWS)
     with pytest.raises(AssertionError, match="key_unique"):
-        quality.assert_clean(df.withColumn("record_number", F.lit(0)), 2000)
+        quality.assert_clean(df.withColumn("record_number", F.lit(12)), GATE_ROWS)
 
 
 def test_gate_reports_every_kind_of_failure(spark):
@@ -180,7 +192,7 @@ def test_gate_reports_every_kind_of_failure(spark):
     broken = {
         "timestamp_typed": df.withColumn("timestamp", F.col("timestamp").cast("string")),
         "season_present": df.withColumn(
-            "season", F.when(F.col("record_number") > 1000, F.col("season"))
+            "season", F.when(F.col("record_number") > FIRST, F.col("season"))
         ),
         "seasons_complete": df.where("season <> 'Autumn'"),
     }
@@ -191,10 +203,10 @@ def test_gate_reports_every_kind_of_failure(spark):
 
 def test_quality_summary_counts_instead_of_assuming(raw, clean):
     doubled = raw.unionByName(raw.limit(3))
-    faulty = clean.withColumn("ph", F.lit(20.0))
+    faulty = clean.withColumn("ph", F.lit(15.0))
     numbers = dict(rows(quality.quality_summary(doubled, faulty, raw_key="Record number")))
     assert numbers == {
-        "Original records": 403, "Fully duplicated rows found": 3,
-        "Duplicate record numbers found": 3, "Rows failing plausibility checks": 400,
-        "Records removed during cleaning": 3, "Final records": 400,
+        "Original records": ROWS + 3, "Fully duplicated rows found": 3,
+        "Duplicate record numbers found": 3, "Rows failing plausibility checks": ROWS,
+        "Records removed during cleaning": 3, "Final records": ROWS,
     }

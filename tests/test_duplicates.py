@@ -16,9 +16,8 @@ def ids(spark):
     return spark.createDataFrame([(i, n) for n, i in enumerate(IDS)], "record_number bigint, n int")
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_rows_of_repeated_numbers_leave_out_null(ids, limit):
-    found = duplicates.duplicate_key_rows(ids, "record_number", limit=limit)
+def test_rows_of_repeated_numbers_leave_out_null(ids):
+    found = duplicates.duplicate_key_rows(ids, "record_number")
     assert sorted(r[1] for r in rows(found.select("record_number", "n"))) == [3, 4, 5, 6, 7]
 
 
@@ -71,11 +70,11 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left_semi"])
-def test_keyed_join_is_the_same_join_beyond_the_broadcast_limit(skewed, how):
+def test_spread_join_is_the_same_join(skewed, how):
     groups = skewed.groupBy("key").agg(F.count(F.lit(1)).alias("w"), F.max("n").alias("top"))
     groups = groups.where("w > 3")
     plain = skewed.join(groups.drop("w"), "key", how)
-    spread = scale.keyed_join(skewed, groups, ["key"], "w", how, limit=10)
+    spread = scale.spread_join(skewed, scale.materialized(groups), ["key"], "w", how).drop("w")
     plain = plain.select(*spread.columns)
     assert plain.exceptAll(spread).isEmpty() and spread.exceptAll(plain).isEmpty()
 
@@ -83,14 +82,41 @@ def test_keyed_join_is_the_same_join_beyond_the_broadcast_limit(skewed, how):
 def test_hot_keys_never_reach_the_shuffle(skewed, monkeypatch):
     monkeypatch.setattr(scale, "HOT_SHARE", 0.01)
     groups = skewed.groupBy("key").agg(F.count(F.lit(1)).alias("w"))
-    spread = scale.keyed_join(skewed, groups, ["key"], "w", "left_semi", limit=10)
+    spread = scale.spread_join(skewed, scale.materialized(groups), ["key"], "w", "left_semi")
     assert spread.count() == 30_000
     plan = spread._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
 
 
-def test_deviation_is_the_same_beyond_the_broadcast_limit(spark):
-    df = readings(spark, [(f"2024-01-{d:02d} {h:02d}:00:00", float(d * h)) for d in range(1, 9) for h in range(24)])
-    wide = windows.deviation_from_day(df, "value", resolution=2)
-    spread = windows.deviation_from_day(df, "value", resolution=2, limit=0)
-    assert sorted(rows(wide)) == sorted(rows(spread))
+def test_building_a_row_join_runs_no_job(spark, skewed):
+    df = readings(spark, [("2024-01-01 00:00:00", 1.0), ("2024-01-01 00:00:00", 2.0)])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job may start")
+    try:
+        duplicates.duplicate_key_rows(skewed, "key")
+        duplicates.rows_sharing(df)
+        windows.deviation_from_day(df, "value")
+        windows.largest_deviations(df, "value")
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_hot_key_is_split(spark, skewed):
+    """A third of the rows under one key do not meet in one task."""
+    wide = skewed.withColumn("payload", F.sha2(F.col("n").cast("string"), 512)).repartition(8)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = duplicates.duplicate_key_rows(wide, "key").withColumn("task", F.spark_partition_id())
+        hot = found.where("key = -1").groupBy("task").count().collect()
+        assert sum(r["count"] for r in hot) == 10_000 and len(hot) > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

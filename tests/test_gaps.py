@@ -46,6 +46,27 @@ def test_interval_counts_equal_a_global_lag(spark, unit):
     assert [n for _, n in top] == sorted(expected, reverse=True)[:3]
 
 
+def test_no_window_is_large_at_a_millisecond(spark):
+    """Ten readings a millisecond for a minute: slots meet in short units first."""
+    from pyspark.sql import functions as F
+
+    start = 1_704_067_200_000_000
+    df = spark.range(200_000).select(F.timestamp_micros(F.lit(start) + F.col("id") * 100).alias("timestamp"))
+    late = spark.createDataFrame([(start + 20_000_000 + 1_500,)], "t long").select(F.timestamp_micros("t").alias("timestamp"))
+    seen, plain = [], gaps._between_slots
+
+    def watched(slots, width):
+        seen.append(slots.groupBy(gaps._floor(F.col("low"), gaps._UNITS[0])).count().agg(F.max("count")).first()[0])
+        return plain(slots, width)
+
+    gaps._between_slots = watched
+    try:
+        found = gaps.gap_report(df.union(late), 0.001).collect()
+    finally:
+        gaps._between_slots = plain
+    assert [r["gap_seconds"] for r in found] == [0.0016] and max(seen) <= 50
+
+
 def test_exactly_the_limit_is_no_gap(spark):
     df = readings(spark, [("2024-01-01 00:00", 0), ("2024-01-01 02:00", 0), ("2024-01-01 04:00:00.000001", 0)])
     assert rows(gaps.gap_report(df, 7200)) == [(dt.datetime(2024, 1, 1, 4, 0, 0, 1), 7200.000001)]

@@ -17,7 +17,7 @@ from sondeflow.sources import (
     write_clean_parquet,
 )
 
-from conftest import raw_frame, rows
+from conftest import FIRST, ROWS, raw_frame, rows
 
 
 @pytest.fixture
@@ -75,7 +75,7 @@ def test_parquet_round_trip(spark, clean, tmp_path):
     write_clean_parquet(clean, path, rebalance=True)
     back = read_clean_parquet(spark, path)
     same(back, clean)
-    assert os.path.isdir(f"{path}/year=2023/month=8")
+    assert os.path.isdir(f"{path}/year=2021/month=7")
 
 
 def test_csv_round_trip_restores_types(spark, clean, tmp_path):
@@ -95,6 +95,26 @@ def test_materialize_builds_once(spark, raw_csv, tmp_path):
     assert spark.sql("select count(distinct season) from water_quality").first()[0] == 4
 
 
+def test_materialize_rebuilds_a_half_written_table(spark, raw_csv, tmp_path):
+    path = tmp_path / "clean"
+    materialize(spark, raw_csv, str(path))
+    (path / "_SUCCESS").unlink()
+    for file in list(path.rglob("*.parquet"))[1:]:
+        file.unlink()
+    assert materialize(spark, raw_csv, str(path)).count() == 2000
+    assert [f.name for f in tmp_path.iterdir() if "building" in f.name] == []
+
+
+def test_unordered_input_is_not_scattered(spark, tmp_path):
+    frame = raw_frame(2000, hours=4).sample(frac=1, random_state=1)
+    for i in range(8):
+        frame.iloc[i::8].to_csv(tmp_path / f"raw{i}.csv", index=False)
+    path = tmp_path / "out"
+    assert materialize(spark, str(tmp_path / "raw*.csv"), str(path), view=None).count() == 2000
+    months = {f.parent for f in path.rglob("*.parquet")}
+    assert len(list(path.rglob("*.parquet"))) <= 2 * len(months)
+
+
 def test_materialize_refuses_a_bad_table(spark, tmp_path):
     frame = raw_frame(2000, hours=4)
     frame["Record number"] = 0
@@ -115,12 +135,12 @@ def test_view_and_table(spark, clean):
 
 
 def test_first_and_last_rows(clean):
-    assert [r["record_number"] for r in overview.first_rows(clean).collect()] == list(range(1000, 1005))
-    assert [r["record_number"] for r in overview.last_rows(clean, 2).collect()] == [1399, 1398]
+    assert [r["record_number"] for r in overview.first_rows(clean).collect()] == list(range(FIRST, FIRST + 5))
+    assert [r["record_number"] for r in overview.last_rows(clean, 2).collect()] == [FIRST + ROWS - 1, FIRST + ROWS - 2]
 
 
 def test_overview(clean):
-    holes = clean.withColumn("ph", F.when(F.col("record_number") < 1100, F.col("ph")))
+    holes = clean.withColumn("ph", F.when(F.col("record_number") < FIRST + 90, F.col("ph")))
     found = {r["column"]: r for r in overview.table_overview(holes).collect()}
     assert len(found) == 26
-    assert (found["ph"]["dtype"], found["ph"]["total_rows"], found["ph"]["non_null"]) == ("double", 400, 100)
+    assert (found["ph"]["dtype"], found["ph"]["total_rows"], found["ph"]["non_null"]) == ("double", ROWS, 90)

@@ -223,3 +223,39 @@ def test_sample_is_exact_and_does_not_depend_on_partitions(spark, digest):
     assert picks[0] == picks[1] == picks[2] and len(set(picks[0])) == 300
     assert picks[0] != sorted(rows(stats.reproducible_sample(df, 300, seed=1, digest=digest)))
     assert stats.reproducible_sample(df.limit(10), 300).count() == 10
+
+
+def test_ten_measures_with_holes_correlate_as_in_pandas(spark):
+    random = np.random.default_rng(12)
+    frame = pd.DataFrame(random.normal(0, 1, (600, 10)) @ random.normal(0, 1, (10, 10)), columns=[f"m{i}" for i in range(10)])
+    frame = frame.mask(random.random(frame.shape) < 0.1)
+    frame["m9"] = 4.0
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in frame.itertuples(index=False)],
+                               ", ".join(f"{c} double" for c in frame))
+    found = {(r["column_a"], r["column_b"]): r["r"] for r in stats.correlation_matrix(df, list(frame)).collect()}
+    expected = frame.corr()
+    assert len(found) == 100
+    for (a, b), r in found.items():
+        assert (r is None and "m9" in (a, b)) or r == pytest.approx(expected.loc[a, b], abs=1e-12)
+
+
+def test_nan_is_missing_everywhere(spark):
+    holes = [1.0, None, 4.0, 2.0, None]
+    both = [spark.createDataFrame([(None if v is None else v, float(i)) for i, v in enumerate(values)], "a double, b double")
+            for values in (holes, [float("nan") if v is None else v for v in holes])]
+    for function in (stats.describe_measures, stats.coefficient_of_variation, stats.correlation_matrix):
+        plain, with_nan = (rows(function(df, ["a", "b"])) for df in both)
+        assert plain == with_nan
+
+
+def test_a_sample_passes_few_rows_on(spark):
+    df = spark.range(200_000).select(F.col("id").alias("record_number"))
+    samples_ = [rows(stats.reproducible_sample(df.repartition(n), 300)) for n in (1, 4, 32)]
+    assert samples_[0] == samples_[1] == samples_[2] and len(samples_[0]) == 300
+    plan = stats.reproducible_sample(df, 300)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and "xxhash64" in plan
+
+
+def test_a_sample_of_repeated_keys_is_complete(spark):
+    df = spark.range(50_000).select(F.lit(7).alias("record_number"), "id")
+    assert stats.reproducible_sample(df, 300).count() == 300

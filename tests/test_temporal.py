@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from sondeflow.functions import band, steady_mean
 from sondeflow.operators import cleaning, conditions, filters, missingness, temporal, windows
 from sondeflow.schema import OXYGEN_BANDS, SALINITY_BANDS
 
-from conftest import readings, rows, series
+from conftest import ROWS, START, readings, rows, series
 
 
 def months(spark, triples):
@@ -56,7 +58,7 @@ def test_summaries_match_pandas(clean):
                 found[f"{column}_{kind}"], monthly[(column, kind)], check_names=False, check_index_type=False
             )
     seasonal = temporal.seasonal_summary(clean, ["ph"], digits=None).toPandas()
-    assert list(seasonal["season"]) == ["Summer", "Winter", "Spring"]
+    assert list(seasonal["season"]) == ["Summer", "Autumn", "Winter", "Spring"]
     means = frame.groupby("season")["ph"].mean()
     assert list(seasonal["ph_mean"]) == pytest.approx([means[s] for s in seasonal["season"]])
     assert list(temporal.weekday_summary(clean, ["ph"]).toPandas()["day_of_week"])[::6] == ["Monday", "Sunday"]
@@ -110,9 +112,10 @@ def test_time_window_prunes_month_folders(spark, clean, tmp_path):
     path = str(tmp_path / "clean")
     write_clean_parquet(clean, path)
     kept = filters.between_times(
-        read_clean_parquet(spark, path), "2023-09-01", "2023-10-15", year_column="year", month_column="month"
+        read_clean_parquet(spark, path), "2021-04-01", "2021-05-16 01:30:00", year_column="year", month_column="month"
     )
-    assert kept.count() == 89
+    times = [START + timedelta(hours=15 * i) for i in range(ROWS)]
+    assert kept.count() == sum(datetime(2021, 4, 1) <= t < datetime(2021, 5, 16, 1, 30) for t in times)
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
     assert "PushedFilters: [IsNotNull(timestamp), GreaterThanOrEqual(timestamp" in plan
