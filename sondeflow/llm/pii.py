@@ -1,8 +1,8 @@
 """Personal numbers and dates replaced by format-preserving pseudonyms.
 
 Candidates are found by pattern and validated: payment cards by their check digit,
-bank accounts by their remainder, network addresses by their octets, phone and social
-security numbers by their ranges, dates by the calendar. The valid value is a number
+bank accounts by their remainder, network addresses by their octets, phone numbers by
+their length, social security numbers by their ranges, dates by the calendar. The valid value is a number
 in a known range; a keyed Feistel network with cycle walking permutes that range, and
 the result is written in the format that was found, with new check digits. The
 permutation is one to one, so equal values stay linked across documents, different
@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -113,10 +115,9 @@ def _phone(found: str, permute: Permute) -> str | None:
         country, national = "", digits
     else:
         country, national = digits[:-10], digits[-10:]
-    if len(national) != 10 or len(country) > 3 or national[0] in "01":
+    if len(national) != 10 or len(country) > 3:
         return None
-    value = permute(int(national) - 2 * 10 ** 9, 8 * 10 ** 9, "phone") + 2 * 10 ** 9
-    return _refilled(found, country + str(value))
+    return _refilled(found, f"{country}{permute(int(national), 10 ** 10, 'phone'):010d}")
 
 
 def _security(found: str, permute: Permute) -> str | None:
@@ -131,7 +132,16 @@ def _security(found: str, permute: Permute) -> str | None:
     return f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
-_FIRST_DAY, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
+@cache
+def _days(month_digits: int, day_digits: int) -> list[date]:
+    """The days of 1900 to 2099 whose month and day are written with so many digits.
+
+    Two digits are taken for a format with leading zeros, which all days have.
+    """
+    days = (date(1900, 1, 1) + timedelta(n) for n in range((date(2100, 1, 1) - date(1900, 1, 1)).days))
+    if month_digits == day_digits == 2:
+        return list(days)
+    return [d for d in days if len(str(d.month)) == month_digits and len(str(d.day)) == day_digits]
 
 
 def _date(found: str, permute: Permute) -> str | None:
@@ -146,10 +156,11 @@ def _date(found: str, permute: Permute) -> str | None:
             day = date(*(int(parts[i]) for i in order))
         except ValueError:
             continue
-        nth = (day - _FIRST_DAY).days
-        if not 0 <= nth < _DAYS:
+        days = _days(*(len(parts[i]) for i in order[1:]))
+        nth = bisect_left(days, day)
+        if nth == len(days) or days[nth] != day:
             return None
-        day = _FIRST_DAY + timedelta(permute(nth, _DAYS, "date"))
+        day = days[permute(nth, len(days), "date")]
         new = [""] * 3
         for i, value in zip(order, (day.year, day.month, day.day)):
             new[i] = f"{value:0{len(parts[i])}d}"
@@ -157,28 +168,36 @@ def _date(found: str, permute: Permute) -> str | None:
     return None
 
 
-_ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyz"
+_RADIX = {"d": 10, "a": 26, "A": 26}
+_FIRST = {"d": "0", "a": "a", "A": "A"}
+
+
+def _class_of(c: str) -> str:
+    return "d" if c.isdigit() else "A" if c.isupper() else "a"
 
 
 def _mailbox(found: str, permute: Permute) -> str | None:
+    """Digits become digits, letters letters of the same case."""
     name, _, host = found.rpartition("@")
-    plain = "".join(re.findall(r"[0-9A-Za-z]", name)).lower()
+    plain = re.findall(r"[0-9A-Za-z]", name)
     if not plain:
         return None
-    value, size = permute(int(plain, 36), 36 ** len(plain), "mailbox"), len(plain)
-    new = iter("".join(_ALPHABET[value // 36 ** i % 36] for i in reversed(range(size))))
-
-    def swap(match: re.Match) -> str:
-        c = next(new)
-        return c.upper() if match.group().isupper() else c
-
-    return re.sub(r"[0-9A-Za-z]", swap, name) + "@" + host
+    classes, value, size = [_class_of(c) for c in plain], 0, 1
+    for c, kind in zip(plain, classes):
+        value = value * _RADIX[kind] + ord(c) - ord(_FIRST[kind])
+        size *= _RADIX[kind]
+    # letters of either case share a range, so that a name stays linked however it is written
+    value, new = permute(value, size, "mailbox"), []
+    for kind in reversed(classes):
+        value, digit = divmod(value, _RADIX[kind])
+        new.append(chr(ord(_FIRST[kind]) + digit))
+    return re.sub(r"[0-9A-Za-z]", lambda _: new.pop(), name) + "@" + host
 
 
 #: Kind, pattern and validation with replacement, in order of preference.
 KINDS: list[tuple[str, str, Callable[[str, Permute], str | None]]] = [
     ("mailbox", r"[0-9A-Za-z][\w.+-]*@[\w-]+(?:\.[\w-]+)+", _mailbox),
-    ("address", r"\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _address),
+    ("address", r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _address),
     ("date", r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})", _date),
     ("security", r"\d{3}-\d{2}-\d{4}", _security),
     ("phone", r"\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}",

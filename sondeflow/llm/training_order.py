@@ -137,7 +137,8 @@ def training_order(
         "slot long, shard long, byte_offset long, doc_id long, piece int, n_tokens int,"
         " ids_crc32 long, tokens binary",
     )
-    return placed.repartitionByRange("shard").sortWithinPartitions("slot")
+    # the shard leads the order, so that a writer by shard need not sort again
+    return placed.repartitionByRange("shard").sortWithinPartitions("shard", "slot")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:

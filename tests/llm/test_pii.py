@@ -26,7 +26,7 @@ VALID = {
 }
 INVALID = [
     "4111 1111 1111 1112", "0000 0000 0000 0000", "DE88 3704 0044 0532 0130 00", "192.168.0.256", "1.2.3.4.5",
-    "000-12-3456", "666-12-3456", "123-00-4567", "2023-02-29", "32.12.1999", "13/13/2000", "(112) 555-0187",
+    "000-12-3456", "666-12-3456", "123-00-4567", "2023-02-29", "32.12.1999", "13/13/2000", "+12345 469 555 3334",
     "x4111111111111111", "token4111111111111111abc", "2150-01-01",
 ]
 
@@ -36,7 +36,7 @@ def test_valid_values_keep_their_format(kind, value):
     new, spans = swap(f"see {value}, then")
     assert spans == [(kind, 4, 4 + len(value))]
     found = new[4:-6]
-    if kind not in ("address",):
+    if kind != "address":  # an octet has one digit or more
         assert re.sub(r"[0-9A-Za-z]", "x", found) == re.sub(r"[0-9A-Za-z]", "x", value)
     # the pseudonym is valid in turn, and the key leads back
     back, spans = swap(new, back=True)
