@@ -57,7 +57,7 @@ WINDOWS = [
 ]
 #: SQL of ten measures of a line item, each missing for some orders.
 TEN_MEASURES = [
-    "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey", "l_linenumber",
+    "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey", "l_extendedprice * (1 + l_tax)", "l_linenumber",
     "l_extendedprice * l_discount", "l_quantity * (1 - l_tax)", "l_extendedprice / l_quantity",
 ]
 LINE_KEY = ["record_number", "l_linenumber"]

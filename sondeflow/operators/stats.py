@@ -198,14 +198,16 @@ def histogram(
     return named(filled, columns).orderBy("parameter", "bin")
 
 
-#: Pairs in one aggregate. Each takes six buffers, and generated code is given up
+#: Pairs in one aggregate. Each takes ten buffers, and generated code is given up
 #: beyond a hundred columns.
-_PAIRS_PER_AGGREGATE = 15
+_PAIRS_PER_AGGREGATE = 9
 
 
 def _pearson(a: str, b: str) -> Column:
     """Correlation over the rows that have both values; NULL for a constant."""
-    return nan_to_null(F.corr(nan_to_null(a), nan_to_null(b)))
+    a, b = nan_to_null(a), nan_to_null(b)
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return ratio(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def _correlations(df: DataFrame, columns: Sequence[str], mirrored: bool) -> DataFrame:
