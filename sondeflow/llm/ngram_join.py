@@ -325,7 +325,7 @@ def _shared_buckets(shapes: DataFrame, members: DataFrame) -> DataFrame:
     )
     rows = saved(rows, "buckets")
     sizes = rows.groupBy("key").agg(F.count("rep").alias("size")).where("size > 1")
-    return saved(rows.join(sizes, "key"), "shared")
+    return saved(rows.join(saved(sizes, "sizes"), "key"), "shared")
 
 
 def _first_candidates(shared: DataFrame) -> DataFrame:
@@ -338,7 +338,7 @@ def _first_candidates(shared: DataFrame) -> DataFrame:
     company = shared.groupBy("rep").agg(F.sum("size").alias("company"))
     rows = shared.join(company, "rep")
     hubs = rows.groupBy("key").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"))
-    met = shared.join(hubs, "key").where("rep <> hub")
+    met = shared.join(saved(hubs, "hubs"), "key").where("rep <> hub")
     return met.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
 
@@ -390,7 +390,7 @@ def _across_families(
     main = met.groupBy("key").agg(
         F.count(F.lit(1)).alias("families"), F.max_by("family", F.struct("count", "family")).alias("main")
     ).where("families > 1").drop("families")
-    rows = rows.join(main, "key")
+    rows = rows.join(saved(main, "main"), "key")
     # a pair shares more than spare(min) buckets, so each side may leave some out
     skipped = F.expr("6 * (4 * n DIV 5) DIV 100")
     crowded = Window.partitionBy("rep").orderBy(F.desc("size"), "key")
@@ -436,8 +436,11 @@ def link_components(
     shapes = every.where("n > 0 AND id IS NOT NULL")
 
     whole = ["n", "class_a", "class_b"]
+    # a table of groups is written before it is joined: an aggregate that is joined on
+    # its own key leaves adaptive execution no side of the join to split
     classes = shapes.groupBy(*whole).agg(F.min("id").alias("rep"), F.count("id").alias("size"))
-    copies = shapes.select("id", *whole).join(classes.where("size > 1"), whole).select("id", "rep").distinct()
+    classes = saved(classes.where("size > 1"), "classes")
+    copies = shapes.select("id", *whole).join(classes, whole).select("id", "rep").distinct()
     members = saved(copies, "members")
 
     shared = _shared_buckets(shapes, members)
