@@ -66,10 +66,11 @@ def mark_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     A unique text is its own group. The hash of every text is part of the result and
     is taken in the scan; what is shuffled are ids and hashes. Copies are counted
-    before they are shuffled, and the join to their group is one that adaptive
-    execution splits where a group is too large for a task.
+    before they are shuffled. The groups are written first: then their size is known,
+    and in a join that is not a broadcast adaptive execution can split the side of a
+    group that is too large for a task.
     """
-    groups = duplicate_groups(docs, id_column, text_column)
+    groups = saved(duplicate_groups(docs, id_column, text_column), "groups")
     documents = docs.select(
         F.col(id_column).alias("doc_id"), F.sha2(_whole(text_column), 256).alias("text_sha256")
     ).distinct()
