@@ -12,7 +12,11 @@ an e-mail address are permuted among those of equal length.
 Defined results: a missing text stays missing. What fails validation stays. Texts are
 processed whole, the other columns are kept, and a column named like a new one is
 replaced. Where candidates overlap, the first to start wins, then the order of
-``KINDS``. Rows are independent, so repeated rows give the same result.
+``KINDS``, then the longest that is valid. A pseudonym that would be read otherwise
+beside its neighbours, say as a longer card with the digits that follow, is permuted
+again until it is read as what it replaces: so texts can be restored, and a value in
+such a place may have another pseudonym there. Rows are independent, so repeated rows
+give the same result.
 """
 
 from __future__ import annotations
@@ -161,6 +165,8 @@ def _date(found: str, permute: Permute) -> str | None:
         if nth == len(days) or days[nth] != day:
             return None
         day = days[permute(nth, len(days), "date")]
+        while order != orders[0] and day.day <= 12:  # it would be read with the month first
+            day = days[permute(bisect_left(days, day), len(days), "date")]
         new = [""] * 3
         for i, value in zip(order, (day.year, day.month, day.day)):
             new[i] = f"{value:0{len(parts[i])}d}"
@@ -206,32 +212,100 @@ KINDS: list[tuple[str, str, Callable[[str, Permute], str | None]]] = [
     ("card", r"\d(?:[ -]?\d){12,18}", _card),
 ]
 
-_ANY = re.compile(
-    r"(?<![0-9A-Za-z_])(?:" + "|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in KINDS)
-    + r")(?![0-9A-Za-z_])", re.ASCII,
-)
+_START, _END = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
+_ANY = re.compile(_START + "(?:" + "|".join(pattern for _, pattern, _ in KINDS) + ")" + _END, re.ASCII)
+_ONE = {kind: re.compile(pattern + _END, re.ASCII) for kind, pattern, _ in KINDS}
 _REPLACE = {kind: replace for kind, _, replace in KINDS}
 
+#: Kinds that are tried with fewer groups where all that matches is not valid.
+_SHORTER = {"account", "card"}
+
+_LAST_OF_GROUP = re.compile(r"[0-9A-Z](?![0-9A-Za-z_])", re.ASCII)
+
+#: More characters than any candidate has whose validity depends on its value.
+_REACH = 64
+
+
+def _ends(kind: str, text: str, start: int) -> Iterator[int]:
+    """Where candidates of ``kind`` that begin at ``start`` end, longest first."""
+    match = _ONE[kind].match(text, start)
+    if not match:
+        return
+    yield match.end()
+    if kind in _SHORTER:
+        for last in reversed(list(_LAST_OF_GROUP.finditer(text, start, match.end()))):
+            if last.end() < match.end() and _ONE[kind].fullmatch(text, start, last.end()):
+                yield last.end()
+
+
+def _unchanged(value: int, size: int, kind: str) -> int:
+    return value
+
+
+def _found(text: str, at: int = 0) -> Iterator[tuple[str, int, int]]:
+    """``(kind, start, end)`` of each valid value from ``at`` on.
+
+    Where no candidate is valid, the search goes on at the next character.
+    """
+    while match := _ANY.search(text, at):
+        start = match.start()
+        at = start + 1
+        for kind, end in ((kind, end) for kind in _REPLACE for end in _ends(kind, text, start)):
+            if _REPLACE[kind](text[start:end], _unchanged) is not None:
+                yield kind, start, end
+                at = end
+                break
+
+
+def _reader(kinds: list[str], gaps: list[str], values: list[str], nth: int) -> Callable[[str], bool]:
+    """Whether a new ``nth`` value leaves it and the values before it to be found."""
+    first, size = nth, len(gaps[nth])
+    while first and size <= _REACH:
+        first -= 1
+        size += len(gaps[first]) + len(values[first])
+    skipped = max(0, len(gaps[first]) - _REACH)
+    # what a look back from the first character can see
+    before = gaps[first][max(0, skipped - 3):skipped] or (values[first - 1][-3:] if first else "")
+    left, expected = before + gaps[first][skipped:], []
+    for i in range(first, nth):
+        expected.append((kinds[i], len(left), len(left) + len(values[i])))
+        left += values[i] + gaps[i + 1]
+    right, last = gaps[nth + 1], nth + 1
+    while last < len(values) and len(right) <= _REACH:
+        right += values[last] + gaps[last + 1]
+        last += 1
+
+    def fits(new: str) -> bool:
+        found = _found(left + new + right, len(before))
+        wanted = [*expected, (kinds[nth], len(left), len(left) + len(new))]
+        return all(next(found, None) == span for span in wanted)
+
+    return fits
+
 
 def pseudonymize(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and ``(kind, start, end)`` of each in the old text.
 
-    A candidate that fails validation is searched again from its next character.
+    Values are replaced from the left and restored from the right, so both see the same
+    neighbours, and in both directions the values that do not fit are walked over.
     """
 
     def permute(value: int, size: int, kind: str) -> int:
         return permuted(value, size, key, kind, back)
 
-    out, spans, done, at = [], [], 0, 0
-    while match := _ANY.search(text, at):
-        new = _REPLACE[match.lastgroup](match.group(), permute)
-        if new is None:
-            at = match.start() + 1
-            continue
-        out += [text[done:match.start()], new]
-        spans.append((match.lastgroup, match.start(), match.end()))
-        done = at = match.end()
-    return "".join(out) + text[done:], spans
+    spans = list(_found(text))
+    if not spans:
+        return text, spans
+    kinds, values = [kind for kind, _, _ in spans], [text[s:e] for _, s, e in spans]
+    edges = [0, *(place for _, s, e in spans for place in (s, e)), len(text)]
+    gaps = [text[s:e] for s, e in zip(edges[::2], edges[1::2])]
+    for i in reversed(range(len(spans))) if back else range(len(spans)):
+        fits = _reader(kinds, gaps, values, i)
+        new = _REPLACE[kinds[i]](values[i], permute)
+        while not fits(new):
+            new = _REPLACE[kinds[i]](new, permute)
+        values[i] = new
+    return "".join(part for pair in zip(gaps, [*values, ""]) for part in pair), spans
 
 
 def pseudonym_batches(key: bytes, back: bool):

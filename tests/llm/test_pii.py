@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+from random import Random
 
 import pytest
 from conftest import AWKWARD
@@ -48,6 +49,33 @@ def test_invalid_values_stay(value):
     assert swap(f"see {value} then") == (f"see {value} then", [])
 
 
+FOLLOWED = [
+    ("4111 1111 1111 1111", " 12/25 123"), ("4111111111111111", " 123"), ("5500-0055-5555-5559", " 08 27"),
+    ("378282246310005", " 1234"), ("BE68 5390 0754 7034", " NOW please"), ("BE68 5390 0754 7034", " IBAN 2024 A"),
+    ("DE89 3704 0044 0532 0130 00", " BIC COBADEFF"), ("4111 1111 1111 1111", " 5500 0055 5555 5559"),
+]
+
+
+@pytest.mark.parametrize("value, after", FOLLOWED)
+def test_values_are_found_before_further_groups(value, after):
+    for n in range(40):
+        text = f"paid {value}{after} {n}"
+        new, spans = pii.pseudonymize(text, b"key %d" % n)
+        assert spans[0][1:] == (5, 5 + len(value)) and value not in new
+        assert pii.pseudonymize(new, b"key %d" % n, back=True)[0] == text
+
+
+def test_neighbours_do_not_hinder_restoring():
+    some = ["4111 1111 1111 1111", "12", "NOW", "5500005555555559", "123-45-6789", "212-555-0187", "BE68 5390 0754 7034",
+            "2024-05-01", "8.8.8.8", "31/12/1999", "1234", "a1@b.co", "9", "x", "-"]
+    random = Random(5)
+    for n in range(400):
+        text = random.choice([" ", "-", ", "]).join(random.choices(some, k=random.randint(2, 9)))
+        new, spans = pii.pseudonymize(text, b"key %d" % n)
+        back, found = pii.pseudonymize(new, b"key %d" % n, back=True)
+        assert back == text and [s[0] for s in found] == [s[0] for s in spans]
+
+
 def test_equal_values_stay_linked_whatever_their_separators():
     one, two = swap("4111 1111 1111 1111")[0], swap("x: 4111-1111-1111-1111.")[0]
     assert re.sub(r"\D", "", one) == re.sub(r"\D", "", two) != "4111111111111111"
