@@ -113,15 +113,24 @@ def _address(found: str, permute: Permute) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
+#: Country codes: no code begins another one.
+_CODE = r"(?>[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d)"
+_CODES = re.compile(_CODE, re.ASCII)
+
+#: Digits of an international number, with its country code.
+_FEWEST, _MOST = 8, 15
+
+
 def _phone(found: str, permute: Permute) -> str | None:
-    digits = _digits_of(found)
-    if found[0] != "+":
-        country, national = "", digits
-    else:
-        country, national = digits[:-10], digits[-10:]
-    if len(national) != 10 or len(country) > 3:
-        return None
-    return _refilled(found, f"{country}{permute(int(national), 10 ** 10, 'phone'):010d}")
+    """The country code stays; numbers after +1, and without a code, have ten digits."""
+    digits, country = _digits_of(found), ""
+    if found[0] == "+":
+        code = _CODES.match(digits)
+        country = code.group() if code and (code.group() != "1" or len(digits) == 11) else digits[:-10]
+        if not 1 <= len(country) <= 3 or not _FEWEST <= len(digits) <= _MOST:
+            return None
+    national = digits[len(country):]
+    return _refilled(found, f"{country}{permute(int(national), 10 ** len(national), 'phone'):0{len(national)}d}")
 
 
 def _security(found: str, permute: Permute) -> str | None:
@@ -200,30 +209,42 @@ def _mailbox(found: str, permute: Permute) -> str | None:
     return re.sub(r"[0-9A-Za-z]", lambda _: new.pop(), name) + "@" + host
 
 
+#: A digit of a national number, and what may stand before it.
+_NATIONAL = r"(?:\)?[ ./-]?\(?\d)"
+_GROUPED, _PLAIN = rf"\+{_CODE}(?=[ ./(-]){_NATIONAL}{{5,14}}", rf"\+{_CODE}\d{{5,14}}"
+
 #: Kind, pattern and validation with replacement, in order of preference.
 KINDS: list[tuple[str, str, Callable[[str, Permute], str | None]]] = [
     ("mailbox", r"[0-9A-Za-z][\w.+-]*@[\w-]+(?:\.[\w-]+)+", _mailbox),
     ("address", r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _address),
     ("date", r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})", _date),
     ("security", r"\d{3}-\d{2}-\d{4}", _security),
-    ("phone", r"\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}",
-     _phone),
+    ("phone", r"\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|"
+     rf"\+{_CODE}(?=[ ./(-]){_NATIONAL}{{10}}|{_GROUPED}|\+{_CODE}\d(?:[ ./-]?\d){{4,13}}(?![ ./-]?\d)|{_PLAIN}|"
+     r"\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|"
+     # what follows a code that is none belongs to it
+     r"(?<!\+\d{4} )(?<!\+\d{5} )(?<!\+\d{6} )\d{3}[ .-]\d{3}[ .-]\d{4}", _phone),
     ("account", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _account),
     ("card", r"\d(?:[ -]?\d){12,18}", _card),
 ]
 
 _START, _END = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
-_ANY = re.compile(_START + "(?:" + "|".join(pattern for _, pattern, _ in KINDS) + ")" + _END, re.ASCII)
-_ONE = {kind: re.compile(pattern + _END, re.ASCII) for kind, pattern, _ in KINDS}
+#: A date may be followed by a time of day.
+_PATTERNS = {
+    kind: f"(?:{pattern})" + (rf"(?:{_END}|(?=[Tt]\d))" if kind == "date" else _END) for kind, pattern, _ in KINDS
+}
+_ANY = re.compile(_START + "(?:" + "|".join(_PATTERNS.values()) + ")", re.ASCII)
+_ONE = {kind: re.compile(pattern, re.ASCII) for kind, pattern in _PATTERNS.items()}
 _REPLACE = {kind: replace for kind, _, replace in KINDS}
 
-#: Kinds that are tried with fewer groups where all that matches is not valid.
-_SHORTER = {"account", "card"}
+#: Kinds that are tried with fewer groups where all that matches is not valid, and what these must match.
+_SHORTER = {"account": _ONE["account"], "card": _ONE["card"], "phone": re.compile(f"{_GROUPED}|{_PLAIN}", re.ASCII)}
 
+_GROUP = re.compile(_START + "[0-9A-Za-z]", re.ASCII)
 _LAST_OF_GROUP = re.compile(r"[0-9A-Z](?![0-9A-Za-z_])", re.ASCII)
 
-#: More characters than any candidate has whose validity depends on its value.
-_REACH = 64
+#: More characters than lie between a candidate and all that its validity depends on.
+_REACH = 128
 
 
 def _ends(kind: str, text: str, start: int) -> Iterator[int]:
@@ -234,7 +255,7 @@ def _ends(kind: str, text: str, start: int) -> Iterator[int]:
     yield match.end()
     if kind in _SHORTER:
         for last in reversed(list(_LAST_OF_GROUP.finditer(text, start, match.end()))):
-            if last.end() < match.end() and _ONE[kind].fullmatch(text, start, last.end()):
+            if last.end() < match.end() and _SHORTER[kind].fullmatch(text, start, last.end()):
                 yield last.end()
 
 
@@ -242,6 +263,36 @@ def _unchanged(value: int, size: int, kind: str) -> int:
     return value
 
 
+def _valid(kind: str, found: str) -> bool:
+    return _REPLACE[kind](found, _unchanged) is not None
+
+
+def _may_be_longer(phone: str) -> bool:
+    """Whether only the digits around tell where the number ends or that it is one."""
+    if phone[0] != "+":
+        return " " in phone and phone[0] != "("
+    digits = _digits_of(phone)
+    code = _CODES.match(digits)
+    return bool(code) and len(digits) - len(code.group()) != 10
+
+
+def _cuts(kind: str, text: str, start: int, end: int) -> bool:
+    """Whether the last groups of a candidate are a value of another kind, or begin one.
+
+    A last group of four digits that only may belong to a phone number is left to a card.
+    """
+    if kind not in _SHORTER:
+        return False
+    groups = [group.start() for group in _GROUP.finditer(text, start + 1, end)]
+    others = [(at, other) for at in groups for other in ("mailbox", "date", "security")]
+    found = text[start:end]
+    if kind == "phone" and groups and _may_be_longer(found) and text[groups[-1]:groups[-1] + 4].isdigit():
+        others.append((groups[-1], "card"))
+    return any(
+        stop >= end and _valid(other, text[at:stop]) for at, other in others for stop in _ends(other, text, at)
+    )
+
+
 def _found(text: str, at: int = 0) -> Iterator[tuple[str, int, int]]:
     """``(kind, start, end)`` of each valid value from ``at`` on.
 
@@ -251,7 +302,7 @@ def _found(text: str, at: int = 0) -> Iterator[tuple[str, int, int]]:
         start = match.start()
         at = start + 1
         for kind, end in ((kind, end) for kind in _REPLACE for end in _ends(kind, text, start)):
-            if _REPLACE[kind](text[start:end], _unchanged) is not None:
+            if _valid(kind, text[start:end]) and not _cuts(kind, text, start, end):
                 yield kind, start, end
                 at = end
                 break

@@ -49,6 +49,47 @@ def test_invalid_values_stay(value):
     assert swap(f"see {value} then") == (f"see {value} then", [])
 
 
+TIMES = ["2024-05-01T12:00:00Z", "2024-05-01t12:00", "2024-05-01 12:00", "31.12.1999T08:15"]
+GROUPED = [
+    "+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "+4420 7946 0958", "+33 1 23 45 67 89", "+33123456789",
+    "+49 30/1234567", "+86 138 0013 8000", "+358 9 1234 567", "555 123 4567",
+]
+
+
+@pytest.mark.parametrize("value", TIMES)
+def test_dates_end_before_a_time(value):
+    day = value[:10]
+    new, spans = swap(f"at {value}, then")
+    assert spans == [("date", 3, 13)] and new[13:] == value[10:] + ", then"
+    assert new[3:13] == swap(day)[0] != day
+    assert swap(new, back=True)[0] == f"at {value}, then"
+    assert swap("2024-05-01Test") == ("2024-05-01Test", [])
+
+
+@pytest.mark.parametrize("value", GROUPED)
+def test_phones_in_any_grouping(value):
+    new, spans = swap(f"call {value}, then")
+    assert spans == [("phone", 5, 5 + len(value))]
+    assert re.sub(r"\d", "x", new) == re.sub(r"\d", "x", f"call {value}, then")
+    assert swap(new, back=True)[0] == f"call {value}, then"
+
+
+def test_phones_stay_linked_in_any_grouping():
+    def digits(value):
+        return re.sub(r"\D", "", swap(value)[0])
+
+    assert digits("+44 20 7946 0958") == digits("+442079460958") == digits("+4420 7946 0958") != "442079460958"
+    assert digits("+33 1 23 45 67 89") == digits("+33123456789") and digits("+33123456789").startswith("33")
+    assert digits("555 123 4567") == digits("555-123-4567")
+
+
+@pytest.mark.parametrize("phone", ["+49 30 1234567", "+33 1 23 45 67 89", "+4930123456", "+44 20 7946 0958"])
+@pytest.mark.parametrize("after, kind", [("2024-05-01", "date"), ("1/2/2024", "date"), ("4111 1111 1111 1111", "card")])
+def test_phones_leave_what_follows(phone, after, kind):
+    assert [(k, e - s) for k, s, e in swap(f"{phone} {after}")[1]] == [("phone", len(phone)), (kind, len(after))]
+    assert swap(f"123 456 {after}")[1][-1] == (kind, 8, 8 + len(after))
+
+
 FOLLOWED = [
     ("4111 1111 1111 1111", " 12/25 123"), ("4111111111111111", " 123"), ("5500-0055-5555-5559", " 08 27"),
     ("378282246310005", " 1234"), ("BE68 5390 0754 7034", " NOW please"), ("BE68 5390 0754 7034", " IBAN 2024 A"),
@@ -67,7 +108,8 @@ def test_values_are_found_before_further_groups(value, after):
 
 def test_neighbours_do_not_hinder_restoring():
     some = ["4111 1111 1111 1111", "12", "NOW", "5500005555555559", "123-45-6789", "212-555-0187", "BE68 5390 0754 7034",
-            "2024-05-01", "8.8.8.8", "31/12/1999", "1234", "a1@b.co", "9", "x", "-"]
+            "2024-05-01", "8.8.8.8", "31/12/1999", "1234", "a1@b.co", "9", "x", "-",
+            "+44 20 7946 0958", "+33 1 23 45 67 89", "+4930123456", "555 123 4567", "2024-05-01T10:00", "555", "123"]
     random = Random(5)
     for n in range(400):
         text = random.choice([" ", "-", ", "]).join(random.choices(some, k=random.randint(2, 9)))
