@@ -31,6 +31,7 @@ from functools import cache
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 ROUNDS = 8
 
@@ -360,7 +361,7 @@ def pseudonymize(text: str, key: bytes, back: bool = False) -> tuple[str, list[t
 
 
 def pseudonym_batches(key: bytes, back: bool):
-    """mapInArrow function: texts with pseudonyms, and the spans that were replaced."""
+    """mapInArrow function: texts with pseudonyms, other columns, and the spans that were replaced."""
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def pseudonyms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,10 +373,9 @@ def pseudonym_batches(key: bytes, back: bool):
             for i in pc.indices_nonzero(suspects).to_pylist():
                 new[i], found = pseudonymize(new[i], key, back)
                 spans[i] = [{"kind": k, "start": s, "end": e} for k, s, e in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(new, pa.string()), pa.array(spans, span_type)],
-                names=["doc_id", "text", "spans"],
-            )
+            columns = dict(zip(batch.schema.names, batch.columns))
+            columns |= {"text": pa.array(new, pa.string()), "spans": pa.array(spans, span_type)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return pseudonyms
 
@@ -383,9 +383,9 @@ def pseudonym_batches(key: bytes, back: bool):
 def replace_personal(
     docs: DataFrame, key: bytes, back: bool = False, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """``(doc_id, text, spans)``: texts with pseudonyms; ``back`` restores them."""
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return docs.mapInArrow(
-        pseudonym_batches(key, back),
-        "doc_id long, text string, spans array<struct<kind:string,start:long,end:long>>",
-    )
+    """``(doc_id, text, other columns, spans)``: texts with pseudonyms; ``back`` restores them."""
+    replaced = {name.lower() for name in (id_column, text_column, "doc_id", "text", "spans")}
+    others = [F.col(f"`{name}`") for name in docs.columns if name.lower() not in replaced]
+    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *others)
+    spans = StructType.fromDDL("spans array<struct<kind:string,start:long,end:long>>")
+    return docs.mapInArrow(pseudonym_batches(key, back), StructType([*docs.schema, *spans]))

@@ -5,6 +5,7 @@ from random import Random
 
 import pytest
 from conftest import AWKWARD
+from pyspark.sql import functions as F
 
 from sondeflow.llm import pii
 from sondeflow.llm.queries import QUERIES
@@ -150,3 +151,12 @@ def test_awkward_rows(documents):
     rows = pii.replace_personal(documents(AWKWARD, "spans kind start"), KEY).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in rows), key=str) == sorted(AWKWARD, key=str)
     assert pii.replace_personal(documents([]), KEY).collect() == []
+
+
+def test_other_columns_are_kept(documents):
+    docs = documents([(1, "at 8.8.8.8", "web"), (2, None, None)], "spans Kind").withColumn("odd name", F.array("n_chars"))
+    out = pii.replace_personal(docs, KEY)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "Kind", "odd name", "spans"]
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert rows[1][2:7] == ("en", "web", 0, "x", [0]) and rows[2][1:4] == (None, "en", None)
+    assert rows[1]["text"] == swap("at 8.8.8.8")[0] and len(rows[1]["spans"]) == 1 and rows[2]["spans"] == []
