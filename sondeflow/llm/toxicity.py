@@ -1,16 +1,19 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine.
 
-Terms are words and their 5- and 7-character beginnings. Those that labelled toxic
-documents have more often, and the commonest terms as background, span the
-vectors; a term's document frequency counts every document. A bounded sample of
-labelled examples is indexed: examples are sorted into blocks, and the index keeps
+Terms are words and their 5- and 7-character beginnings; a term's document frequency
+counts every document. A bounded sample of labelled examples is indexed twice. The
+examples and similarities that are reported are those of the whole texts, over all
+terms (``term_index``). The score is a vote of the nearest by telling terms only: those
+that labelled toxic documents have more often, and the commonest terms as background.
+Whole texts are near by topic, so their votes find fewer toxic documents. For
+the vote, examples are sorted into blocks, and the index keeps
 each term's largest weight per block. A query adds these up to a bound per block,
 scores blocks from the highest bound on and stops when no other block can hold one
 of its ``k`` nearest: the result is exact. Neighbours vote by their distance, and
 votes are weighted so that they reflect the classes' shares among all labels.
 
-Defined results: a text without known terms, an empty or a missing one has no
-neighbours and scores the share of toxic labels. Equally near examples rank by
+Defined results: a text without telling terms, an empty or a missing one has no
+voters and scores the share of toxic labels. Equally near examples rank by
 their place in the index. Without any labelled example every score is 0, and without
 examples of one class the score is that of the other. Labels, language, source and id
 are not part of any vector.
@@ -24,11 +27,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import hashing as H
 from .labelled import class_sizes, held_out, sampled_examples, training_labels
 from .store import saved
+from .term_index import TermIndex, other_squares, term_index
 
 #: Labelled documents that are indexed, about, per class.
 MOST_TOXIC, MOST_CLEAN = 2000, 4000
@@ -97,33 +102,15 @@ def term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["doc_id", "label", "terms", "counts"])
 
 
-def known_batches(vocabulary: np.ndarray):
-    """mapInArrow function: examples with the numbers of their known terms."""
-
-    def known_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = []
-            for terms, counts in zip(batch.column("terms"), batch.column("counts")):
-                hashes = terms.values.to_numpy().view(np.uint64)
-                place = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-                known = vocabulary[place] == hashes
-                columns.append((place[known].tolist(), counts.values.to_numpy()[known].tolist()))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("label"),
-                pa.array([c[0] for c in columns], pa.list_(pa.int64())),
-                pa.array([c[1] for c in columns], pa.list_(pa.int64())),
-            ], names=["doc_id", "label", "terms", "counts"])
-
-    return known_terms
-
-
-def _known_counts(batch: pa.RecordBatch, vocabulary: np.ndarray):
-    """Counts of the vocabulary's terms: (text, number of the term, count)."""
+def _term_counts(batch: pa.RecordBatch, vocabulary: np.ndarray):
+    """Counts of a batch's terms: (text, hash, count, number of the term, whether it has one)."""
     data, offsets = H.buffers(batch.column("text"))
     hashes, texts = term_hashes(data, offsets)
-    place = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    known = vocabulary[place] == hashes
-    return _counts(texts[known], place[known])
+    text, term, count = _counts(texts, hashes)
+    if not len(vocabulary):
+        return text, term, count, np.zeros(len(term), np.int64), np.zeros(len(term), bool)
+    place = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
+    return text, term, count, place, vocabulary[place] == term
 
 
 def frequency_batches(vocabulary: np.ndarray):
@@ -133,7 +120,8 @@ def frequency_batches(vocabulary: np.ndarray):
         total = np.zeros(len(vocabulary), dtype=np.int64)
         for whole in batches:
             for batch in H.slices(whole, "text"):
-                total += np.bincount(_known_counts(batch, vocabulary)[1], minlength=len(vocabulary))
+                *_, place, known = _term_counts(batch, vocabulary)
+                total += np.bincount(place[known], minlength=len(vocabulary))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(found, pa.int32()), pa.array(total[found])], names=["term", "texts"]
@@ -269,31 +257,49 @@ def vote(labels: np.ndarray, scores: np.ndarray, shares: tuple[float, float], pr
     return float((votes[labels == 1].sum() + prior) / (votes.sum() + 1))
 
 
+_SCORED = (
+    "row long, doc_id long, held_out boolean, score double, nearest array<long>, products array<double>, "
+    "squares double, others array<long>, counts array<long>"
+)
+
+
 def score_batches(shared, shares: tuple[float, float], prior: float):
-    """mapInArrow function: score and nearest examples of each text."""
+    """mapInArrow function: score of each text, and the examples of the greatest products with it.
+
+    ``squares`` is the squared length of the terms that examples have, ``others`` are all other terms.
+    """
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: BlockMaxIndex = shared.value
+        index, telling, whole_texts = shared.value
+        matrix = whole_texts.matrix()
         for whole in batches:
             for batch in H.slices(whole, "text", SCORED_BYTES):
-                if len(index.labels) and len(index.vocabulary):
-                    text, term, count = _known_counts(batch, index.vocabulary)
-                else:
-                    text = term = count = np.zeros(0, np.int64)
-                out = np.full(batch.num_rows, prior)
-                evidence: list[list] = [[]] * batch.num_rows
-                similarity: list[list] = [[]] * batch.num_rows
-                rows, row = np.unique(text, return_inverse=True)
+                n = batch.num_rows
+                text, term, count, place, known = _term_counts(batch, whole_texts.vocabulary)
+                rest = pa.array(np.searchsorted(text[~known], np.arange(n + 1)), pa.int32())
+                others, other_counts = term[~known].view(np.int64), count[~known]
+                text, place, count = text[known], place[known], count[known]
+                out = np.full(n, prior)
+                tells = telling[place] >= 0 if len(telling) else np.zeros(0, bool)
+                rows, row = np.unique(text[tells], return_inverse=True)
                 if len(rows):
-                    near = index.nearest(index.dense(row, len(rows), term, count), NEIGHBOURS)
-                    for i, (found, cosine) in zip(rows.tolist(), near):
+                    queries = index.dense(row, len(rows), telling[place[tells]], count[tells])
+                    for i, (found, cosine) in zip(rows.tolist(), index.nearest(queries, NEIGHBOURS)):
                         out[i] = vote(index.labels[found], cosine, shares, prior)
-                        evidence[i] = index.ids[found[:EVIDENCE]].tolist()
-                        similarity[i] = cosine[:EVIDENCE].astype(np.float64).tolist()
+                evidence: list[list] = [[]] * n
+                products: list[list] = [[]] * n
+                weights = whole_texts.weigh(place, count) if len(place) else np.zeros(0)
+                if len(place):
+                    near = whole_texts.products(matrix, text, n, place, weights, EVIDENCE)
+                    for i, (found, product) in enumerate(near):
+                        evidence[i], products[i] = whole_texts.ids[found].tolist(), product.tolist()
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id"), batch.column("held_out"), pa.array(out, pa.float64()),
-                    pa.array(evidence, pa.list_(pa.int64())), pa.array(similarity, pa.list_(pa.float64())),
-                ], names=["doc_id", "held_out", "score", "nearest", "similarity"])
+                    batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(out, pa.float64()),
+                    pa.array(evidence, pa.list_(pa.int64())), pa.array(products, pa.list_(pa.float64())),
+                    pa.array(np.bincount(text, weights ** 2, minlength=n), pa.float64()),
+                    pa.ListArray.from_arrays(rest, pa.array(others)),
+                    pa.ListArray.from_arrays(rest, pa.array(other_counts, pa.int64())),
+                ], names=[column.split()[0] for column in _SCORED.split(", ")])
 
     return scores
 
@@ -312,26 +318,45 @@ def score_toxicity(
     held = class_sizes(examples)
     toxic, clean = held.get(1, 0), held.get(0, 0)
 
-    vocabulary = choose_terms(examples, max(toxic, 1), max(clean, 1))
+    chosen = choose_terms(examples, max(toxic, 1), max(clean, 1))
+    # only the bounded sample leaves the cluster
+    sample = examples.toArrow()
+    ids, labels_of = (sample.column(c).to_numpy() for c in ("doc_id", "label"))
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(sample.column("terms")).to_numpy())]).astype(np.int64)
+    hashes, counts = (pc.list_flatten(sample.column(c)).to_numpy() for c in ("terms", "counts"))
+    vocabulary, terms = np.unique(hashes.view(np.uint64), return_inverse=True)
     frequency = np.zeros(len(vocabulary), dtype=np.float64)
     if len(vocabulary):
         counted = docs.mapInArrow(frequency_batches(vocabulary), "term int, texts long")
-        for row in counted.groupBy("term").agg(F.sum("texts").alias("texts")).collect():
-            frequency[row["term"]] = row["texts"]
+        counted = counted.groupBy("term").agg(F.sum("texts").alias("texts")).toArrow()
+        frequency[counted.column("term").to_numpy()] = counted.column("texts").to_numpy()
     total = docs.count()
     idf = np.log((total + 1) / (frequency + 0.5)).clip(0)
 
-    # only what the vectors need leaves the cluster: known terms of the bounded sample
-    rows = examples.mapInArrow(known_batches(vocabulary), schema).collect() if len(vocabulary) else []
-    shared = docs.sparkSession.sparkContext.broadcast(build_index(rows, vocabulary, idf))
+    telling = np.full(len(vocabulary), -1, dtype=np.int64)
+    telling[np.searchsorted(vocabulary, chosen)] = np.arange(len(chosen))
+    tells = telling[terms] >= 0
+    rows = []
+    for doc_id, label, s, e in zip(ids.tolist(), labels_of.tolist(), bounds[:-1], bounds[1:]):
+        rows.append((doc_id, label, telling[terms[s:e][tells[s:e]]], counts[s:e][tells[s:e]]))
+    voters = build_index(rows if len(chosen) else [], chosen, idf[telling >= 0])
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (voters, telling, term_index(ids, bounds, terms, counts, vocabulary, idf))
+    )
 
     labelled = max(sum(sizes.values()), 1)
     prior = sizes.get(1, 0) / labelled
     shares = tuple(
         sizes.get(c, 0) / labelled / (held[c] / (toxic + clean)) if held.get(c) else 0.0 for c in (0, 1)
     )
-    scored = docs.select("doc_id", held_out("doc_id", buckets, remainder).alias("held_out"), "text").mapInArrow(
-        score_batches(shared, shares, prior),
-        "doc_id long, held_out boolean, score double, nearest array<long>, similarity array<double>",
+    numbered = docs.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id",
+        held_out("doc_id", buckets, remainder).alias("held_out"), "text",
+    )
+    scored = saved(numbered.mapInArrow(score_batches(shared, shares, prior), _SCORED), "scored")
+    length = F.sqrt(F.col("squares") + F.coalesce("rest", F.lit(0.0)))
+    return scored.join(other_squares(scored, total), "row", "left").select(
+        "doc_id", "held_out", "score", "nearest",
+        F.transform("products", lambda product: F.least(product / length, F.lit(1.0))).alias("similarity"),
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

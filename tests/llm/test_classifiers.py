@@ -85,6 +85,32 @@ def test_neighbours_are_exact(examples):
         assert np.allclose(full[near] @ query, cosine, atol=1e-5)
 
 
+def test_nearest_are_those_of_full_vectors(spark, documents):
+    """Rare terms, terms of no example and common ones all count: plain TF-IDF over all terms."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in ("st", "rq", "x")])
+    share = 1 / np.arange(1, len(words) + 1)
+    texts = [" ".join(rng.choice(words, rng.integers(3, 30), p=share / share.sum())) for _ in range(300)]
+    texts[7] = "venom " + texts[7]
+    texts[250] = texts[251] = "venom " + texts[250]
+    texts[252] += " elsewhere unheard unheard"
+    labels = spark.range(200).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS INT) AS toxic")
+    got = toxicity.score_toxicity(documents(list(enumerate(texts))), labels).toPandas().set_index("doc_id")
+
+    terms = [[w for word in x.split() for w in (word, *(word[:n] + "*" for n in (5, 7) if len(word) > n))] for x in texts]
+    known = sorted({w for x in terms for w in x})
+    counts = np.array([[x.count(w) for w in known] for x in terms], dtype=float)
+    idf = np.log((len(texts) + 1) / ((counts > 0).sum(axis=0) + 0.5)).clip(0)
+    vectors = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    examples = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    cosines = vectors @ vectors[examples].T
+    for i in range(len(texts)):
+        wanted = np.sort(cosines[i])[::-1][:3]
+        assert np.allclose(got.similarity[i], wanted, atol=1e-5)
+        assert np.allclose([cosines[i][examples.index(j)] for j in got.nearest[i]], wanted, atol=1e-5)
+
+
 def test_votes_are_calibrated_by_class():
     labels, scores = np.array([1, 0]), np.array([0.5, 0.5])
     assert toxicity.vote(labels, scores, (1.0, 1.0), 0.5) == pytest.approx(0.5)
