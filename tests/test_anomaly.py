@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sondeflow.operators import anomaly, temporal
 
-from conftest import readings, rows, series
+from frames import readings, rows, series
 
 DAY = dt.date(2024, 1, 1)
 

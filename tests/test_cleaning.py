@@ -9,7 +9,7 @@ from sondeflow.functions import as_category, ordinal, season_of
 from sondeflow.operators import cleaning, duplicates, missingness, quality
 from sondeflow.schema import MEASURES, SEASONS, WEEKDAYS
 
-from conftest import FIRST, ROWS, START, raw_frame, readings, rows, to_spark
+from frames import FIRST, ROWS, START, raw_frame, readings, rows, to_spark
 
 
 def test_rename_gives_clean_names(raw):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sondeflow import scale
 from sondeflow.operators import duplicates, windows
 
-from conftest import readings, rows
+from frames import readings, rows
 
 IDS = [None, None, 1, 2, 2, 3, 3, 3, 4]
 

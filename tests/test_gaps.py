@@ -8,7 +8,7 @@ import pytest
 
 from sondeflow.operators import gaps
 
-from conftest import readings, rows
+from frames import readings, rows
 
 
 def brute(times):

@@ -13,7 +13,7 @@ from sondeflow.operators import cleaning
 from sondeflow.plans import REPORTS, dashboard_frames, run_report
 from sondeflow.schema import MEASURES
 
-from conftest import START, raw_frame, rows, to_spark
+from frames import START, raw_frame, rows, to_spark
 from oracle import answers
 
 import duckdb

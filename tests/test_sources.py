@@ -17,7 +17,7 @@ from sondeflow.sources import (
     write_clean_parquet,
 )
 
-from conftest import FIRST, ROWS, raw_frame, rows
+from frames import FIRST, ROWS, raw_frame, rows
 
 
 @pytest.fixture

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sondeflow.operators import stats
 from sondeflow.operators.quantiles import SHIFTS, exact_quantiles, ordered_bits, sketched_quantiles
 
-from conftest import rows
+from frames import rows
 
 
 def samples():

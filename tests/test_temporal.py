@@ -10,7 +10,7 @@ from sondeflow.functions import band, steady_mean
 from sondeflow.operators import cleaning, conditions, filters, missingness, temporal, windows
 from sondeflow.schema import OXYGEN_BANDS, SALINITY_BANDS
 
-from conftest import ROWS, START, readings, rows, series
+from frames import ROWS, START, readings, rows, series
 
 
 def months(spark, triples):
