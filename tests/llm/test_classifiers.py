@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import AWKWARD
+from awkward import AWKWARD
 
 from sondeflow.llm import labelled, quality_classifier, toxicity
 from sondeflow.llm.queries import QUERIES

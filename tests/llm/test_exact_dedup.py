@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
-from conftest import AWKWARD
+from awkward import AWKWARD
 
 from sondeflow.llm import exact_dedup, store
 

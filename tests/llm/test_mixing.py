@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import AWKWARD
+from awkward import AWKWARD
 
 from sondeflow.llm import mixing
 

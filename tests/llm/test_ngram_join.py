@@ -5,7 +5,7 @@ import random
 import numpy as np
 import plain
 import pytest
-from conftest import AWKWARD
+from awkward import AWKWARD
 
 from sondeflow.llm import ngram_join
 from sondeflow.llm.queries import QUERIES

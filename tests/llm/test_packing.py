@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import AWKWARD
+from awkward import AWKWARD
 from tokenizers import Tokenizer
 
 from sondeflow.llm import packing, tokens

@@ -4,7 +4,7 @@ import re
 from random import Random
 
 import pytest
-from conftest import AWKWARD
+from awkward import AWKWARD
 from pyspark.sql import functions as F
 
 from sondeflow.llm import pii

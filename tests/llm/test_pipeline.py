@@ -7,7 +7,7 @@ import hashlib
 import corpus_pipeline
 import plain
 import public_tokenizers
-from conftest import AWKWARD
+from awkward import AWKWARD
 from test_mixing import expected_targets
 from test_quality_rules import statistics
 from tokenizers import Tokenizer

@@ -5,7 +5,7 @@ import re
 
 import plain
 import pytest
-from conftest import AWKWARD
+from awkward import AWKWARD
 from pyspark.sql import functions as F
 
 from sondeflow.llm import quality_rules
