@@ -99,8 +99,9 @@ def mixing_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFra
         width = 1 << (HASH_BITS - LEVEL_BITS * level)
         step = F.expr(f"(place - low) DIV {width}L")
         # documents of the open bucket only; its counts start where the last level ended
+        inside = (F.col("place") >= F.col("low")) & (step < 1 << LEVEL_BITS)
         counted = (
-            sizes.join(edges, _same("source", "s")).where(step.between(0, (1 << LEVEL_BITS) - 1))
+            sizes.join(edges, _same("source", "s")).where(inside)
             .groupBy("s", "wanted", "low", "below", step.alias("step"))
             .agg(F.sum("size").alias("words"), F.min("place").alias("first"), F.max("place").alias("last"))
         )

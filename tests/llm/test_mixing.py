@@ -80,3 +80,19 @@ def test_no_document_and_no_words(documents):
 def test_no_python_in_the_plan(documents):
     plan = mixing.mixed_documents(documents([(1, "a b", "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("level", range(1, 7))
+def test_documents_on_either_side_of_a_bucket_edge(spark, level):
+    """Places that crowd around the edge where the budget ends, at each level."""
+    edge = sum(5 << (mixing.HASH_BITS - mixing.LEVEL_BITS * k) for k in range(1, level + 1))
+    near = range(-20, 20)
+    places = [edge + i for i in near] + [edge + (i << 45) for i in (-3, -2, -1, 1, 2, 3)]
+    rows = [("a", 50, p) for p in places] + [("b", 70, 17 * i << 40) for i in range(3 * len(places))]
+    sizes = spark.createDataFrame(rows, "source string, size long, place long")
+    for source in mixing.mixing_plan(sizes).collect():
+        taken = sum(
+            size * (source["whole"] + (place <= source["threshold"]))
+            for name, size, place in rows if name == source["source"]
+        )
+        assert abs(taken - source["target"]) <= 70
