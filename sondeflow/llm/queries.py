@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import configure
 from . import (
@@ -14,6 +14,7 @@ from . import (
     mixing,
     ngram_join,
     packing,
+    periodic_runs,
     pii,
     quality_classifier,
     quality_rules,
@@ -21,6 +22,7 @@ from . import (
     toxicity,
     training_order,
 )
+from .words import bound, whole_text, word_list
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,3 +116,43 @@ def op4_training_order(docs: DataFrame) -> DataFrame:
 def op5_feistel_pseudonyms(docs: DataFrame) -> DataFrame:
     replaced = pii.replace_personal(docs, key=b"rotate this key for every release")
     return replaced.withColumn("n_spans", F.size("spans").cast("long"))
+
+
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` where a tenth of the texts repeat a stretch from some word on.
+
+    Which ones, from where and with what period follows from a checksum of the id. A
+    missing id plants nothing.
+    """
+    digest = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(digest / 10).cast("long")
+
+    def repeated(found: Column) -> Column:
+        n = F.size(found)
+        a = (g % n).cast("int")
+        period = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        order = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % period))
+        text = F.array_join(F.transform(order, lambda i: F.get(found, i)), " ")
+        return F.when(n > 0, text).otherwise("")
+
+    planted = F.when(digest % 10 == 0, bound(word_list("text"), repeated)).otherwise(whole_text("text"))
+    return docs.select("doc_id", planted.alias("text"))
+
+
+@documents_query
+def op11_periodic_runs(docs: DataFrame) -> DataFrame:
+    found = periodic_runs.find_runs(_with_planted_periods(docs))
+    none = F.lit(None).cast(found.schema["runs"].dataType.elementType)
+
+    def greater(best: Column, run: Column) -> Column:
+        more = run["length"] * best["period"] > best["length"] * run["period"]
+        return F.when(best.isNull() | more, run).otherwise(best)
+
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", F.aggregate("runs", none, greater)).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
