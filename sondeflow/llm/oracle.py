@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_scan import BASE_TEMPLATES, DIGITS, TEMPLATES
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op3_progressive_dedup"] = """
@@ -118,3 +120,54 @@ WITH RECURSIVE hashed AS (
 SELECT doc_id, keyed.slot, names[shard + 1] AS shard
 FROM keyed JOIN placed ON keyed.slot = placed.slot, preferences
 """
+
+_TEMPLATE_ROWS = ",\n".join(
+    f"    ('{t.name}', '{t.label}', {t in BASE_TEMPLATES}, {w.position}, '{w.word}', {w.mandatory})"
+    for t in TEMPLATES for w in t.words
+)
+
+ORACLE["op13_license_index"] = rf"""
+WITH template(name, label, base, position, word, mandatory) AS (VALUES
+{_TEMPLATE_ROWS}
+), listed AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+), hits AS (
+    SELECT doc_id, word, place FROM (
+        SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM listed
+    ) WHERE word IN (SELECT word FROM template)
+), frequency AS (
+    SELECT word, count(DISTINCT doc_id) AS df FROM hits GROUP BY word
+), weighted AS (
+    SELECT t.*, coalesce(df, 0) AS df,
+           ln(1 + (SELECT count(*) FROM documents) / (1 + coalesce(df, 0))) AS idf
+    FROM template t LEFT JOIN frequency f ON t.word = f.word
+), ranked AS (
+    SELECT *, row_number() OVER rarest AS nth,
+           round(sum(idf) OVER rarest / sum(idf) OVER (PARTITION BY name), {DIGITS}) AS share,
+           min(position) FILTER (mandatory) OVER (PARTITION BY name) AS key,
+           count(*) FILTER (mandatory) OVER (PARTITION BY name) AS needed
+    FROM weighted WINDOW rarest AS (PARTITION BY name ORDER BY df, word, position)
+), aligned AS (
+    SELECT doc_id, name, label, base, place - position AS begin, nth, share, mandatory, key, needed,
+           row_number() OVER (PARTITION BY doc_id, name, place - position ORDER BY nth) AS held
+    FROM hits h JOIN ranked r ON h.word = r.word
+), scored AS (
+    SELECT doc_id, max(share) AS score FROM aligned WHERE held = nth GROUP BY doc_id
+), verified AS (
+    SELECT doc_id, label, base, begin + key AS place FROM aligned WHERE mandatory
+    GROUP BY doc_id, name, label, base, begin, key, needed HAVING count(*) = needed
+), found AS (
+    SELECT doc_id, count(*) FILTER (base) AS n_base, min(place) FILTER (base) AS first_word,
+           max(place) FILTER (base) AS last_word,
+           string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+           string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+    FROM verified GROUP BY doc_id
+)
+SELECT l.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM listed l LEFT JOIN found f ON l.doc_id = f.doc_id LEFT JOIN scored s ON l.doc_id = s.doc_id
+"""

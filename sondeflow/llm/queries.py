@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import configure
 from . import (
     exact_dedup,
+    license_scan,
     mixing,
     ngram_join,
     packing,
@@ -21,6 +22,7 @@ from . import (
     sharding,
     toxicity,
     training_order,
+    whitening,
 )
 from .words import bound, whole_text, word_list
 
@@ -156,3 +158,29 @@ def op11_periodic_runs(docs: DataFrame) -> DataFrame:
         F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def op12_pivoted_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(ready(spark), sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened", "explained", "identity_error",
+    )
+
+
+QUERIES["op12_pivoted_whitening"] = op12_pivoted_whitening
+
+
+@documents_query
+def op13_license_index(docs: DataFrame) -> DataFrame:
+    base = [t.name for t in license_scan.BASE_TEMPLATES]
+
+    def labels(matches: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["label"]))), ",")
+
+    found = license_scan.scan(docs).withColumn("base", F.filter("matches", lambda m: m["template"].isin(base)))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.place").alias("first_word"), F.array_max("base.place").alias("last_word"),
+        labels(F.col("base")).alias("base_labels"), labels(F.col("matches")).alias("labels"), "score",
+    )
