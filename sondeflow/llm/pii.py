@@ -7,16 +7,16 @@ in a known range; a keyed Feistel network with cycle walking permutes that range
 the result is written in the format that was found, with new check digits. The
 permutation is one to one, so equal values stay linked across documents, different
 ones stay different, and whoever has the key can restore them. Names before the @ of
-an e-mail address are permuted among those of equal length.
+an e-mail address, at most 64 characters, are permuted among those of equal length.
 
 Defined results: a missing text stays missing. What fails validation stays. Texts are
 processed whole, the other columns are kept, and a column named like a new one is
 replaced. Where candidates overlap, the first to start wins, then the order of
-``KINDS``, then the longest that is valid. A pseudonym that would be read otherwise
-beside its neighbours, say as a longer card with the digits that follow, is permuted
-again until it is read as what it replaces: so texts can be restored, and a value in
-such a place may have another pseudonym there. Rows are independent, so repeated rows
-give the same result.
+``KINDS``, then the longest that is valid. A value has one pseudonym, whatever stands
+beside it. Beside some neighbours a pseudonym could be read otherwise, say as a longer
+card with the digits that follow; so texts are not restored by reading them again but by
+the places of the pseudonyms, which ``spans`` keeps. The search takes time in proportion
+to the text. Rows are independent, so repeated rows give the same result.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from datetime import date, timedelta
 from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -86,9 +87,13 @@ def _card(found: str, permute: Permute) -> str | None:
     digits = _digits_of(found)
     if check_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
         return None
-    size = len(digits) - 1
-    payload = f"{permute(int(digits[:-1]), 10 ** size, 'card'):0{size}d}"
-    return _refilled(found, payload + check_digit(payload))
+    size, value = len(digits) - 1, int(digits[:-1])
+    while True:  # one digit over and over is no card
+        value = permute(value, 10 ** size, "card")
+        new = f"{value:0{size}d}"
+        new += check_digit(new)
+        if len(set(new)) > 1:
+            return _refilled(found, new)
 
 
 def _remainder(country: str, rest: str) -> int:
@@ -214,9 +219,9 @@ def _mailbox(found: str, permute: Permute) -> str | None:
 _NATIONAL = r"(?:\)?[ ./-]?\(?\d)"
 _GROUPED, _PLAIN = rf"\+{_CODE}(?=[ ./(-]){_NATIONAL}{{5,14}}", rf"\+{_CODE}\d{{5,14}}"
 
-#: Kind, pattern and validation with replacement, in order of preference.
+#: Kind, pattern and validation with replacement, in order of preference. Mailboxes, which
+#: come before all of them, are found from their @: see :class:`_Mailboxes`.
 KINDS: list[tuple[str, str, Callable[[str, Permute], str | None]]] = [
-    ("mailbox", r"[0-9A-Za-z][\w.+-]*@[\w-]+(?:\.[\w-]+)+", _mailbox),
     ("address", r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _address),
     ("date", r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})", _date),
     ("security", r"\d{3}-\d{2}-\d{4}", _security),
@@ -236,7 +241,7 @@ _PATTERNS = {
 }
 _ANY = re.compile(_START + "(?:" + "|".join(_PATTERNS.values()) + ")", re.ASCII)
 _ONE = {kind: re.compile(pattern, re.ASCII) for kind, pattern in _PATTERNS.items()}
-_REPLACE = {kind: replace for kind, _, replace in KINDS}
+_REPLACE = {"mailbox": _mailbox} | {kind: replace for kind, _, replace in KINDS}
 
 #: Kinds that are tried with fewer groups where all that matches is not valid, and what these must match.
 _SHORTER = {"account": _ONE["account"], "card": _ONE["card"], "phone": re.compile(f"{_GROUPED}|{_PLAIN}", re.ASCII)}
@@ -244,12 +249,49 @@ _SHORTER = {"account": _ONE["account"], "card": _ONE["card"], "phone": re.compil
 _GROUP = re.compile(_START + "[0-9A-Za-z]", re.ASCII)
 _LAST_OF_GROUP = re.compile(r"[0-9A-Z](?![0-9A-Za-z_])", re.ASCII)
 
-#: More characters than lie between a candidate and all that its validity depends on.
-_REACH = 128
+_HOST = re.compile(r"@[\w-]+(?:\.[\w-]+)+" + _END, re.ASCII)
+_NOT_IN_NAME = re.compile(r"[^\w.+-]", re.ASCII)
 
 
-def _ends(kind: str, text: str, start: int) -> Iterator[int]:
+#: Characters that a mail standard allows before the @.
+_LONGEST_NAME = 64
+
+
+class _Mailboxes:
+    """The mailboxes of a text. Each host is looked at once, each name read backwards once."""
+
+    def __init__(self, text: str):
+        self._text = text
+        hosts = [match.span() for match in _HOST.finditer(text)]
+        self._at, self._ends = [at for at, _ in hosts], [end for _, end in hosts]
+        self._names = []
+        for at in self._at:
+            low = max(0, at - _LONGEST_NAME)
+            before = _NOT_IN_NAME.search(text[low:at][::-1])
+            self._names.append(at - before.start() if before else low)
+
+    def end(self, start: int) -> int | None:
+        """Where the mailbox that begins at ``start`` ends."""
+        nth = bisect_left(self._at, start)
+        if nth == len(self._at) or self._names[nth] > start or not _GROUP.match(self._text, start):
+            return None
+        return self._ends[nth]
+
+    def next(self, at: int) -> int:
+        """Where the next mailbox from ``at`` on begins; the end of the text if there is none."""
+        for nth in range(bisect_left(self._at, at), len(self._at)):
+            if match := _GROUP.search(self._text, max(at, self._names[nth]), self._at[nth]):
+                return match.start()
+        return len(self._text)
+
+
+def _ends(kind: str, text: str, start: int, mailboxes: _Mailboxes) -> Iterator[int]:
     """Where candidates of ``kind`` that begin at ``start`` end, longest first."""
+    if kind == "mailbox":
+        end = mailboxes.end(start)
+        if end is not None:
+            yield end
+        return
     match = _ONE[kind].match(text, start)
     if not match:
         return
@@ -277,7 +319,7 @@ def _may_be_longer(phone: str) -> bool:
     return bool(code) and len(digits) - len(code.group()) != 10
 
 
-def _cuts(kind: str, text: str, start: int, end: int) -> bool:
+def _cuts(kind: str, text: str, start: int, end: int, mailboxes: _Mailboxes) -> bool:
     """Whether the last groups of a candidate are a value of another kind, or begin one.
 
     A last group of four digits that only may belong to a phone number is left to a card.
@@ -290,79 +332,79 @@ def _cuts(kind: str, text: str, start: int, end: int) -> bool:
     if kind == "phone" and groups and _may_be_longer(found) and text[groups[-1]:groups[-1] + 4].isdigit():
         others.append((groups[-1], "card"))
     return any(
-        stop >= end and _valid(other, text[at:stop]) for at, other in others for stop in _ends(other, text, at)
+        stop >= end and _valid(other, text[at:stop])
+        for at, other in others for stop in _ends(other, text, at, mailboxes)
     )
 
 
-def _found(text: str, at: int = 0) -> Iterator[tuple[str, int, int]]:
-    """``(kind, start, end)`` of each valid value from ``at`` on.
+class Span(NamedTuple):
+    """A value's place in the old text, and its pseudonym's in the new one."""
+
+    kind: str
+    start: int
+    end: int
+    new_start: int
+    new_end: int
+
+
+def _found(text: str) -> Iterator[tuple[str, int, int]]:
+    """``(kind, start, end)`` of each valid value.
 
     Where no candidate is valid, the search goes on at the next character.
     """
-    while match := _ANY.search(text, at):
-        start = match.start()
+    mailboxes = _Mailboxes(text)
+    at, size = 0, len(text)
+    match, mailbox = _ANY.search(text), mailboxes.next(0)
+    while match or mailbox < size:
+        start = min(match.start() if match else size, mailbox)
         at = start + 1
-        for kind, end in ((kind, end) for kind in _REPLACE for end in _ends(kind, text, start)):
-            if _valid(kind, text[start:end]) and not _cuts(kind, text, start, end):
+        for kind, end in ((kind, end) for kind in _REPLACE for end in _ends(kind, text, start, mailboxes)):
+            if _valid(kind, text[start:end]) and not _cuts(kind, text, start, end, mailboxes):
                 yield kind, start, end
                 at = end
                 break
+        if match and match.start() < at:
+            match = _ANY.search(text, at)
+        if mailbox < at:
+            mailbox = mailboxes.next(at)
 
 
-def _reader(kinds: list[str], gaps: list[str], values: list[str], nth: int) -> Callable[[str], bool]:
-    """Whether a new ``nth`` value leaves it and the values before it to be found."""
-    first, size = nth, len(gaps[nth])
-    while first and size <= _REACH:
-        first -= 1
-        size += len(gaps[first]) + len(values[first])
-    skipped = max(0, len(gaps[first]) - _REACH)
-    # what a look back from the first character can see
-    before = gaps[first][max(0, skipped - 3):skipped] or (values[first - 1][-3:] if first else "")
-    left, expected = before + gaps[first][skipped:], []
-    for i in range(first, nth):
-        expected.append((kinds[i], len(left), len(left) + len(values[i])))
-        left += values[i] + gaps[i + 1]
-    right, last = gaps[nth + 1], nth + 1
-    while last < len(values) and len(right) <= _REACH:
-        right += values[last] + gaps[last + 1]
-        last += 1
-
-    def fits(new: str) -> bool:
-        found = _found(left + new + right, len(before))
-        wanted = [*expected, (kinds[nth], len(left), len(left) + len(new))]
-        return all(next(found, None) == span for span in wanted)
-
-    return fits
-
-
-def pseudonymize(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with pseudonyms, and ``(kind, start, end)`` of each in the old text.
-
-    Values are replaced from the left and restored from the right, so both see the same
-    neighbours, and in both directions the values that do not fit are walked over.
-    """
+def _replaced(text: str, places: list[tuple[str, int, int]], permute: Permute) -> tuple[str, list[tuple[int, int]]]:
+    """The text with other values in the places, and where these stand."""
+    parts, new_places, at, size = [], [], 0, 0
+    for kind, start, end in places:
+        new = _REPLACE[kind](text[start:end], permute)
+        if new is None:
+            raise ValueError(f"no {kind} stands at {start} to {end}")
+        size += start - at
+        new_places.append((size, size + len(new)))
+        size += len(new)
+        parts += [text[at:start], new]
+        at = end
+    return "".join([*parts, text[at:]]), new_places
+
+
+def pseudonymize(text: str, key: bytes) -> tuple[str, list[Span]]:
+    """The text with pseudonyms, and where they are."""
+    places = list(_found(text))
+    new, new_places = _replaced(text, places, lambda v, size, kind: permuted(v, size, key, kind))
+    return new, [Span(*old, *place) for old, place in zip(places, new_places)]
 
-    def permute(value: int, size: int, kind: str) -> int:
-        return permuted(value, size, key, kind, back)
-
-    spans = list(_found(text))
-    if not spans:
-        return text, spans
-    kinds, values = [kind for kind, _, _ in spans], [text[s:e] for _, s, e in spans]
-    edges = [0, *(place for _, s, e in spans for place in (s, e)), len(text)]
-    gaps = [text[s:e] for s, e in zip(edges[::2], edges[1::2])]
-    for i in reversed(range(len(spans))) if back else range(len(spans)):
-        fits = _reader(kinds, gaps, values, i)
-        new = _REPLACE[kinds[i]](values[i], permute)
-        while not fits(new):
-            new = _REPLACE[kinds[i]](new, permute)
-        values[i] = new
-    return "".join(part for pair in zip(gaps, [*values, ""]) for part in pair), spans
-
-
-def pseudonym_batches(key: bytes, back: bool):
+
+def restore(text: str, spans: Sequence[Span], key: bytes) -> str:
+    """The text that :func:`pseudonymize` has given these spans for."""
+    places = [(s.kind, s.new_start, s.new_end) for s in spans]
+    return _replaced(text, places, lambda v, size, kind: permuted(v, size, key, kind, back=True))[0]
+
+
+_SPANS = "spans array<struct<kind:string,start:long,end:long,new_start:long,new_end:long>>"
+_SPAN_LIST = pa.list_(pa.struct([
+    ("kind", pa.string()), *((name, pa.int64()) for name in ("start", "end", "new_start", "new_end")),
+]))
+
+
+def pseudonym_batches(key: bytes):
     """mapInArrow function: texts with pseudonyms, other columns, and the spans that were replaced."""
-    span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def pseudonyms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,21 +413,44 @@ def pseudonym_batches(key: bytes, back: bool):
             suspects = pc.fill_null(pc.match_substring_regex(texts, "[0-9@]"), False)
             new, spans = texts.to_pylist(), [[]] * len(texts)
             for i in pc.indices_nonzero(suspects).to_pylist():
-                new[i], found = pseudonymize(new[i], key, back)
-                spans[i] = [{"kind": k, "start": s, "end": e} for k, s, e in found]
+                new[i], found = pseudonymize(new[i], key)
+                spans[i] = [span._asdict() for span in found]
             columns = dict(zip(batch.schema.names, batch.columns))
-            columns |= {"text": pa.array(new, pa.string()), "spans": pa.array(spans, span_type)}
+            columns |= {"text": pa.array(new, pa.string()), "spans": pa.array(spans, _SPAN_LIST)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return pseudonyms
 
 
+def restored_batches(key: bytes):
+    """mapInArrow function: the inverse of :func:`pseudonym_batches`."""
+
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                restore(text, [Span(**s) for s in spans], key) if spans else text
+                for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
+            ]
+            columns = dict(zip(batch.schema.names, batch.columns))
+            columns["text"] = pa.array(texts, pa.string())
+            del columns["spans"]
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return restored
+
+
 def replace_personal(
-    docs: DataFrame, key: bytes, back: bool = False, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, key: bytes, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """``(doc_id, text, other columns, spans)``: texts with pseudonyms; ``back`` restores them."""
+    """``(doc_id, text, other columns, spans)``: texts with pseudonyms, and where these are."""
     replaced = {name.lower() for name in (id_column, text_column, "doc_id", "text", "spans")}
     others = [F.col(f"`{name}`") for name in docs.columns if name.lower() not in replaced]
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *others)
-    spans = StructType.fromDDL("spans array<struct<kind:string,start:long,end:long>>")
-    return docs.mapInArrow(pseudonym_batches(key, back), StructType([*docs.schema, *spans]))
+    spans = StructType.fromDDL(_SPANS)
+    return docs.mapInArrow(pseudonym_batches(key), StructType([*docs.schema, *spans]))
+
+
+def restore_personal(replaced: DataFrame, key: bytes) -> DataFrame:
+    """What :func:`replace_personal` was given, from all that it returned and the key."""
+    kept = StructType([f for f in replaced.schema if f.name != "spans"])
+    return replaced.mapInArrow(restored_batches(key), kept)
