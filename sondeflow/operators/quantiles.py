@@ -1,13 +1,13 @@
 """Exact quantiles of large columns, without sorting or collecting them.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here
-a quantile is found digit by digit. A double has 64 bits, and their order as a
-whole number is that of the values. Count the readings per leading 16 bits, keep
-the prefixes that hold a wanted rank, count those by their next 16 bits, and so on:
-after four scans the whole value is known. Every pass is a partial aggregate, so
-tasks exchange counts and not readings, a value that fills a third of the table is
-one count per task, and no distribution puts more than 65,536 counts under one
-prefix.
+Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here a
+first scan takes a mergeable rank sketch of every column, which tells two values that
+enclose each wanted rank up to its known error. A second scan counts: the readings
+between the enclosed ranges, and inside a range the readings of each value. Those are
+about a few thousandths of the readings, and a partial aggregate, so a value that fills a
+third of the table is one count per task. The counts show whether every wanted rank
+was enclosed (if not, wider ranges are counted), and a range that holds more values
+than one window should is cut into pieces before its values are numbered.
 """
 
 from __future__ import annotations
@@ -17,16 +17,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import one_row_per_column
+from ..functions import nan_to_null, one_row_per_column
 from ..scale import attach, fits_broadcast, materialized, spread_join
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-#: Low bits that each pass leaves out; the last one looks at the whole value.
-SHIFTS = (48, 32, 16, 0)
+#: A sketch is off by one part in so many of the ranks.
+ACCURACY = 10_000
 
-_MANTISSA = 52
-_LEAST_EXPONENT, _BIAS = -1022, 1023
+#: Errors of the sketch to either side of a wanted rank; the last range is everything.
+SLACKS = (2, 200, ACCURACY)
+
+#: Different values that are numbered in one window, and pieces that more are cut into.
+HELD = 1 << 16
+PIECES = 64
 
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -72,27 +76,62 @@ def with_group(
     return spread_join(values, groups, keys, weight, null_keys=True)
 
 
-def ordered_bits(value: Column) -> Column:
-    """The bits of a double as a whole number that orders like the value.
+def _intervals(probabilities: Sequence[float], slack: int) -> list[tuple[float, float]]:
+    """Ranges of probability around the wanted ones, ascending and apart from each other."""
+    found: list[tuple[float, float]] = []
+    for p in sorted({float(p) for p in probabilities}):
+        low, high = max(0.0, p - slack / ACCURACY), min(1.0, p + slack / ACCURACY)
+        if found and low <= found[-1][1]:
+            found[-1] = (found[-1][0], high)
+        else:
+            found.append((low, high))
+    return found
+
+
+def _part(value: Column, bounds: Column | list, intervals: Sequence[tuple[float, float]]) -> Column:
+    """Number of the part that a value lies in: odd inside a range, even between two."""
+    part = F.when(value.isNull(), F.lit(None).cast("int"))
+    for k, (low, high) in enumerate(intervals):
+        if low > 0:
+            part = part.when(value < bounds[2 * k], 2 * k)
+        if high == 1:
+            return part.otherwise(2 * k + 1)
+        part = part.when(value <= bounds[2 * k + 1], 2 * k + 1)
+    return part.otherwise(2 * len(intervals))
+
+
+def _cells(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str], intervals: Sequence[tuple[float, float]]
+) -> DataFrame:
+    """``(*by, position, path, value, n)``: readings per value in a range, or between ranges.
 
-    Powers of two scale a double exactly, so the result is exact. The logarithm may
-    be off by one next to a power of two, which the comparison with it corrects.
+    Two scans: the sketches, one wide aggregate, and the counts.
     """
-    size = F.abs(value)
-    guess = F.greatest(F.floor(F.log2(size)), F.lit(_LEAST_EXPONENT))
-    low = F.pow(F.lit(2.0), guess)
-    exponent = F.when(size < low, guess - 1).when(size / low >= 2, guess + 1).otherwise(guess)
-    normal = exponent >= _LEAST_EXPONENT
-    scaled = size / F.pow(F.lit(2.0), F.greatest(exponent, F.lit(_LEAST_EXPONENT)))
-    digits = (F.when(normal, scaled - 1).otherwise(scaled) * float(1 << _MANTISSA)).cast("bigint")
-    leading = F.when(normal, exponent + _BIAS).otherwise(0).cast("bigint")
-    bits = F.shiftleft(leading, _MANTISSA) + digits
-    bits = F.when(size == float("inf"), F.lit((2 * _BIAS + 1) << _MANTISSA)).otherwise(bits)
-    return F.when(value > 0, bits).when(value < 0, -bits).otherwise(F.lit(0).cast("bigint"))
-
-
-def _prefix(value: Column, shift: int) -> Column:
-    return F.shiftright(ordered_bits(value), shift)
+    values = {f"__v{i}": nan_to_null(F.col(c).cast("double")) for i, c in enumerate(columns)}
+    wide = df.select(*by, *[v.alias(name) for name, v in values.items()])
+    edges = [p for pair in intervals for p in pair]
+    sketches = wide.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), *[
+        F.percentile_approx(name, edges, ACCURACY).alias(f"__b{i}") for i, name in enumerate(values)
+    ])
+    if by:
+        sketches, small = group_table(sketches, bounded=False)
+        wide = with_group(wide, sketches, list(by), "__n", small)
+        bounds = [F.col(f"__b{i}") for i in range(len(columns))]
+    else:
+        # one row: so many numbers for each listed column
+        found = sketches.first()
+        bounds = [[F.lit(b) for b in found[f"__b{i}"] or [None] * len(edges)] for i in range(len(columns))]
+    entries = [
+        F.struct(
+            F.lit(i).alias("position"), F.col(name).alias("value"),
+            _part(F.col(name), bounds[i], intervals).alias("part"),
+        )
+        for i, name in enumerate(values)
+    ]
+    long = wide.select(*by, F.inline(F.array(*entries))).where(F.col("value").isNotNull())
+    inside = F.when(F.col("part") % 2 == 1, F.col("value"))
+    counted = long.groupBy(*by, "position", "part", inside.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(*by, "position", F.array("part").alias("path"), "value", "n")
 
 
 def _sides(total: Column, probabilities: Sequence[float]) -> list[tuple[Column, Column]]:
@@ -101,48 +140,54 @@ def _sides(total: Column, probabilities: Sequence[float]) -> list[tuple[Column,
     return [(F.floor(a), F.ceil(a)) for a in at]
 
 
-def _with_ranks(cells: DataFrame, keys: list[str], *extra: str) -> DataFrame:
-    """Number the readings through the cells: this cell holds ``below..upto-1``."""
-    running = Window.partitionBy(*keys, *extra).orderBy("cell").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    start = F.col("start") if "start" in cells.columns else F.lit(0)
-    return cells.withColumn("upto", start + F.sum("n").over(running)).withColumn(
-        "below", F.col("upto") - F.col("n")
-    )
-
-
 def _holds(rank: Column) -> Column:
     return (rank >= F.col("below")) & (rank < F.col("upto"))
 
 
-def _wanted(ranked: DataFrame, keys: list[str], probabilities: Sequence[float]) -> DataFrame:
-    """The cells that hold a wanted rank."""
-    ranks = [r for pair in _sides(F.col("total"), probabilities) for r in pair]
-    return ranked.where(reduce(lambda a, b: a | b, map(_holds, ranks))).select(
-        *keys, F.col("cell").alias("prefix"), "n", "total", F.col("below").alias("start")
+def _wanted(cells: DataFrame, keys: list[str], probabilities: Sequence[float]) -> DataFrame:
+    """Parts that hold a wanted rank: ``below`` as many readings, with ``different`` values."""
+    order = Window.partitionBy(*keys).orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    parts = cells.groupBy(*keys, "path").agg(
+        F.sum("n").alias("held"), F.count("value").alias("different")
+    ).select(
+        *keys, "path", "different", F.sum("held").over(order).alias("upto"),
+        (F.sum("held").over(order) - F.col("held")).alias("below"),
+        F.sum("held").over(Window.partitionBy(*keys)).alias("total"),
     )
+    ranks = [r for pair in _sides(F.col("total"), probabilities) for r in pair]
+    return parts.where(reduce(lambda a, b: a | b, map(_holds, ranks))).drop("upto")
 
 
-def _inside(
-    values: DataFrame, cells: DataFrame, keys: list[str], small: bool, before: int, shift: int
-) -> DataFrame:
-    """Readings per finer prefix of the given cells."""
-    value = F.col("value")
-    counted = (
-        with_group(
-            values.withColumn("prefix", _prefix(value, before)), cells, [*keys, "prefix"], "n", small
-        )
-        .groupBy(*keys, "prefix", _prefix(value, shift).alias("cell"))
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.min("value").alias("low"),
-            F.max("start").alias("start"),
-            F.max("total").alias("total"),
-        )
-        .withColumnRenamed("__n", "n")
+def _cut(cells: DataFrame, overfull: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of the overfull parts in pieces of about as many different values each."""
+    place = [*keys, "path"]
+    shares = [k / PIECES for k in range(1, PIECES)]
+    cuts = attach(cells, overfull.select(*place), place, "left_semi", null_keys=True).groupBy(*place).agg(
+        F.percentile_approx("value", shares, 100 * PIECES).alias("cuts")
+    )
+    piece = F.size(F.filter("cuts", lambda c: c < F.col("value")))
+    finer = F.when(F.col("cuts").isNull(), F.col("path")).otherwise(F.concat("path", F.array(piece)))
+    return attach(cells, materialized(cuts), place, "left", null_keys=True).select(
+        *keys, finer.alias("path"), "value", "n"
     )
-    return _with_ranks(counted, keys, "prefix")
+
+
+def _enclosed(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """The cells, and the parts of them that hold a wanted rank and few enough values."""
+    keys = [*by, "position"]
+    for slack in SLACKS:
+        cells = materialized(_cells(df, columns, by, _intervals(probabilities, slack)))
+        while True:
+            wanted = _wanted(cells, keys, probabilities)
+            least, most = wanted.agg(F.min("different"), F.max("different")).first()
+            if least == 0 or (most or 0) <= HELD:
+                break
+            cells = materialized(_cut(cells, wanted.where(F.col("different") > HELD), keys))
+        if least != 0:
+            break
+    return cells, wanted
 
 
 def exact_quantiles(
@@ -150,34 +195,25 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float] = QUARTILES,
     by: Sequence[str] = (),
-    shifts: Sequence[int] = SHIFTS,
 ) -> DataFrame:
     """Quantiles with linear interpolation, per column and group.
 
     One row per ``(*by, parameter)`` that has values, with the number of values
     as ``n`` and the quantiles as ``q0, q1, ...`` in the order asked for.
-    ``shifts`` end in 0 and trade scans against counts per prefix; they never
-    change the result.
     """
     keys = [*by, "position"]
-    values = long_values(df, columns, by)
-    value = F.col("value")
-    coarse = values.groupBy(*keys, _prefix(value, shifts[0]).alias("cell")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("low")
+    cells, wanted = _enclosed(df, columns, probabilities, by)
+    running = Window.partitionBy(*keys, "path").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        attach(cells, wanted, [*keys, "path"], null_keys=True)
+        .withColumn("upto", F.col("below") + F.sum("n").over(running))
+        .withColumn("below", F.col("upto") - F.col("n"))
     )
-    ranked = _with_ranks(coarse, keys).withColumn(
-        "total", F.sum("n").over(Window.partitionBy(*keys))
-    )
-    for before, shift in zip(shifts[:-1], shifts[1:]):
-        # Without groups: at most two cells per quantile of each listed column.
-        found, small = group_table(_wanted(ranked, keys, probabilities), bounded=not by)
-        ranked = _inside(values, found, keys, small, before, shift)
-
     quantiles, share = [], []
     for i, (lower, upper) in enumerate(_sides(F.col("total"), probabilities)):
         quantiles += [
-            F.max(F.when(_holds(lower), F.col("low"))).alias(f"a{i}"),
-            F.max(F.when(_holds(upper), F.col("low"))).alias(f"b{i}"),
+            F.max(F.when(_holds(lower), F.col("value"))).alias(f"a{i}"),
+            F.max(F.when(_holds(upper), F.col("value"))).alias(f"b{i}"),
         ]
     for p in probabilities:
         at = F.lit(float(p)) * (F.col("n") - 1)
