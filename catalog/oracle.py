@@ -7,6 +7,7 @@ plain windows, quantile functions and self joins.
 from __future__ import annotations
 
 from .queries import EVENT_TYPES, LINE_MEASURES, TEN_MEASURES, WINDOWS
+from .views import SPOILT_EVERY
 
 _WEEKDAYS = "['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday']"
 _SEASONS = "['Summer','Autumn','Winter','Spring']"
@@ -220,6 +221,17 @@ def _gate(view_sql: str, view: str, raw: str, where: str = "TRUE", time: str = "
     )
 
 
+def _rejects_gate() -> str:
+    """The gate over the orders whose line fits the header; the spoilt ones are too many."""
+    fits = f"record_number % {SPOILT_EVERY} > 2"
+    report = _gate(ORDERS, "readings", "orders", fits)
+    counted = f"(SELECT COUNT(*) FROM orders WHERE o_orderkey % {SPOILT_EVERY} <= 2)"
+    return (
+        report.replace("n = (SELECT COUNT(*) FROM orders)", f"n = (SELECT COUNT(*) FROM orders) - {counted}")
+        + f" UNION ALL SELECT 'rows_rejected', {counted} <= 3, {counted} FROM f"
+    )
+
+
 def _summary(where: str = "TRUE") -> str:
     """Headline numbers of a cleaning that keeps the rows of ``where``."""
     return (
@@ -295,11 +307,19 @@ ORACLE: dict[str, str] = {
     "chronological_readings": f"{_lead('readings')}SELECT record_number, timestamp, value FROM readings"
         " ORDER BY timestamp, record_number",
     **dict.fromkeys(
-        ("materialized_orders", "materialized_again", "clean_csv_orders", "saved_table_orders"),
+        ("materialized_orders", "materialized_again", "clean_csv_orders", "saved_table_orders", "ingested_in_drops"),
         f"WITH {ORDERS} SELECT record_number, timestamp,"
         " CASE WHEN record_number % 10 > 0 THEN o_totalprice END AS turbidity,"
         " year, month, day, hour, day_of_week, season FROM readings",
     ),
+    "quarantined_rows": "SELECT CAST(o_orderkey % 2 AS INT) AS drop, CASE o_orderkey % "
+        f"{SPOILT_EVERY} WHEN 0 THEN concat_ws(',', o_orderdate, o_orderkey)"
+        " WHEN 1 THEN concat_ws(',', o_orderdate, o_orderkey, o_totalprice, 'again')"
+        " ELSE concat('\"', concat_ws(',', o_orderdate, o_orderkey, o_totalprice)) END AS text"
+        f" FROM orders WHERE o_orderkey % {SPOILT_EVERY} <= 2",
+    "materialized_with_rejects": f"WITH {ORDERS} SELECT record_number, timestamp, o_totalprice AS turbidity,"
+        f" year, month, day, hour, day_of_week, season FROM readings WHERE record_number % {SPOILT_EVERY} > 2",
+    "clean_gate_report_rejects": _rejects_gate(),
     "time_features": f"{_lead('readings')}SELECT * FROM readings",
     "time_features_long_range": f"{_lead('long_range')}SELECT {_KEY}, timestamp, year, month, day, hour,"
         " day_of_week, season FROM long_range",

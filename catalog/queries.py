@@ -22,7 +22,7 @@ from sondeflow.operators import (
     temporal,
     windows,
 )
-from sondeflow.plans import materialize
+from sondeflow.plans import ingest, materialize
 from sondeflow.schema import SEASONS, WEEKDAYS, RangeRule
 from sondeflow.session import ensure_checkpoint_dir
 from sondeflow.sources import readers, writers
@@ -37,6 +37,7 @@ from .views import (
     readings,
     table,
     wide,
+    write_raw_lines,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +187,50 @@ def saved_table_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_rows(spark.table(name))
 
 
+def _with_rejects(spark: SparkSession, sf_dir: str) -> str:
+    """Raw lines, some of them spoilt, to a clean table and a table of rejects."""
+    folder = _new_folder(spark)
+    write_raw_lines(spark, sf_dir, f"{folder}/raw")
+    materialize(spark, f"{folder}/raw/*", f"{folder}/clean", view=None, rejects_path=f"{folder}/rejects")
+    return folder
+
+
+def quarantined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that do not fit the header, with the drop that they came in."""
+    rejects = readers.read_clean_parquet(spark, f"{_with_rejects(spark, sf_dir)}/rejects")
+    return rejects.select(F.regexp_extract("file", "drop=([0-9]+)", 1).cast("int").alias("drop"), "text")
+
+
+def materialized_with_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that do fit, cleaned."""
+    return _order_rows(readers.read_clean_parquet(spark, f"{_with_rejects(spark, sf_dir)}/clean"))
+
+
+def clean_gate_report_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over a table whose rejects are set aside; more of them than allowed."""
+    folder = _new_folder(spark)
+    write_raw_lines(spark, sf_dir, folder)
+    lines = readers.read_raw_lines(spark, f"{folder}/*")
+    return quality.gate_report(
+        cleaning.clean(readers.accepted(lines)), lines.count(),
+        rejected_rows=readers.rejects(lines).count(), most_rejected=3,
+    )
+
+
+def ingested_in_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw CSV in two drops that share all months, and a run without new files."""
+    folder = _new_folder(spark)
+    for drop in (0, 1):
+        rows = raw_orders(spark, sf_dir).where(F.col("Record number") % 3 % 2 == drop)
+        rows.write.option("header", True).csv(f"{folder}/raw/{drop}")
+        ingest(spark, f"{folder}/raw/*", f"{folder}/clean", view=None)
+    return _order_rows(ingest(spark, f"{folder}/raw/*", f"{folder}/clean", view=None))
+
+
+QUERIES["ingested_in_drops"] = ingested_in_drops
+QUERIES["quarantined_rows"] = quarantined_rows
+QUERIES["materialized_with_rejects"] = materialized_with_rejects
+QUERIES["clean_gate_report_rejects"] = clean_gate_report_rejects
 QUERIES["materialized_again"] = materialized_again
 QUERIES["clean_csv_orders"] = clean_csv_orders
 QUERIES["saved_table_orders"] = saved_table_orders

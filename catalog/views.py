@@ -87,3 +87,26 @@ def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("Temperature [quality]"),
         F.col("event_type").alias("Station note"),
     )
+
+
+#: Orders whose line is spoilt: a field too few, one too many, a quote left open.
+SPOILT_EVERY = 97
+
+
+def write_raw_lines(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Orders as raw CSV, in two drops, with some lines that do not fit the header.
+
+    Lines are written as they are: one column whose name is the whole header, no quoting.
+    """
+    fields = [F.col(c).cast("string") for c in ("o_orderdate", "o_orderkey", "o_totalprice")]
+    kind = F.col("o_orderkey") % SPOILT_EVERY
+    line = (
+        F.when(kind == 0, F.concat_ws(",", *fields[:2]))
+        .when(kind == 1, F.concat_ws(",", *fields, F.lit("again")))
+        .when(kind == 2, F.concat(F.lit('"'), F.concat_ws(",", *fields)))
+        .otherwise(F.concat_ws(",", *fields))
+    )
+    for drop in (0, 1):
+        table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 2 == drop).select(
+            line.alias("Timestamp,Record number,Turbidity")
+        ).write.options(header=True, sep="\u0001", quote="\u0000", escapeQuotes=False).csv(f"{folder}/drop={drop}")

@@ -84,12 +84,16 @@ def gate_report(
     key: str = "record_number",
     timestamp_column: str = "timestamp",
     season_column: str = "season",
+    rejected_rows: int | None = None,
+    most_rejected: int | None = None,
 ) -> DataFrame:
     """Acceptance checks of a cleaned table as ``(check, passed, detail)``.
 
     Row count unchanged, key unique, timestamp typed, a season on every row, and
     all four seasons present. Only the key is shuffled, counted per task first;
-    the other checks are plain totals over other columns.
+    the other checks are plain totals over other columns. Where rows were set aside,
+    ``rejected_rows`` of the original ones, they are counted with the table's and
+    reported by a check of their own, which fails beyond ``most_rejected``.
     """
     is_time = isinstance(df.schema[timestamp_column].dataType, (T.TimestampType, T.TimestampNTZType))
     season = F.col(season_column)
@@ -106,8 +110,12 @@ def gate_report(
     repeats = excess_rows(df, [key], name="repeats")
     totals = one_row_per_column(facts, "check", {
         "row_count_unchanged": {
-            "passed": F.col("rows") == original_row_count, "detail": F.col("rows"),
+            "passed": F.col("rows") == original_row_count - (rejected_rows or 0), "detail": F.col("rows"),
         },
+        **({} if rejected_rows is None else {"rows_rejected": {
+            "passed": F.lit(most_rejected is None or rejected_rows <= most_rejected),
+            "detail": F.lit(rejected_rows).cast("bigint"),
+        }}),
         "timestamp_typed": {
             "passed": F.lit(is_time), "detail": F.lit(0 if is_time else 1).cast("bigint"),
         },
@@ -122,9 +130,12 @@ def gate_report(
     }))
 
 
-def assert_clean(df: DataFrame, original_row_count: int, **columns: str) -> None:
-    """Raise ``AssertionError`` naming the checks that failed."""
-    failed = [r["check"] for r in gate_report(df, original_row_count, **columns).collect() if not r["passed"]]
+def assert_clean(
+    df: DataFrame, original_row_count: int, skip: Sequence[str] = (), **options: str | int | None
+) -> None:
+    """Raise ``AssertionError`` naming the checks that failed, but for those to ``skip``."""
+    report = gate_report(df, original_row_count, **options).collect()
+    failed = [r["check"] for r in report if not r["passed"] and r["check"] not in skip]
     if failed:
         raise AssertionError("failed checks: " + ", ".join(failed))
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import nan_to_null, one_row_per_column, ratio, rounded, steady_mean
+from .comoments import comoments, pearson
 from .quantiles import (
     QUARTILES,
     exact_quantiles,
@@ -198,43 +197,25 @@ def histogram(
     return named(filled, columns).orderBy("parameter", "bin")
 
 
-#: Pairs in one aggregate. Each takes ten buffers, and generated code is given up
-#: beyond a hundred columns.
-_PAIRS_PER_AGGREGATE = 9
-
-
-def _pearson(a: str, b: str) -> Column:
-    """Correlation over the rows that have both values; NULL for a constant."""
-    a, b = nan_to_null(a), nan_to_null(b)
-    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return ratio(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def _correlations(df: DataFrame, columns: Sequence[str], mirrored: bool) -> DataFrame:
-    """Correlations in long form, from few aggregates that each stay in generated code."""
+    """Correlations in long form, from one scan whatever the number of columns."""
+    spark = df.sparkSession
     if len(columns) < 2:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
-    pairs = list(combinations(columns, 2))
-    parts = []
-    for start in range(0, len(pairs), _PAIRS_PER_AGGREGATE):
-        chunk = pairs[start:start + _PAIRS_PER_AGGREGATE]
-        wide = df.agg(*[_pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        entries = [(a, b, F.col(f"r{i}")) for i, (a, b) in enumerate(chunk)]
-        if mirrored:
-            entries += [(b, a, r) for a, b, r in entries]
-        parts.append((wide, entries))
+        return spark.createDataFrame([], "column_a string, column_b string, r double")
+    found = comoments(df, columns).select("i", "j", pearson().alias("r"))
     if mirrored:
-        wide = df.agg(*[F.stddev_pop(nan_to_null(c)).alias(f"s{i}") for i, c in enumerate(columns)])
-        parts.append((wide, [
-            (c, c, F.when(F.col(f"s{i}") > 0, F.lit(1.0))) for i, c in enumerate(columns)
-        ]))
-    return reduce(DataFrame.unionByName, [
-        wide.select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("r"))
-            for a, b, r in entries
-        ])))
-        for wide, entries in parts
-    ])
+        own, turned = F.struct("i", "j", "r"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "r")
+        found = found.select(F.inline(F.when(F.col("i") < F.col("j"), F.array(own, turned)).otherwise(F.array(own))))
+    # one row per listed pair, also where no row has both values
+    last = len(columns) - 1
+    pairs = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(last))).alias("i")).select(
+        "i", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("j")
+    ).where(F.lit(True) if mirrored else F.col("i") < F.col("j"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return pairs.join(F.broadcast(found), ["i", "j"], "left").select(
+        F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"),
+        F.when(F.col("i") == F.col("j"), F.when(F.col("r").isNotNull(), F.lit(1.0))).otherwise(F.col("r")).alias("r"),
+    )
 
 
 def correlation_pairs(

@@ -1,7 +1,8 @@
 """Whole jobs built from the operators."""
 
 from .dashboard import dashboard_frames
+from .ingest import ingest, manifest
 from .materialize import materialize
 from .reports import REPORTS, run_report
 
-__all__ = ["REPORTS", "dashboard_frames", "materialize", "run_report"]
+__all__ = ["REPORTS", "dashboard_frames", "ingest", "manifest", "materialize", "run_report"]

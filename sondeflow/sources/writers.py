@@ -10,9 +10,12 @@ def write_clean_parquet(
     path: str,
     rebalance: bool = True,
     rows_per_file: int = 50_000_000,
+    only_months: bool = False,
 ) -> None:
     """Overwrite ``path`` with Parquet laid out by year and month.
 
+    ``only_months`` overwrites the months that ``df`` has and leaves the others.
+
     ``rebalance`` groups rows by month first, so that a task does not write to every
     month; the adaptive planner splits large months over several tasks. Readings
     that arrive in time order do without: a task then holds one or two months. Rows
@@ -24,6 +27,7 @@ def write_clean_parquet(
         df.sortWithinPartitions("year", "month", "timestamp")
         .write.mode("overwrite")
         .option("maxRecordsPerFile", rows_per_file)
+        .option("partitionOverwriteMode", "dynamic" if only_months else "static")
         .partitionBy("year", "month")
         .parquet(path)
     )

@@ -144,3 +144,49 @@ def test_overview(clean):
     found = {r["column"]: r for r in overview.table_overview(holes).collect()}
     assert len(found) == 26
     assert (found["ph"]["dtype"], found["ph"]["total_rows"], found["ph"]["non_null"]) == ("double", ROWS, 90)
+
+
+SPOILT = ["2024-01-01 00:00:00,2", "2024-01-01 00:00:00,3,7.0,8.0", '"2024-01-01 00:00:00,4,7.0', "2024-01-01,\"5,7"]
+
+
+@pytest.fixture
+def spoilt(tmp_path):
+    """Two files of readings of a year, four lines of which do not fit the header."""
+    good = [f"2024-{m:02d}-01 00:00:00,{100 + m},{m / 2}" for m in range(1, 13)]
+    quoted = ['"2024-02-02 00:00:00","200","7.25"', "2024-02-03 00:00:00,201,"]
+    (tmp_path / "raw").mkdir()
+    for name, lines in (("a", good[:6] + SPOILT[:3]), ("b", SPOILT[3:] + good[6:] + quoted)):
+        (tmp_path / "raw" / f"{name}.csv").write_text("\n".join(["Timestamp,Record number,pH", *lines]) + "\n")
+    return str(tmp_path / "raw")
+
+
+def test_a_line_that_does_not_fit_raises(spark, spoilt, tmp_path):
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        read_raw_csv(spark, spoilt).select("pH").collect()
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        materialize(spark, spoilt, str(tmp_path / "clean"))
+    assert not os.path.exists(tmp_path / "clean")
+
+
+def test_lines_that_do_not_fit_are_set_aside(spark, spoilt, tmp_path):
+    clean, rejects = str(tmp_path / "clean"), str(tmp_path / "rejects")
+    table = materialize(spark, spoilt, clean, rejects_path=rejects)
+    assert sorted(r[0] for r in table.select("record_number").collect()) == [*range(101, 113), 200, 201]
+    assert table.where("record_number = 200").first()["ph"] == 7.25
+    found = {(r["file"].rsplit("/")[-1], r["text"]) for r in spark.read.parquet(rejects).collect()}
+    assert found == {("a.csv", t) for t in SPOILT[:3]} | {("b.csv", SPOILT[3])}
+
+
+def test_more_rejects_than_allowed_leave_no_table(spark, spoilt, tmp_path):
+    clean = str(tmp_path / "clean")
+    with pytest.raises(AssertionError, match="rows_rejected"):
+        materialize(spark, spoilt, clean, rejects_path=str(tmp_path / "rejects"), most_rejected=3)
+    assert not os.path.exists(clean)
+    materialize(spark, spoilt, clean, rejects_path=str(tmp_path / "rejects"), most_rejected=4)
+
+
+def test_without_rejects_their_table_is_empty(spark, raw_csv, tmp_path):
+    rejects = str(tmp_path / "rejects")
+    assert materialize(spark, raw_csv, str(tmp_path / "clean"), rejects_path=rejects).count() == 2000
+    found = spark.read.parquet(rejects)
+    assert found.columns == ["file", "text"] and found.count() == 0

@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sondeflow.operators import stats
-from sondeflow.operators.quantiles import SHIFTS, exact_quantiles, ordered_bits, sketched_quantiles
+from sondeflow.operators import quantiles, stats
+from sondeflow.operators.quantiles import exact_quantiles, sketched_quantiles
 
 from frames import rows
 
@@ -48,9 +48,16 @@ def df(spark, frame):
     ).repartition(16).cache()
 
 
-@pytest.mark.parametrize("shifts", [(0,), (60, 30, 0), SHIFTS])
-def test_exact_quantiles_equal_a_sort(df, frame, shifts):
-    found = {r["parameter"]: r for r in exact_quantiles(df, COLUMNS, PROBABILITIES, shifts=shifts).collect()}
+@pytest.mark.parametrize("accuracy, slacks, held", [
+    (10_000, (2, 200, 10_000), 1 << 16),  # as it is
+    (100, (2, 100), 40),                  # wide ranges, which are cut
+    (100, (0, 100), 40),                  # ranges that miss a rank first
+    (10_000, (10_000,), 7),               # everything is one range
+])
+def test_exact_quantiles_equal_a_sort(df, frame, monkeypatch, accuracy, slacks, held):
+    for name, value in (("ACCURACY", accuracy), ("SLACKS", slacks), ("HELD", held), ("PIECES", 8)):
+        monkeypatch.setattr(quantiles, name, value)
+    found = {r["parameter"]: r for r in exact_quantiles(df, COLUMNS, PROBABILITIES).collect()}
     assert set(found) == set(COLUMNS) - {"nothing"}
     for c, row in found.items():
         values = frame[c].dropna()
@@ -80,28 +87,16 @@ def test_many_groups_take_the_join_without_broadcast(df, monkeypatch):
         assert [sorted(rows(s), key=str) for s in spread] == plain
 
 
-def test_bits_order_like_the_values(spark):
-    """The whole number is the one that the double is stored as, negated below zero."""
-    random = np.random.default_rng(2)
-    powers = 2.0 ** np.arange(-1074, 1024)
-    values = np.concatenate([
-        powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), random.normal(0, 1, 500),
-        random.integers(0, 1 << 62, 500).view(np.float64), [0.0, np.inf],
-    ])
-    values = np.concatenate([values, -values])
-    values = values[~np.isnan(values)]
-    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, v double")
-    found = {r[0]: r[1] for r in df.select("i", ordered_bits(F.col("v"))).collect()}
-    for i, v in enumerate(values):
-        stored = int(np.abs(v).view(np.int64))
-        assert found[i] == (-stored if v < 0 else stored), v
+def test_ranges_of_probability_do_not_overlap(monkeypatch):
+    monkeypatch.setattr(quantiles, "ACCURACY", 100)
+    found = np.array(quantiles._intervals([0.5, 0.25, 0.27, 1.0, 0.0], 2))
+    np.testing.assert_allclose(found, [(0.0, 0.02), (0.23, 0.29), (0.48, 0.52), (0.98, 1.0)], atol=1e-12)
+    assert quantiles._intervals([0.5], 100) == [(0.0, 1.0)]
 
 
 @pytest.mark.parametrize("by", [[], ["kind"]])
 def test_no_distribution_fills_a_window(spark, by, monkeypatch):
     """Values that share all but their last bits, a few far ones, and a hot one."""
-    from sondeflow.operators import quantiles
-
     random = np.random.default_rng(3)
     n = 200_000
     close = 293.15 + random.uniform(0, 1e-5, n)
@@ -111,20 +106,15 @@ def test_no_distribution_fills_a_window(spark, by, monkeypatch):
         "hot": np.where(random.random(n) < 0.4, 7.25, random.normal(0, 1, n)), "kind": random.choice(["a", "b"], n),
     })
     df = spark.createDataFrame(frame).repartition(8).cache()
-    fullest, plain = [], quantiles._with_ranks
-
-    def watched(cells, keys, *extra):
-        count = cells.groupBy(*keys, *extra).count().agg(F.max("count")).first()[0]
-        fullest.append(count)
-        return plain(cells, keys, *extra)
-
-    monkeypatch.setattr(quantiles, "_with_ranks", watched)
+    for name, value in (("ACCURACY", 100), ("SLACKS", (2, 100)), ("HELD", 500)):
+        monkeypatch.setattr(quantiles, name, value)
     columns = ["close", "even", "hot"]
+    _, wanted = quantiles._enclosed(df, columns, (0.25, 0.5, 0.75), by)
+    assert 0 < wanted.agg(F.max("different")).first()[0] <= 500
     for row in exact_quantiles(df, columns, by=by).collect():
         own = frame if not by else frame[frame.kind == row["kind"]]
         expected = own[row["parameter"]].quantile([0.25, 0.5, 0.75]).tolist()
         assert [row["q0"], row["q1"], row["q2"]] == pytest.approx(expected, rel=1e-14)
-    assert len(fullest) == 4 and max(fullest) <= 65_536
 
 
 @pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [float("-inf"), -1.0, 0.0, 5.0, float("inf")],
@@ -259,3 +249,46 @@ def test_a_sample_passes_few_rows_on(spark):
 def test_a_sample_of_repeated_keys_is_complete(spark):
     df = spark.range(50_000).select(F.lit(7).alias("record_number"), "id")
     assert stats.reproducible_sample(df, 300).count() == 300
+
+
+@pytest.mark.parametrize("width", [10, 40])
+def test_correlations_take_one_scan(spark, tmp_path, width):
+    random = np.random.default_rng(width)
+    frame = pd.DataFrame(random.normal(0, 1, (300, width)), columns=[f"m{i}" for i in range(width)])
+    path = str(tmp_path / "wide")
+    spark.createDataFrame(frame).write.parquet(path)
+    for function in (stats.correlation_pairs, stats.correlation_matrix, stats.strongest_correlation):
+        plan = function(spark.read.parquet(path), list(frame))._jdf.queryExecution().optimizedPlan()
+        assert plan.toString().count("parquet") == 1
+    found = stats.correlation_pairs(spark.read.parquet(path), list(frame)).collect()
+    expected = frame.corr()
+    assert len(found) == width * (width - 1) // 2
+    assert all(r["r"] == pytest.approx(expected.loc[r["column_a"], r["column_b"]], abs=1e-12) for r in found)
+
+
+def test_correlations_survive_large_means_and_far_subsets(spark):
+    """Means of 1e9 with spreads of 1e-3, and a column that is constant where another is present."""
+    random = np.random.default_rng(8)
+    n = 3000
+    x = random.normal(0, 1e-3, n)
+    frame = pd.DataFrame({
+        "far": 1e9 + x, "near": x + random.normal(0, 1e-3, n), "few": np.where(np.arange(n) % 7 == 0, x, np.nan),
+        "flat": np.where(np.arange(n) % 7 == 0, 0.1, random.normal(5e3, 1, n)),
+        "rare": np.where(np.arange(n) % 7 == 3, 1e6 + x, np.nan), "once": np.where(np.arange(n) == 5, 1.0, np.nan),
+    })
+    frame["far"] -= 1e9
+    frame["far"] = (frame["far"] + 1e9)
+    rows_ = [tuple(None if np.isnan(v) else float(v) for v in r) for r in frame.itertuples(index=False)]
+    answers_ = []
+    for parts in (1, 4, 32):
+        df = spark.createDataFrame(rows_, ", ".join(f"{c} double" for c in frame)).repartition(parts)
+        answers_.append({(r["column_a"], r["column_b"]): r["r"] for r in stats.correlation_pairs(df, list(frame)).collect()})
+    for found in answers_:
+        for (a, b), r in found.items():
+            both = frame[[a, b]].dropna()
+            p, q = both[a] - both[a].mean(), both[b] - both[b].mean()
+            if len(both) == 0 or both[a].nunique() < 2 or both[b].nunique() < 2:
+                assert r is None, (a, b)
+            else:
+                assert r == pytest.approx((p @ q) / np.sqrt((p @ p) * (q @ q)), abs=1e-6), (a, b)
+    assert answers_[0][("few", "flat")] is None and answers_[0][("few", "rare")] is None
