@@ -8,16 +8,16 @@ functions only.
 
 Defined results: a missing text is empty, and equal to other empty ones. Of equal
 texts the row with the largest id stays; an id of NULL stays only where its group
-has no other. Rows that repeat both id and text are copies of one document: they
-are counted, and reported once. No text is changed before it is compared. Other
-columns do not matter to the groups. No document: no row.
+has no other. Of rows that repeat both id and text one stays. Every row is counted and
+reported. No text is changed before it is compared. Other columns do not matter to the
+groups; maps among them are compared as JSON. No document: no row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import flagged, maybe_in, saved, slot_filter
+from .store import comparable, flagged, maybe_in, saved, slot_filter
 
 #: Characters of the prefix that the second step hashes.
 PREFIX = 256
@@ -61,6 +61,20 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
     )
 
 
+#: Rows that repeat id and text and are written back by one task.
+REPEATED_ROWS = 10_000
+
+
+def _every_copy(documents: DataFrame) -> DataFrame:
+    """Rows that repeat id and text, from their ``copies``: ``first`` is true for one of them."""
+    few = documents.where(F.col("copies") <= REPEATED_ROWS).withColumn("from", F.lit(0).cast("long"))
+    parts = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(REPEATED_ROWS).cast("long"))
+    many = documents.where(F.col("copies") > REPEATED_ROWS).withColumn("from", F.explode(parts)).repartition()
+    last = F.least(F.col("from") + REPEATED_ROWS, F.col("copies")) - 1
+    rows = few.unionByName(many).withColumn("nth", F.explode(F.sequence(F.col("from"), last)))
+    return rows.withColumn("first", F.col("nth") == 0).drop("copies", "from", "nth")
+
+
 def mark_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)`` of every document.
 
@@ -71,15 +85,15 @@ def mark_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     group that is too large for a task.
     """
     groups = saved(duplicate_groups(docs, id_column, text_column), "groups")
-    documents = docs.select(
+    documents = _every_copy(docs.groupBy(
         F.col(id_column).alias("doc_id"), F.sha2(_whole(text_column), 256).alias("text_sha256")
-    ).distinct()
+    ).agg(F.count(F.lit(1)).alias("copies")))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return documents.join(groups, "text_sha256", "left").select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        (F.col("first") & F.col("doc_id").eqNullSafe(keep)).alias("kept"),
         "text_sha256",
     )
 
@@ -92,11 +106,11 @@ def keep_largest(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     it has read. Of rows that repeat the id too, the one with the largest other
     columns stays.
     """
-    others = [c for c in docs.columns if c not in (id_column, text_column)]
+    others = comparable(docs, [c for c in docs.columns if c not in (id_column, text_column)])
     marked = flagged(
         _with_keys(docs, text_column), "__maybe", refine(docs, text_column), "__prefix", slots=SLOTS
     )
-    best = F.max(F.struct(id_column, *others, text_column)).alias("best")
+    best = F.max_by(F.struct(*docs.columns), F.struct(id_column, *others)).alias("best")
     kept = (
         marked.where("__maybe").groupBy(F.sha2(_whole(text_column), 256).alias("sha"))
         .agg(best).select("best.*")

@@ -18,7 +18,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import saved
+from .store import comparable, saved
 from .words import bound, whole_text, word_count, word_list
 
 #: Symbols that hardly occur in prose.
@@ -144,7 +144,7 @@ def by_rejection_per_cost(docs: DataFrame, rules: Sequence[Rule], rows: int = SA
     if not total:
         return list(rules)
     share = min(1.0, rows / total)
-    picked = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < int(share * (1 << 30))
+    picked = F.pmod(F.xxhash64(*comparable(docs)), F.lit(1 << 30)) < int(share * (1 << 30))
     left = saved(docs.where(picked) if share < 1 else docs, "sample")
 
     def seconds(condition: Column) -> tuple[float, int]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -30,6 +30,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
+def comparable(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """The columns in a form that can be ordered and hashed: maps, which can not, as text."""
+    names = df.columns if columns is None else columns
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    quoted = {n: F.col(f"`{n}`") for n in names}
+    return [F.to_json(F.struct(c)) if _has_map(kinds[n]) else c for n, c in quoted.items()]
+
+
 def _slot(keys: tuple, slots: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(slots))
 

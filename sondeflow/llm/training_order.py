@@ -75,6 +75,8 @@ def sequence_batches(path: str, length: int, closing_id: int):
         for whole in batches:
             for batch in H.slices(whole, "text", BLOCK):
                 ids, offsets = tokenizer.encode(batch.column("text"))
+                if max(closing_id, int(ids.max(initial=0))) >> (8 * ID_BYTES):
+                    raise ValueError(f"an id does not fit {8 * ID_BYTES} bits")
                 doc, piece, tokens = [], [], []
                 for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                     own = np.append(ids[s:e], np.uint32(closing_id)).astype("<u2").tobytes()

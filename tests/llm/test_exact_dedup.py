@@ -14,13 +14,31 @@ def sha(text):
 
 def test_awkward_rows(documents):
     docs = documents(AWKWARD, "kept sha best group_size __x")
-    got = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"], r["kept"]) for r in
-           exact_dedup.mark_duplicates(docs).collect()}
-    assert len(got) == len(AWKWARD) - 1
-    for (doc_id, key), answer in got.items():
-        same = [r[0] for r in AWKWARD if sha(r[1]) == key]
+    rows = exact_dedup.mark_duplicates(docs).collect()
+    assert sorted(((r["doc_id"], r["text_sha256"]) for r in rows), key=str) == sorted(
+        ((i, sha(t)) for i, t in AWKWARD), key=str)
+    stay = {}
+    for r in rows:
+        same = [i for i, t in AWKWARD if sha(t) == r["text_sha256"]]
         keep = max((i for i in same if i is not None), default=None)
-        assert answer == (keep, len(same), doc_id == keep)
+        assert (r["keep_id"], r["group_size"]) == (keep, len(same))
+        assert not r["kept"] or r["doc_id"] == keep
+        stay[r["text_sha256"]] = stay.get(r["text_sha256"], 0) + r["kept"]
+    assert set(stay.values()) == {1}
+
+
+def test_rows_that_repeat_id_and_text_are_all_reported(documents, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "REPEATED_ROWS", 3)
+    got = exact_dedup.mark_duplicates(documents([(1, "a")] * 10 + [(2, "a")] + [(3, "b")] * 4 + [(4, "c")])).collect()
+    found = sorted((r["doc_id"], r["group_size"], r["kept"]) for r in got)
+    assert found == [*[(1, 11, False)] * 10, (2, 11, True), *[(3, 4, False)] * 3, (3, 4, True), (4, 1, True)]
+
+
+def test_maps_among_the_other_columns(documents):
+    docs = documents([(1, "a b c"), (1, "a b c"), (2, "d")]).selectExpr("*", "map('k', rand()) AS m", "array(map(1, 2)) AS deep")
+    kept = exact_dedup.keep_largest(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+    assert exact_dedup.mark_duplicates(docs).count() == 3
 
 
 def test_one_row_per_text_stays(documents):

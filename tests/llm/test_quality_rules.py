@@ -79,6 +79,12 @@ def test_awkward_rows(documents):
     assert {r["doc_id"] for r in got if r["kept"]} == {None, 7}
 
 
+def test_maps_among_the_other_columns(documents):
+    docs = documents([(1, "one two three four five six seven eight nine ten eleven"), (2, "few")]).selectExpr("*", "map(1, 'x') AS m")
+    kept = quality_rules.keep_passing(docs)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [1]
+
+
 @pytest.mark.parametrize("function", [quality_rules.judge, quality_rules.keep_passing])
 def test_no_document(documents, function):
     assert function(documents([])).collect() == []
