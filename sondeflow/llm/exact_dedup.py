@@ -69,7 +69,7 @@ def _every_copy(documents: DataFrame) -> DataFrame:
     """Rows that repeat id and text, from their ``copies``: ``first`` is true for one of them."""
     few = documents.where(F.col("copies") <= REPEATED_ROWS).withColumn("from", F.lit(0).cast("long"))
     parts = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(REPEATED_ROWS).cast("long"))
-    many = documents.where(F.col("copies") > REPEATED_ROWS).withColumn("from", F.explode(parts)).repartition()
+    many = documents.where(F.col("copies") > REPEATED_ROWS).withColumn("from", F.explode(parts)).repartition("doc_id", "from")
     last = F.least(F.col("from") + REPEATED_ROWS, F.col("copies")) - 1
     rows = few.unionByName(many).withColumn("nth", F.explode(F.sequence(F.col("from"), last)))
     return rows.withColumn("first", F.col("nth") == 0).drop("copies", "from", "nth")
