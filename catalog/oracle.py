@@ -53,6 +53,10 @@ LONG = (
     "long_range AS (SELECT l_orderkey AS record_number, l_shipdate AS timestamp, l_linenumber,"
     f" {', '.join(LINE_MEASURES)}, {_features('l_shipdate')} FROM lineitem)"
 )
+_EVENT_TABLE = (
+    "event_table AS (SELECT event_id AS event, ts AS start,"
+    " ts + to_seconds(CAST(floor(value) AS BIGINT) * 10) AS \"end\" FROM events)"
+)
 ORDERS = (
     "readings AS (SELECT o_orderkey AS record_number, o_orderdate AS timestamp, o_totalprice,"
     f" {_features('o_orderdate')} FROM orders)"
@@ -341,6 +345,14 @@ ORACLE: dict[str, str] = {
     "annotate_events": f"WITH {READINGS}, {_calendar('readings', {'value': 'value'})}, w(a, b, event_label) AS (VALUES "
         + ", ".join(f"(DATE '{a[:10]}', DATE '{b[:10]}', '{label}')" for a, b, label in WINDOWS)
         + ") SELECT date, value, event_label FROM days d LEFT JOIN w ON d.date BETWEEN w.a AND w.b",
+    "annotate_event_table": f"WITH {READINGS}, {_calendar('readings', {'value': 'value'})}, {_EVENT_TABLE}"
+        " SELECT date, value, event AS event_label FROM days d LEFT JOIN (SELECT * FROM event_table WHERE event % 50 = 7) w"
+        " ON d.date BETWEEN CAST(w.start AS DATE) AND CAST(w.\"end\" AS DATE)",
+    "event_table_means": f"WITH {READINGS}, {_EVENT_TABLE}, m AS (SELECT event, COUNT(*) AS readings,"
+        f" {_round(_mean('value'), 4)} AS value_mean FROM event_table w JOIN readings r"
+        " ON r.timestamp BETWEEN w.start AND w.\"end\" GROUP BY event)"
+        " SELECT w.event, w.start, w.\"end\", COALESCE(readings, 0) AS readings, value_mean"
+        " FROM event_table w LEFT JOIN m ON w.event = m.event",
     "null_counts_wide": f"{_lead('wide')}SELECT COUNT(*) AS total_rows, "
         + ", ".join(f"COUNT(*) - COUNT({t}) AS null_{t}" for t in EVENT_TYPES) + " FROM wide",
     "missing_pct_long": _missing(EVENT_TYPES),
@@ -420,9 +432,15 @@ ORACLE: dict[str, str] = {
     "band_counts": f"{_lead('readings')}SELECT CASE WHEN value < 10 THEN 'low' WHEN value < 35 THEN 'moderate'"
         " WHEN value < 70 THEN 'good' ELSE 'high' END AS band, COUNT(*) AS reading_count FROM readings"
         " WHERE value IS NOT NULL GROUP BY 1",
-    "season_band_counts": f"{_lead('long_range')}SELECT season, CASE WHEN l_quantity < 10 THEN 'small'"
+    **dict.fromkeys(
+        ("season_band_counts", "sql_season_band_counts"),
+        f"{_lead('long_range')}SELECT season, CASE WHEN l_quantity < 10 THEN 'small'"
         " WHEN l_quantity < 30 THEN 'medium' ELSE 'large' END AS band, COUNT(*) AS reading_count"
         " FROM long_range WHERE l_quantity IS NOT NULL GROUP BY 1, 2",
+    ),
+    "streamed_daily_means": f"WITH readings AS (SELECT o_orderdate AS timestamp,"
+        " CASE WHEN o_orderkey % 10 > 0 THEN o_totalprice END AS value FROM orders),"
+        f" {_days('readings', 'value', _round(_mean('value'), 2))} SELECT date, value FROM days",
     "threshold_by_month": f"{_lead('long_range')}SELECT year, month, COUNT(*) AS high_readings FROM long_range"
         " WHERE l_extendedprice > 100000 GROUP BY year, month",
     "daytime_stats_by_group": f"{_lead('readings')}SELECT day_of_week, COUNT(*) AS reading_count,"
@@ -512,8 +530,8 @@ ORACLE: dict[str, str] = {
 # Dates are compared as ISO text; the queries print theirs the same way.
 _DATES = {
     "date": [
-        "annotate_events", "anomaly_days_high", "anomaly_days_two_sided", "cumulative_mean",
-        "daily_mean_calendar", "daily_mean_present", "rolling_7",
+        "annotate_event_table", "annotate_events", "anomaly_days_high", "anomaly_days_two_sided", "cumulative_mean",
+        "daily_mean_calendar", "daily_mean_present", "rolling_7", "streamed_daily_means",
     ],
     "period": ["missing_pct_by_month", "monthly_means"],
     "streak_start": ["streaks_present_days", "streaks_calendar_days", "streaks_broken_by_gaps"],

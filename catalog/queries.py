@@ -7,7 +7,9 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from sondeflow import streaming
 from sondeflow.functions import as_category, ordinal
+from sondeflow.functions.sql import create_band_function, register_functions
 from sondeflow.operators import (
     anomaly,
     cleaning,
@@ -30,6 +32,7 @@ from sondeflow.sources import readers, writers
 from .views import (
     EVENT_TYPES,
     LINE_MEASURES,
+    event_table,
     long_range,
     orders,
     raw_orders,
@@ -227,7 +230,22 @@ def ingested_in_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_rows(ingest(spark, f"{folder}/raw/*", f"{folder}/clean", view=None))
 
 
+def streamed_daily_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw CSV in three drops, one after the other in time, each a run of the stream."""
+    folder = _new_folder(spark)
+    for drop in range(3):
+        rows = raw_orders(spark, sf_dir)
+        month = F.substring("Timestamp", 1, 4).cast("int") * 12 + F.substring("Timestamp", 6, 2).cast("int")
+        rows.where(F.least(F.greatest(F.floor((month - 23904) / 27), F.lit(0)), F.lit(2)) == drop).write.option(
+            "header", True).csv(f"{folder}/raw/{drop}")
+        readings_ = streaming.raw_stream(spark, f"{folder}/raw/*", ["Timestamp", "Record number", "Turbidity"])
+        changes = streaming.daily_means(readings_, "turbidity", 2, digits=2)
+        streaming.update(changes, f"{folder}/days", f"{folder}/progress")
+    return iso_dates(streaming.latest(spark, f"{folder}/days", ["date"], changes.schema))
+
+
 QUERIES["ingested_in_drops"] = ingested_in_drops
+QUERIES["streamed_daily_means"] = streamed_daily_means
 QUERIES["quarantined_rows"] = quarantined_rows
 QUERIES["materialized_with_rejects"] = materialized_with_rejects
 QUERIES["clean_gate_report_rejects"] = clean_gate_report_rejects
@@ -304,6 +322,24 @@ def annotate_events(df):
     return filters.annotate_events(days, WINDOWS)
 
 
+def annotate_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days with the events of a table, those of a day with its own number of them."""
+    days = temporal.daily_mean_calendar(readings(spark, sf_dir), "value", resolution=2)
+    events = event_table(spark, sf_dir).where("event % 50 = 7").withColumnRenamed("event", "event_label")
+    return iso_dates(filters.annotate_events(days, events))
+
+
+def event_table_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings inside each of as many overlapping windows as there are events."""
+    return conditions.event_table_means(
+        readings(spark, sf_dir), ["value"], event_table(spark, sf_dir), digits=4, resolution=2
+    )
+
+
+QUERIES["annotate_event_table"] = annotate_event_table
+QUERIES["event_table_means"] = event_table_means
+
+
 # missing values
 
 @query(wide)
@@ -525,6 +561,21 @@ def threshold_by_month(df):
     return conditions.readings_above_by_month(df, "l_extendedprice", 100000)
 
 
+def sql_season_band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands per season, in SQL with functions of this session."""
+    view = f"long_range_{uuid4().hex}"
+    writers.register_view(long_range(spark, sf_dir), view)
+    register_functions(spark)
+    create_band_function(spark, "quantity_band", QUANTITY_BANDS)
+    return spark.sql(
+        f"SELECT season_of(month) AS season, quantity_band(l_quantity) AS band, count(*) AS reading_count FROM {view}"
+        " WHERE l_quantity IS NOT NULL GROUP BY ALL"
+    )
+
+
+QUERIES["sql_season_band_counts"] = sql_season_band_counts
+
+
 @query(readings)
 def daytime_stats_by_group(df):
     return conditions.hours_summary_by(df, "day_of_week", "value", 6, 18, resolution=2)

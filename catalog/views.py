@@ -65,6 +65,15 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a window from its time on, ten seconds for each unit of its value."""
+    seconds = (F.floor("value") * 10).cast("decimal(18,6)")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("event"), F.col("ts").alias("start"),
+        (F.col("ts") + F.make_dt_interval(secs=seconds)).alias("end"),
+    )
+
+
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in the shape of the raw CSV; they pass the acceptance checks."""
     table_ = table(spark, sf_dir, "orders")

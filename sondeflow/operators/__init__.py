@@ -3,10 +3,12 @@
 from . import (
     anomaly,
     cleaning,
+    comoments,
     conditions,
     duplicates,
     filters,
     gaps,
+    intervals,
     missingness,
     overview,
     quality,
@@ -17,6 +19,6 @@ from . import (
 )
 
 __all__ = [
-    "anomaly", "cleaning", "conditions", "duplicates", "filters", "gaps",
-    "missingness", "overview", "quality", "quantiles", "stats", "temporal", "windows",
+    "anomaly", "cleaning", "comoments", "conditions", "duplicates", "filters", "gaps",
+    "intervals", "missingness", "overview", "quality", "quantiles", "stats", "temporal", "windows",
 ]

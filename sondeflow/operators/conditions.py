@@ -16,6 +16,7 @@ from ..functions import (
     steady_total,
 )
 from .filters import inside
+from .intervals import covering
 
 
 def band_counts(
@@ -192,3 +193,32 @@ def event_means(
         }
         for c in columns
     })
+
+
+def event_table_means(
+    df: DataFrame,
+    columns: Sequence[str],
+    events: DataFrame,
+    key: str = "event",
+    timestamp_column: str = "timestamp",
+    digits: int | None = None,
+    resolution: int | None = None,
+) -> DataFrame:
+    """``(key, start, end, readings, <column>_mean ...)`` for each event of a table.
+
+    ``events`` has ``key``, which tells them apart, ``start`` and ``end``. Events may
+    overlap; one without readings has none, and no mean.
+    """
+    inside_any = covering(
+        df.select(timestamp_column, *columns), timestamp_column,
+        events.select(F.col(key).alias("__key"), F.col("start").alias("__start"), F.col("end").alias("__end")),
+        "__start", "__end",
+    )
+    means = inside_any.groupBy("__key").agg(
+        F.count(F.lit(1)).alias("readings"),
+        *[rounded(steady_mean(c, resolution), digits).alias(f"{c}_mean") for c in columns],
+    )
+    return events.select(key, "start", "end").join(means, F.col(key) == F.col("__key"), "left").select(
+        key, "start", "end", F.coalesce("readings", F.lit(0).cast("bigint")).alias("readings"),
+        *[f"{c}_mean" for c in columns],
+    )

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import month_index
+from .intervals import covering
 
 Window = tuple[str, str, str]
 
@@ -90,13 +91,19 @@ def event_windows(spark: SparkSession, windows: Sequence[Window]) -> DataFrame:
 
 
 def annotate_events(
-    days: DataFrame, windows: Sequence[Window], date_column: str = "date"
+    days: DataFrame, windows: Sequence[Window] | DataFrame, date_column: str = "date"
 ) -> DataFrame:
     """Add the label of the event window that covers each day, if any.
 
-    A day inside several windows appears once for each of them. The window table
-    has exactly the listed rows, so it is broadcast.
+    A day inside several windows appears once for each of them. A listed window table
+    has exactly the listed rows, so it is broadcast. A table ``(start, end,
+    event_label)`` of any size is joined by bins of time.
     """
+    if isinstance(windows, DataFrame):
+        whole = windows.select(
+            F.to_date("start").alias("start"), F.to_date("end").alias("end"), "event_label"
+        )
+        return covering(days, date_column, whole, how="left").drop("start", "end")
     events = event_windows(days.sparkSession, windows)
     covers = F.col(date_column).between(F.to_date("start"), F.to_date("end"))
     return days.join(F.broadcast(events), covers, "left").drop("start", "end")

@@ -1,0 +1,57 @@
+"""Functions with SQL bodies, and reports written with them."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from sondeflow.functions import band, ordinal, season_of
+from sondeflow.functions.sql import create_band_function, register_functions
+from sondeflow.plans import SQL_REPORTS, run_report
+from sondeflow.schema import OXYGEN_BANDS, SALINITY_BANDS, SEASONS, WEEKDAYS
+from sondeflow.sources import register_view
+
+from frames import rows
+
+
+def wide(spark, clean):
+    """Readings whose values reach all bands and days."""
+    spread = (F.col("record_number") % 97) / 8
+    df = clean.withColumn("dissolved_oxygen", F.when(F.col("record_number") % 11 > 0, spread))
+    df = df.withColumn("salinity", F.when(F.col("record_number") % 7 > 0, F.col("record_number") % 41 - 0.5))
+    return df.unionAll(df.withColumn("timestamp", F.col("timestamp"))).unionAll(df.where("month = 5"))
+
+
+@pytest.mark.parametrize("name", sorted(SQL_REPORTS))
+def test_sql_reports_equal_the_operators(spark, clean, name):
+    df = wide(spark, clean)
+    register_functions(spark)
+    register_view(df)
+    found, wanted = spark.sql(SQL_REPORTS[name]), run_report(df, name)
+    assert sorted(found.columns) == sorted(wanted.columns)
+    assert sorted(rows(found.select(*wanted.columns)), key=str) == sorted(rows(wanted), key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "Python" not in plan and "oxygen_band(" not in plan.replace("AS oxygen_band", "")
+
+
+def test_functions_equal_the_expressions(spark):
+    register_functions(spark)
+    numbers = spark.sql("SELECT explode(array(NULL, -1.0D, 0.0D, 0.5D, 3.9D, 4.0D, 6.0D, 8.0D, 29.0D, 30.0D, 99.0D)) AS x")
+    pairs = numbers.select(
+        F.expr("oxygen_band(x)"), band("x", OXYGEN_BANDS), F.expr("salinity_class(x)"), band("x", SALINITY_BANDS))
+    assert all(a == b and c == d for a, b, c, d in pairs.collect())
+    months = spark.range(1, 13).select(F.col("id").cast("int").alias("m")).union(spark.sql("SELECT CAST(NULL AS INT)"))
+    for southern in (False, True):
+        register_functions(spark, southern)
+        assert all(a == b for a, b in months.select(F.expr("season_of(m)"), season_of(F.col("m"), southern)).collect())
+    names = spark.createDataFrame([(n,) for n in [*SEASONS, *WEEKDAYS, "x", None]], "n string")
+    both = names.select(F.expr("season_position(n)"), ordinal("n", SEASONS), F.expr("weekday_position(n)"), ordinal("n", WEEKDAYS))
+    assert all(a == b and c == d for a, b, c, d in both.collect())
+
+
+def test_own_bands_and_functions_that_stay(spark):
+    create_band_function(spark, "grade", [(0.5, "it's low"), (None, "back\\slash")])
+    assert [r[0] for r in spark.sql("SELECT grade(x) FROM VALUES (0.1D), (0.5D), (NULL) AS t(x)").collect()] == [
+        "it's low", "back\\slash", None]
+    with pytest.raises(ValueError):
+        create_band_function(spark, "bad", [(1.0, "a")])
