@@ -20,6 +20,7 @@ from sondeflow.operators import (
     missingness,
     overview,
     quality,
+    series,
     stats,
     temporal,
     windows,
@@ -700,6 +701,33 @@ def rolling_7(df):
     return windows.rolling_mean(days, 7, resolution=2)
 
 
+_SERIES, _ORDER = ["series"], ["timestamp", "record_number", "l_linenumber"]
+
+
+def _forty_series(df: DataFrame) -> DataFrame:
+    """Line items as forty long series of readings."""
+    return df.select((F.col("record_number") % 40).alias("series"), *_ORDER, "l_quantity", "l_extendedprice")
+
+
+@query(long_range)
+def moving_mean_of_readings(df):
+    found = series.moving_mean(_forty_series(df), _SERIES, _ORDER, "l_extendedprice", 7)
+    return found.select(*_SERIES, *_ORDER, "rolling_mean")
+
+
+@query(long_range)
+def running_mean_of_readings(df):
+    found = series.running_mean(_forty_series(df), _SERIES, _ORDER, "l_quantity", digits=4)
+    return found.select(*_SERIES, *_ORDER, "cumulative_mean")
+
+
+@query(long_range)
+def streaks_of_readings(df):
+    return series.series_streaks(
+        _forty_series(df), _SERIES, _ORDER, F.col("l_quantity") > 5, 20, "l_extendedprice", digits=2
+    )
+
+
 @query(long_range)
 def cumulative_mean(df):
     return windows.cumulative_mean(

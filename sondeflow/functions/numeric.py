@@ -8,6 +8,9 @@ from pyspark.sql import Column, WindowSpec, functions as F
 # neither sum leaves the 64-bit range before 2**43 rows.
 _LOW_BITS = 20
 
+# A double of less than 2**40 steps is nearer to its step than this; the next decimal is not.
+_LARGEST_ERROR = 1e-3
+
 
 def _col(column: str | Column) -> Column:
     return F.col(column) if isinstance(column, str) else column
@@ -33,6 +36,14 @@ def missing_share(column: str | Column, scale: float = 100.0) -> Column:
     return ratio(F.lit(scale) * F.count_if(_col(column).isNull()), F.count(F.lit(1)))
 
 
+def _steps(value: Column, resolution: int) -> Column:
+    """The value in whole steps of its resolution."""
+    scaled = value * float(10**resolution)
+    whole = F.rint(scaled)
+    told = F.raise_error(F.concat(F.lit(f"more than {resolution} decimals: "), value.cast("string")))
+    return F.when(F.abs(scaled - whole) > _LARGEST_ERROR, told.cast("bigint")).otherwise(whole.cast("bigint"))
+
+
 def steady_total(
     column: str | Column,
     resolution: int | None = None,
@@ -45,13 +56,13 @@ def steady_total(
     the sensor's ``resolution`` (number of decimals) is given, values are added
     as whole multiples of that step: the result counts steps, and is the same
     for every partitioning. Values must be finite, and their steps
-    below 2**40.
+    below 2**40. A value with further decimals raises: it would be rounded away.
     """
     value = _col(column)
     bind = (lambda c: c.over(over)) if over is not None else (lambda c: c)
     if resolution is None:
         return bind(F.sum(value))
-    units = F.rint(value * float(10**resolution)).cast("bigint")
+    units = _steps(value, resolution)
     high = bind(F.sum(F.shiftright(units, _LOW_BITS))).cast("decimal(28,0)")
     low = bind(F.sum(units.bitwiseAND((1 << _LOW_BITS) - 1))).cast("decimal(28,0)")
     return (high * F.lit(1 << _LOW_BITS).cast("decimal(8,0)") + low).cast("decimal(38,0)")
