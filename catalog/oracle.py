@@ -545,6 +545,19 @@ ORACLE: dict[str, str] = {
 }
 
 # Dates are compared as ISO text; the queries print theirs the same way.
+ORACLE["bucketed_duplicate_id_rows"] = (
+    f"{_lead('long_range')}SELECT {_KEY}, timestamp, l_extendedprice FROM long_range WHERE l_linenumber > 5"
+    " QUALIFY COUNT(*) OVER (PARTITION BY record_number) > 1"
+)
+#: Queries that answer another one's question from a store of their own.
+_SAME = {
+    "clean_gate_report_bucketed": "clean_gate_report_orders",
+    "rollup_monthly_coverage": "monthly_coverage", "rollup_monthly_stats": "monthly_stats",
+    "rollup_seasonal_summary": "seasonal_summary", "rollup_weekday_summary": "weekday_summary",
+    "rollup_threshold_by_month": "threshold_by_month", "rollup_atypical_share": "atypical_share_by_season",
+}
+ORACLE |= {name: ORACLE[other] for name, other in _SAME.items()}
+
 _DATES = {
     "date": [
         "annotate_event_table", "annotate_events", "anomaly_days_high", "anomaly_days_two_sided", "cumulative_mean",

@@ -20,6 +20,7 @@ from sondeflow.operators import (
     missingness,
     overview,
     quality,
+    rollup,
     series,
     stats,
     temporal,
@@ -250,6 +251,26 @@ QUERIES["streamed_daily_means"] = streamed_daily_means
 QUERIES["quarantined_rows"] = quarantined_rows
 QUERIES["materialized_with_rejects"] = materialized_with_rejects
 QUERIES["clean_gate_report_rejects"] = clean_gate_report_rejects
+def _bucketed(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The same rows from a table that is stored by record number."""
+    name = f"bucketed_{uuid4().hex}"
+    writers.save_table(df, name, "record_number", 16, path=_new_folder(spark))
+    return spark.table(name)
+
+
+def bucketed_duplicate_id_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that share a record number, from a table stored by it."""
+    lines = long_range(spark, sf_dir).where("l_linenumber > 5").select(*LINE_KEY, "timestamp", "l_extendedprice")
+    return duplicates.duplicate_key_rows(_bucketed(spark, lines), "record_number")
+
+
+def clean_gate_report_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over a table stored by record number."""
+    return quality.gate_report(_bucketed(spark, orders(spark, sf_dir)), table(spark, sf_dir, "orders").count())
+
+
+QUERIES["bucketed_duplicate_id_rows"] = bucketed_duplicate_id_rows
+QUERIES["clean_gate_report_bucketed"] = clean_gate_report_bucketed
 QUERIES["materialized_again"] = materialized_again
 QUERIES["clean_csv_orders"] = clean_csv_orders
 QUERIES["saved_table_orders"] = saved_table_orders
@@ -545,6 +566,31 @@ def month_shape_normalised(df):
     return temporal.month_shape(df, LINE_MEASURES, resolution=2, digits=6)
 
 
+ROLLUP = rollup.Rollup(LINE_MEASURES, 2, {
+    "expensive": "l_extendedprice > 100000", "unusual": "l_quantity < 5 OR l_quantity > 45",
+})
+
+
+def rollup_query(name: str, report: Callable[[DataFrame], DataFrame]) -> None:
+    """A summary from the hourly states of two loads, one of which is repeated."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder, lines = _new_folder(spark), long_range(spark, sf_dir)
+        for load, rows in (("early", "record_number % 7 > 0"), ("late", "l_linenumber = 1"), ("late", "record_number % 7 = 0")):
+            ROLLUP.load(lines.where(rows), folder, load)
+        return report(ROLLUP.read(spark, folder))
+
+    QUERIES[name] = run
+
+
+rollup_query("rollup_monthly_coverage", ROLLUP.monthly_coverage)
+rollup_query("rollup_monthly_stats", lambda store: ROLLUP.monthly_summary(store, ["l_quantity", "l_extendedprice", "l_tax"]))
+rollup_query("rollup_seasonal_summary", lambda store: ROLLUP.seasonal_summary(store, LINE_MEASURES))
+rollup_query("rollup_weekday_summary", lambda store: ROLLUP.weekday_summary(store, ["l_quantity", "l_extendedprice"]))
+rollup_query("rollup_threshold_by_month", lambda store: ROLLUP.condition_by_month(store, "expensive"))
+rollup_query("rollup_atypical_share", lambda store: ROLLUP.condition_share_by_season(store, "l_quantity", "unusual"))
+
+
 # conditions
 
 @query(readings)

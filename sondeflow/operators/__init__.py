@@ -13,6 +13,7 @@ from . import (
     overview,
     quality,
     quantiles,
+    rollup,
     series,
     stats,
     temporal,
@@ -21,5 +22,5 @@ from . import (
 
 __all__ = [
     "anomaly", "cleaning", "comoments", "conditions", "duplicates", "filters", "gaps",
-    "intervals", "missingness", "overview", "quality", "quantiles", "series", "stats", "temporal", "windows",
+    "intervals", "missingness", "overview", "quality", "quantiles", "rollup", "series", "stats", "temporal", "windows",
 ]
