@@ -361,7 +361,8 @@ def _within_families(families: DataFrame, trees: DataFrame, shapes: DataFrame) -
         F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("trees"),
         F.sum("count").alias("all"), (F.sum("count") - F.max("count")).alias("newcomers"),
     ).where("trees > 1")
-    rows = rows.join(main, "family").join(
+    # written before it is joined, so that adaptive execution can split a large family
+    rows = rows.join(saved(main, "mains"), "family").join(
         shapes.select(F.col("id").alias("rep"), "n", "bits").dropDuplicates(["rep"]), "rep"
     )
     columns = ["family", "main", "rep", "root", "n", "bits"]
