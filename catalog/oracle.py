@@ -53,6 +53,7 @@ LONG = (
     "long_range AS (SELECT l_orderkey AS record_number, l_shipdate AS timestamp, l_linenumber,"
     f" {', '.join(LINE_MEASURES)}, {_features('l_shipdate')} FROM lineitem)"
 )
+_READING = "timestamp, record_number, l_linenumber, l_extendedprice, l_quantity"
 _FORTY = (
     f"WITH {LONG}, forty AS (SELECT record_number % 40 AS series, timestamp, record_number, l_linenumber,"
     " l_quantity, l_extendedprice FROM long_range)"
@@ -492,16 +493,16 @@ ORACLE: dict[str, str] = {
         f" SELECT date, value, {_round('rolling', 2)} AS rolling_mean FROM (SELECT date, value,"
         " CAST(SUM(CAST(ROUND(value * 100) AS BIGINT)) OVER w AS DOUBLE) / (100 * COUNT(value) OVER w) AS rolling"
         " FROM days WINDOW w AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) AS r",
-    "moving_mean_of_readings": f"{_FORTY} SELECT series, timestamp, record_number, l_linenumber, {_round('rolling', 2)} AS rolling_mean"
+    "moving_mean_of_readings": f"{_FORTY} SELECT series, {_READING}, {_round('rolling', 2)} AS rolling_mean"
         " FROM (SELECT *, CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) OVER w AS DOUBLE) / (100 * COUNT(*) OVER w)"
-        " AS rolling FROM forty WINDOW w AS (PARTITION BY series ORDER BY timestamp, record_number, l_linenumber"
+        f" AS rolling FROM forty WINDOW w AS (PARTITION BY series ORDER BY {_READING}"
         " ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))",
-    "running_mean_of_readings": f"{_FORTY} SELECT series, timestamp, record_number, l_linenumber, {_round('running', 4)} AS cumulative_mean"
+    "running_mean_of_readings": f"{_FORTY} SELECT series, {_READING}, {_round('running', 4)} AS cumulative_mean"
         " FROM (SELECT *, CAST(SUM(CAST(ROUND(l_quantity * 100) AS BIGINT)) OVER w AS DOUBLE) / (100 * COUNT(*) OVER w)"
-        " AS running FROM forty WINDOW w AS (PARTITION BY series ORDER BY timestamp, record_number, l_linenumber"
+        f" AS running FROM forty WINDOW w AS (PARTITION BY series ORDER BY {_READING}"
         " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
     "streaks_of_readings": f"{_FORTY}, g AS (SELECT *, COUNT(*) FILTER (WHERE l_quantity <= 5) OVER (PARTITION BY series"
-        " ORDER BY timestamp, record_number, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM forty)"
+        f" ORDER BY {_READING} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM forty)"
         " SELECT series, MIN(timestamp) AS streak_start, MAX(timestamp) AS streak_end, COUNT(*) AS length,"
         f" {_round(_mean('l_extendedprice'), 2)} AS streak_mean FROM g WHERE l_quantity > 5"
         " GROUP BY series, run HAVING COUNT(*) >= 20",

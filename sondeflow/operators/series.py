@@ -55,7 +55,7 @@ def moving_mean(
         backwards = Window.partitionBy(*series, "__block").orderBy(*[F.desc(c) for c in order])
         return table.withColumn("__back", F.row_number().over(backwards)).where(F.col("__back") < rows).drop("__back")
 
-    tails = last_rows(blocks).groupBy(*series, "__block").agg(F.collect_list(F.struct(*order, column)).alias("__tail"))
+    tails = last_rows(blocks).groupBy(*series, "__block").agg(F.collect_list(F.struct(*dict.fromkeys([*order, column]))).alias("__tail"))
     # blocks may be short, but so many hold a row each
     before = F.flatten(F.collect_list("__tail").over(_along(series).rowsBetween(-(rows - 1), -1)))
     carried = tails.select(*series, "__block", before.alias("__rows")).select(*series, "__block", F.inline("__rows"))
