@@ -36,12 +36,52 @@ def missing_share(column: str | Column, scale: float = 100.0) -> Column:
     return ratio(F.lit(scale) * F.count_if(_col(column).isNull()), F.count(F.lit(1)))
 
 
-def _steps(value: Column, resolution: int) -> Column:
-    """The value in whole steps of its resolution."""
+def _whole_steps(value: Column, resolution: int) -> tuple[Column, Column]:
+    """The value in steps of its resolution, rounded, and whether it has further decimals."""
     scaled = value * float(10**resolution)
     whole = F.rint(scaled)
-    told = F.raise_error(F.concat(F.lit(f"more than {resolution} decimals: "), value.cast("string")))
-    return F.when(F.abs(scaled - whole) > _LARGEST_ERROR, told.cast("bigint")).otherwise(whole.cast("bigint"))
+    return whole, F.abs(scaled - whole) > _LARGEST_ERROR
+
+
+def _too_fine(resolution: int, what: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"more than {resolution} decimals: "), what))
+
+
+def _steps(value: Column, resolution: int) -> Column:
+    """The value in whole steps of its resolution."""
+    whole, finer = _whole_steps(value, resolution)
+    told = _too_fine(resolution, value.cast("string"))
+    return F.when(finer, told.cast("bigint")).otherwise(whole.cast("bigint"))
+
+
+def step_parts(column: str | Column, resolution: int) -> dict[str, Column]:
+    """Whole numbers of a value whose sums, added or subtracted, make up a steady mean.
+
+    :func:`mean_of_parts` puts the sums together. A value that is no whole number of steps
+    is only counted, so that it matters where it is part of a mean.
+    """
+    value = _col(column)
+    whole, finer = _whole_steps(value, resolution)
+    units = F.when(~finer, whole.try_cast("bigint"))
+    return {
+        "n": value.isNotNull().cast("bigint"),
+        "high": F.coalesce(F.shiftright(units, _LOW_BITS), F.lit(0)).cast("bigint"),
+        "low": F.coalesce(units.bitwiseAND((1 << _LOW_BITS) - 1), F.lit(0)).cast("bigint"),
+        "finer": (value.isNotNull() & units.isNull()).cast("bigint"),
+    }
+
+
+def _joined(high: Column, low: Column) -> Column:
+    """A total from the sums of its values' parts."""
+    high, low = high.cast("decimal(28,0)"), low.cast("decimal(28,0)")
+    return (high * F.lit(1 << _LOW_BITS).cast("decimal(8,0)") + low).cast("decimal(38,0)")
+
+
+def mean_of_parts(sums: dict[str, Column], resolution: int) -> Column:
+    """The mean that sums of :func:`step_parts` make up, NULL over no value."""
+    mean = mean_of(_joined(sums["high"], sums["low"]), sums["n"], resolution)
+    told = _too_fine(resolution, F.concat(sums["finer"].cast("string"), F.lit(" values")))
+    return F.when(sums["finer"] > 0, told.cast("double")).otherwise(mean)
 
 
 def steady_total(
@@ -63,9 +103,9 @@ def steady_total(
     if resolution is None:
         return bind(F.sum(value))
     units = _steps(value, resolution)
-    high = bind(F.sum(F.shiftright(units, _LOW_BITS))).cast("decimal(28,0)")
-    low = bind(F.sum(units.bitwiseAND((1 << _LOW_BITS) - 1))).cast("decimal(28,0)")
-    return (high * F.lit(1 << _LOW_BITS).cast("decimal(8,0)") + low).cast("decimal(38,0)")
+    return _joined(
+        bind(F.sum(F.shiftright(units, _LOW_BITS))), bind(F.sum(units.bitwiseAND((1 << _LOW_BITS) - 1)))
+    )
 
 
 def mean_of(total: Column, count: Column, resolution: int | None = None) -> Column:

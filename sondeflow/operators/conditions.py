@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import (
     band,
     mean_of,
+    mean_of_parts,
     one_row_per_column,
     ratio,
     rounded,
     steady_mean,
     steady_total,
+    step_parts,
 )
 from .filters import inside
-from .intervals import covering
+from .intervals import covering, sums_inside
 
 
 def band_counts(
@@ -207,18 +209,27 @@ def event_table_means(
     """``(key, start, end, readings, <column>_mean ...)`` for each event of a table.
 
     ``events`` has ``key``, which tells them apart, ``start`` and ``end``. Events may
-    overlap; one without readings has none, and no mean.
+    overlap; one without readings has none, and no mean. With a ``resolution`` the work grows
+    with the rows of both tables; without one it grows with their pairs.
     """
-    inside_any = covering(
-        df.select(timestamp_column, *columns), timestamp_column,
-        events.select(F.col(key).alias("__key"), F.col("start").alias("__start"), F.col("end").alias("__end")),
-        "__start", "__end",
-    )
-    means = inside_any.groupBy("__key").agg(
-        F.count(F.lit(1)).alias("readings"),
-        *[rounded(steady_mean(c, resolution), digits).alias(f"{c}_mean") for c in columns],
-    )
-    return events.select(key, "start", "end").join(means, F.col(key) == F.col("__key"), "left").select(
+    intervals = events.select(F.col(key).alias("__event"), F.col("start").alias("__start"), F.col("end").alias("__end"))
+    if resolution is None:
+        # sums of doubles can not be subtracted without loss
+        means = covering(df.select(timestamp_column, *columns), timestamp_column, intervals, "__start", "__end")
+        means = means.groupBy("__event").agg(
+            F.count(F.lit(1)).alias("readings"),
+            *[rounded(steady_mean(c), digits).alias(f"{c}_mean") for c in columns],
+        )
+    else:
+        parts = {c: step_parts(c, resolution) for c in columns}
+        whole = {"readings": F.lit(1).cast("bigint")} | {f"{c}_{p}": v for c in columns for p, v in parts[c].items()}
+        moments = df.select(F.col(timestamp_column).alias("__moment"), *[v.alias(name) for name, v in whole.items()])
+        sums = sums_inside(moments, "__moment", list(whole), intervals, "__event", "__start", "__end")
+        means = sums.select("__event", F.col("readings").cast("bigint").alias("readings"), *[
+            rounded(mean_of_parts({p: F.col(f"{c}_{p}") for p in parts[c]}, resolution), digits).alias(f"{c}_mean")
+            for c in columns
+        ])
+    return events.select(key, "start", "end").join(means, F.col(key) == F.col("__event"), "left").select(
         key, "start", "end", F.coalesce("readings", F.lit(0).cast("bigint")).alias("readings"),
         *[f"{c}_mean" for c in columns],
     )

@@ -6,11 +6,20 @@ the join is one on equal keys, which shuffles and splits like any other, where a
 condition on an order would compare all moments with all intervals. There are at most
 some thirty widths, since each is four times the one before, and a bin holds few
 intervals that do not cover a moment in it.
+
+The pairs grow with both tables, where the time they span does not. Sums over the moments
+of each interval need no pairs: they are the running sums at its end less those before
+its start, so bounds are sorted in among the moments, block by block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..scale import attach
+from .series import in_blocks
 
 #: Powers of two between one width and the next.
 STEP = 2
@@ -25,10 +34,15 @@ def _shifted(value: Column, bits: Column) -> Column:
     return F.call_function("shiftright", value, bits)
 
 
-def _binned(intervals: DataFrame, start: str, end: str) -> DataFrame:
-    """The intervals in their bins, with bounds in microseconds; those without a moment are left out."""
+def _bounded(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """The intervals with bounds in microseconds; those without a moment are left out."""
     low, high = _micros(start), _micros(end)
-    bounded = intervals.withColumns({"__low": low, "__high": high}).where(F.col("__low") <= F.col("__high"))
+    return intervals.withColumns({"__low": low, "__high": high}).where(F.col("__low") <= F.col("__high"))
+
+
+def _binned(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """The intervals in their bins."""
+    bounded = _bounded(intervals, start, end)
     length = F.col("__high") - F.col("__low") + 1
     level = (F.ceil(F.log2(length.cast("double")) / STEP) * STEP).cast("int")
     bins = F.array_distinct(F.array(*[_shifted(F.col(c), F.col("__level")) for c in ("__low", "__high")]))
@@ -61,3 +75,40 @@ def covering(
     probes = probes.withColumn("__bin", _shifted(F.col("__at"), F.col("__level")))
     joined = probes.join(binned, ["__level", "__bin"]).where(F.col("__at").between(F.col("__low"), F.col("__high")))
     return joined.drop("__at", "__level", "__bin", "__low", "__high")
+
+
+def sums_inside(
+    moments: DataFrame, moment: str, sums: Sequence[str], intervals: DataFrame, key: str,
+    start: str = "start", end: str = "end",
+) -> DataFrame:
+    """``(key, <sum> ...)``: whole numbers of ``moments`` added up over the intervals of each key.
+
+    What :func:`covering` followed by a sum per key gives, as ``decimal(38,0)``, and 0 where
+    an interval covers nothing; a key whose intervals could cover nothing is left out.
+    Moments that many rows share are one row in the order.
+    """
+    totals = moments.groupBy(_micros(moment).alias("__at")).agg(*[F.sum(c).alias(c) for c in sums])
+    # at a bound all moments up to it are counted, so that of the start is one before it
+    bounds = F.array(
+        F.struct((F.col("__low") - 1).alias("__at"), F.lit(-1).alias("__sign")),
+        F.struct(F.col("__high").alias("__at"), F.lit(1).alias("__sign")),
+    )
+    marks = _bounded(intervals, start, end).select(F.col(key).alias("__key"), F.inline(bounds))
+    order = ["__at", "__turn"]
+    blocks = in_blocks(
+        totals.where("__at IS NOT NULL").withColumn("__turn", F.lit(0).cast("bigint")).unionByName(
+            marks.withColumn("__turn", F.pmod(F.xxhash64("__key"), F.lit(1 << 40)) + 1), allowMissingColumns=True
+        ),
+        [], order,
+    )
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.groupBy("__block").agg(*[F.sum(c).alias(c) for c in sums]).select(
+        "__block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__before_{c}") for c in sums]
+    )
+    upto = Window.partitionBy("__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    running = blocks.select(
+        "__key", "__sign", "__block", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in sums]
+    ).where(F.col("__sign").isNotNull())
+    return attach(running, offsets, ["__block"]).groupBy(F.col("__key").alias(key)).agg(*[
+        F.sum(F.col("__sign") * (F.col(c) + F.col(f"__before_{c}")).cast("decimal(38,0)")).alias(c) for c in sums
+    ])

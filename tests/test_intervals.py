@@ -8,7 +8,7 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
-from sondeflow.operators import filters
+from sondeflow.operators import conditions, filters, series as blocks
 from sondeflow.operators.intervals import covering
 
 from frames import rows, series
@@ -89,3 +89,41 @@ def test_a_table_of_events_annotates_days_like_a_list(spark):
     listed = [("2024-05-17 00:00:00", "2024-05-23 00:00:00", "a"), ("2024-05-23 08:00:00", "2024-05-24 00:00:00", "b")]
     table = filters.event_windows(spark, listed)
     assert sorted(rows(filters.annotate_events(days, table)), key=str) == sorted(rows(filters.annotate_events(days, listed)), key=str)
+
+
+def valued(spark, points):
+    """Readings at some moments; every seventh has no value."""
+    read = moments(spark, points).withColumn("value", F.when(F.col("i") % 7 > 0, F.col("i") * 1.25 - 400))
+    return read.withColumnRenamed("moment", "timestamp")
+
+
+@pytest.mark.parametrize("rows_of_block", [50, 1 << 18])
+def test_means_of_events_need_no_pairs(spark, monkeypatch, rows_of_block):
+    def pairs(*_):
+        raise AssertionError("every reading is paired with every event that covers it")
+
+    points, bounds = cases()
+    readings = valued(spark, points)
+    # two events of one key count as one of both lengths
+    events = intervals(spark, bounds + bounds[:40]).withColumn("event", F.when(F.col("event") < 500, F.col("event") % 400))
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", rows_of_block)
+    paired = rows(conditions.event_table_means(readings, ["value"], events, digits=2))
+    monkeypatch.setattr(conditions, "covering", pairs)
+    summed = conditions.event_table_means(readings, ["value"], events, digits=2, resolution=2)
+    assert sorted(rows(summed), key=str) == sorted(paired, key=str)
+    assert {r["readings"] for r in summed.collect()} > {0, 1}
+    none = conditions.event_table_means(readings, ["value"], events.limit(0), resolution=2)
+    assert none.collect() == []
+    empty = conditions.event_table_means(readings.limit(0), ["value"], events, resolution=2)
+    assert {(r["readings"], r["value_mean"]) for r in empty.collect()} == {(0, None)}
+
+
+@pytest.mark.parametrize("value", [0.125, float("nan"), float("inf"), 1e300])
+def test_a_value_finer_than_the_resolution_matters_where_it_is_covered(spark, value):
+    odd = moments(spark, [1, 5, 9]).withColumnRenamed("moment", "timestamp").withColumn(
+        "value", F.when(F.col("i") == 1, F.lit(value)).otherwise(F.lit(2.5))
+    )
+    beside = conditions.event_table_means(odd, ["value"], intervals(spark, [(0, 4), (6, 9)]), resolution=2)
+    assert [(r["readings"], r["value_mean"]) for r in beside.orderBy("event").collect()] == [(1, 2.5), (1, 2.5)]
+    with pytest.raises(Exception, match="more than 2 decimals"):
+        conditions.event_table_means(odd, ["value"], intervals(spark, [(0, 5)]), resolution=2).collect()
