@@ -103,7 +103,19 @@ def span_hashes(
     data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = FOLDED
 ) -> np.ndarray:
     """One hash for the bytes of each span; starts and ends both ascend."""
-    out = np.empty(len(starts), dtype=np.uint64)
+    return beginning_hashes(data, starts, ends, [], table)[0]
+
+
+def beginning_hashes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inner: list[tuple[np.ndarray, np.ndarray]],
+    table: np.ndarray = FOLDED,
+) -> list[np.ndarray]:
+    """:func:`span_hashes`, and for each of ``inner`` those of the beginnings of some spans.
+
+    ``inner`` has the numbers of these spans, which ascend, and where the beginnings end.
+    """
+    wanted = [(np.arange(len(starts)), ends), *inner]
+    out = [np.empty(len(which), dtype=np.uint64) for which, _ in wanted]
     i = 0
     while i < len(starts):
         origin = starts[i]
@@ -111,10 +123,12 @@ def span_hashes(
         up, down = _power(int(ends[j - 1] - origin) + 1)
         total = np.zeros(ends[j - 1] - origin + 1, dtype=np.uint64)
         np.cumsum(table[data[origin:ends[j - 1]]] * up[:len(total) - 1], out=total[1:])
-        s, e = starts[i:j] - origin, ends[i:j] - origin
-        out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+        for (which, stops), hashes in zip(wanted, out):
+            cut = slice(*np.searchsorted(which, (i, j)))
+            s, e = starts[which[cut]] - origin, stops[cut] - origin
+            hashes[cut] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
         i = j
-    return mix(out)
+    return [mix(hashes) for hashes in out]
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

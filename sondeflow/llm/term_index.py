@@ -22,8 +22,10 @@ from .store import saved
 #: Terms that are multiplied as a matrix: in more than a share of the examples, and at most so many.
 MATRIX_SHARE, MATRIX_TERMS = 0.05, 2048
 
-#: Texts, and postings unless a single text has more, that are added up at a time.
-QUERIES, POSTINGS = 64, 1 << 22
+#: Texts that are multiplied with the matrix at a time.
+QUERIES = 64
+
+_POSTING = np.dtype([("example", np.int32), ("weight", np.float32)])
 
 
 class TermIndex(NamedTuple):
@@ -33,7 +35,6 @@ class TermIndex(NamedTuple):
     idf: np.ndarray
     starts: np.ndarray
     posted: np.ndarray
-    posted_weights: np.ndarray
     ids: np.ndarray
 
     def weigh(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -48,7 +49,8 @@ class TermIndex(NamedTuple):
         column[common] = np.arange(len(common))
         vectors = np.zeros((len(common), len(self.ids)), dtype=np.float32)
         at, owner = self._postings(common)
-        vectors[owner, self.posted[at]] = self.posted_weights[at]
+        posted = self.posted[at]
+        vectors[owner, posted["example"]] = posted["weight"]
         return column, vectors
 
     def _postings(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,23 +69,17 @@ class TermIndex(NamedTuple):
         ``text`` ascends; every example that shares a term is multiplied.
         """
         column, vectors = matrix
-        size = np.where(column[term] < 0, self.starts[term + 1] - self.starts[term], 0)
+        held = column[term] >= 0
+        examples = len(self.ids)
         edges = np.searchsorted(text, np.arange(texts + 1))
-        upto = np.concatenate([[0], np.cumsum(size)])[edges]
-        examples, first = len(self.ids), 0
-        while first < texts:
-            last = int(np.searchsorted(upto, upto[first] + POSTINGS, side="right")) - 1
-            last = min(max(last, first + 1), first + QUERIES, texts)
+        rare = self._sparse_products(text[~held], texts, term[~held], weight[~held])
+        for first in range(0, texts, QUERIES):
+            last = min(first + QUERIES, texts)
             cut = slice(edges[first], edges[last])
-            row, terms, weights, held = text[cut] - first, term[cut], weight[cut], column[term[cut]] >= 0
+            row, terms, weights, dense = text[cut] - first, term[cut], weight[cut], held[cut]
             queries = np.zeros((last - first, len(vectors)), dtype=np.float32)
-            queries[row[held], column[terms[held]]] = weights[held]
-            at, owner = self._postings(terms[~held])
-            scores = np.bincount(
-                row[~held][owner] * examples + self.posted[at], weights[~held][owner] * self.posted_weights[at],
-                minlength=(last - first) * examples,
-            ).reshape(last - first, examples)
-            scores = scores + queries @ vectors
+            queries[row[dense], column[terms[dense]]] = weights[dense]
+            scores = queries @ vectors + [next(rare) for _ in range(first, last)]
             least = np.partition(scores, max(examples - k, 0), axis=1)[:, max(examples - k, 0)]
             for products, limit in zip(scores, least.tolist()):
                 # equal examples may differ in the last digits
@@ -91,7 +87,23 @@ class TermIndex(NamedTuple):
                 rounded = np.round(products[near] / max(products.max(), 1e-300), 6)
                 near = near[np.argsort(-rounded, kind="stable")][:k]
                 yield near, products[near]
-            first = last
+
+    def _sparse_products(
+        self, text: np.ndarray, texts: int, term: np.ndarray, weight: np.ndarray
+    ) -> Iterator[np.ndarray]:
+        """Products of each text with all examples by postings."""
+        edges = np.searchsorted(text, np.arange(texts + 1)).tolist()
+        # an example and its weight are fetched as one number
+        posted, examples = self.posted.view(np.int64), len(self.ids)
+        for first, last in zip(edges[:-1], edges[1:]):
+            terms = term[first:last]
+            size = self.starts[terms + 1] - self.starts[terms]
+            at = np.repeat(self.starts[terms] - (np.cumsum(size) - size), size)
+            at += np.arange(len(at))
+            found = posted.take(at, mode="clip").view(_POSTING)
+            products = np.repeat(weight[first:last], size)
+            products *= found["weight"]
+            yield np.bincount(found["example"], products, minlength=examples)
 
 
 def term_index(
@@ -105,9 +117,10 @@ def term_index(
     length = np.sqrt(np.bincount(example, weights ** 2, minlength=len(ids)))[example]
     weights = np.divide(weights, length, out=weights, where=length > 0).astype(np.float32)
     order = np.lexsort((place[example], terms))
+    posted = np.empty(len(order), _POSTING)
+    posted["example"], posted["weight"] = place[example[order]], weights[order]
     return TermIndex(
-        vocabulary, idf, np.searchsorted(terms[order], np.arange(len(vocabulary) + 1)),
-        place[example[order]].astype(np.int32), weights[order], np.sort(ids),
+        vocabulary, idf, np.searchsorted(terms[order], np.arange(len(vocabulary) + 1)), posted, np.sort(ids),
     )
 
 

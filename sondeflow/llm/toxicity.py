@@ -62,27 +62,32 @@ _NO_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]]
 
 
 def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms of a batch, and the number of the text of each."""
+    """Hashes of all terms of a batch, and the number of the text of each, which ascends per kind of term."""
     starts, ends, words = H.word_spans(data, offsets, _NO_LETTER)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(words))
-    hashes, texts = [H.span_hashes(data, starts, ends)], [text]
     at = H.characters(data)
     first = np.searchsorted(at, starts)
-    for width, mark in _PREFIX_MARKS.items():
+    inner = []
+    for width in _PREFIX_MARKS:
         stop = at[np.minimum(first + width, len(at) - 1)]
-        longer = stop < ends
-        prefix = H.span_hashes(data, starts[longer], stop[longer])
-        hashes.append(H.mix(prefix ^ mark))
-        texts.append(text[longer])
-    return np.concatenate(hashes), np.concatenate(texts)
+        longer = np.flatnonzero(stop < ends)
+        inner.append((longer, stop[longer]))
+    hashes, *prefixes = H.beginning_hashes(data, starts, ends, inner)
+    marked = [H.mix(prefix ^ mark) for prefix, mark in zip(prefixes, _PREFIX_MARKS.values())]
+    return np.concatenate([hashes, *marked]), np.concatenate([text, *[text[longer] for longer, _ in inner]])
 
 
 def _counts(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (text, term) pairs in order, and how often each occurs."""
-    order = np.lexsort((term, text))
+    order = np.argsort(text, kind="stable")
     text, term = text[order], term[order]
+    edges = np.flatnonzero(text[1:] != text[:-1]) + 1
+    # many short sorts are faster than one by two keys
+    for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(text)]):
+        term[s:e].sort()
     new = np.ones(len(text), dtype=bool)
-    new[1:] = (text[1:] != text[:-1]) | (term[1:] != term[:-1])
+    new[1:] = term[1:] != term[:-1]
+    new[edges] = True
     first = np.flatnonzero(new)
     return text[first], term[first], np.diff(np.append(first, len(text)))
 
@@ -102,25 +107,49 @@ def term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["doc_id", "label", "terms", "counts"])
 
 
-def _term_counts(batch: pa.RecordBatch, vocabulary: np.ndarray):
+def _term_counts(batch: pa.RecordBatch, vocabulary: np.ndarray, begins: np.ndarray):
     """Counts of a batch's terms: (text, hash, count, number of the term, whether it has one)."""
     data, offsets = H.buffers(batch.column("text"))
     hashes, texts = term_hashes(data, offsets)
     text, term, count = _counts(texts, hashes)
     if not len(vocabulary):
         return text, term, count, np.zeros(len(term), np.int64), np.zeros(len(term), bool)
-    place = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
+    place = places(vocabulary, begins, term)
     return text, term, count, place, vocabulary[place] == term
 
 
+def begins_of(vocabulary: np.ndarray) -> np.ndarray:
+    """Where the hashes that begin with some bits start in a sorted vocabulary, bits enough for few to each."""
+    bits = max(len(vocabulary), 2).bit_length()
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.searchsorted(vocabulary, edges)
+
+
+def places(vocabulary: np.ndarray, begins: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """The place of each hash in the vocabulary, or that of the next one, of the last one beyond it.
+
+    What a binary search gives; hashes are spread evenly, so a few steps from a table do.
+    """
+    last = len(vocabulary) - 1
+    shift = np.uint64(64 - (len(begins).bit_length() - 1))
+    place = np.minimum(begins[(term >> shift).view(np.int64)], last)
+    behind = np.flatnonzero(vocabulary[place] < term)
+    while len(behind):
+        place[behind] += 1
+        behind = behind[place[behind] <= last]
+        behind = behind[vocabulary[place[behind]] < term[behind]]
+    return np.minimum(place, last)
+
+
 def frequency_batches(vocabulary: np.ndarray):
     """mapInArrow function: in how many texts of the partition each term occurs."""
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins = begins_of(vocabulary)
         total = np.zeros(len(vocabulary), dtype=np.int64)
         for whole in batches:
             for batch in H.slices(whole, "text"):
-                *_, place, known = _term_counts(batch, vocabulary)
+                *_, place, known = _term_counts(batch, vocabulary, begins)
                 total += np.bincount(place[known], minlength=len(vocabulary))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -194,21 +223,32 @@ class BlockMaxIndex(NamedTuple):
         """
         bounds = queries @ self.largest
         blocks = bounds.shape[1]
-        scores = np.zeros((len(queries), len(self.labels)), dtype=np.float32)
+        # no score is negative, so places that are not scored do not rank
+        scores = np.zeros((len(queries), blocks, BLOCK_ROWS), dtype=np.float32)
         head = np.argpartition(-bounds, min(HEAD_BLOCKS, blocks) - 1, axis=1)[:, :HEAD_BLOCKS]
         open_ = np.zeros(bounds.shape, dtype=bool)
         np.put_along_axis(open_, head, True, axis=1)
-        done = np.zeros(bounds.shape, dtype=bool)
-        for _ in range(2):
+
+        def score() -> None:
             for block in np.flatnonzero(open_.any(axis=0)).tolist():
                 rows = np.flatnonzero(open_[:, block])
-                s = block * BLOCK_ROWS
-                scores[rows, s:s + BLOCK_ROWS] = self._score_block(block, queries[rows])
-            done |= open_
-            cut = max(scores.shape[1] - k, 0)
-            least = np.partition(scores, cut, axis=1)[:, cut]
-            # sums of floats in another order differ in the last digits
-            open_ = ~done & (bounds > 0) & (bounds >= least[:, None] - 1e-5)
+                cosines = self._score_block(block, queries[rows])
+                scores[rows, block, :cosines.shape[1]] = cosines
+
+        def least_of(some: np.ndarray) -> np.ndarray:
+            some = some.reshape(len(some), some.shape[1] * BLOCK_ROWS)
+            cut = max(some.shape[1] - k, 0)
+            return np.partition(some, cut, axis=1)[:, cut]
+
+        score()
+        least = least_of(np.take_along_axis(scores, head[:, :, None], axis=1))
+        done = open_
+        # sums of floats in another order differ in the last digits
+        open_ = ~done & (bounds > 0) & (bounds >= least[:, None] - 1e-5)
+        score()
+        more = np.flatnonzero(open_.any(axis=1))
+        least[more] = least_of(scores[more])
+        scores = scores.reshape(len(queries), blocks * BLOCK_ROWS)
         found = []
         for row, limit in zip(scores, least):
             near = np.flatnonzero((row >= limit) & (row > 0))
@@ -271,11 +311,11 @@ def score_batches(shared, shares: tuple[float, float], prior: float):
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, telling, whole_texts = shared.value
-        matrix = whole_texts.matrix()
+        matrix, begins = whole_texts.matrix(), begins_of(whole_texts.vocabulary)
         for whole in batches:
             for batch in H.slices(whole, "text", SCORED_BYTES):
                 n = batch.num_rows
-                text, term, count, place, known = _term_counts(batch, whole_texts.vocabulary)
+                text, term, count, place, known = _term_counts(batch, whole_texts.vocabulary, begins)
                 rest = pa.array(np.searchsorted(text[~known], np.arange(n + 1)), pa.int32())
                 others, other_counts = term[~known].view(np.int64), count[~known]
                 text, place, count = text[known], place[known], count[known]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from awkward import AWKWARD
 
-from sondeflow.llm import labelled, quality_classifier, toxicity
+from sondeflow.llm import labelled, quality_classifier, term_index, toxicity
 from sondeflow.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -59,6 +60,63 @@ def test_prefixes_and_words_are_terms():
     assert len(terms[0] & terms[1]) == 1  # the five-character beginning
 
 
+def test_terms_are_counted_and_found_like_by_plain_search():
+    rng = np.random.default_rng(11)
+    texts = ["", "Abcdefghij abcdefg abcdefghijkl x", "ä" * 9 + " äääää b", "", *[
+        " ".join("".join(rng.choice(list("abü"), rng.integers(1, 12))) for _ in range(rng.integers(0, 60))) for _ in range(50)
+    ], ""]
+    data, offsets = toxicity.H.buffers(pa.array(texts))
+    hashes, owner = toxicity.term_hashes(data, offsets)
+    starts, ends, _ = toxicity.H.word_spans(data, offsets, toxicity._NO_LETTER)
+    some = np.arange(0, len(starts), 3)
+    stops = (starts[some] + ends[some] + 1) // 2
+    whole, begun = toxicity.H.beginning_hashes(data, starts, ends, [(some, stops)])
+    assert (whole == toxicity.H.span_hashes(data, starts, ends)).all()
+    assert (begun == toxicity.H.span_hashes(data, starts[some], stops)).all()
+
+    pairs, times = np.unique(np.array(list(zip(owner.tolist(), hashes.tolist())), np.uint64), axis=0, return_counts=True)
+    text, term, count = toxicity._counts(owner, hashes)
+    assert (text == pairs[:, 0]).all() and (term == pairs[:, 1]).all() and (count == times).all()
+    assert [len(x) for x in toxicity._counts(owner[:0], hashes[:0])] == [0, 0, 0]
+    least, most = np.uint64(0), np.uint64(2**64 - 1)
+    for vocabulary in (np.unique(term)[::2], np.arange(300, dtype=np.uint64), np.array([least, most]), term[:1]):
+        sought = np.concatenate([term, vocabulary, [least, most], vocabulary + np.uint64(1)])
+        found = toxicity.places(vocabulary, toxicity.begins_of(vocabulary), sought)
+        assert (found == np.minimum(np.searchsorted(vocabulary, sought), len(vocabulary) - 1)).all()
+
+
+def test_products_take_the_postings_of_one_text_at_a_time():
+    rng = np.random.default_rng(4)
+    examples, terms, texts = 2000, 3000, 40
+    lists = [rng.choice(terms, 120, replace=False) for _ in range(examples)]
+    bounds = np.arange(examples + 1) * 120
+    counts = rng.integers(1, 5, examples * 120)
+    idf = rng.uniform(0.1, 5, terms)
+    index = term_index.term_index(
+        np.arange(examples), bounds, np.concatenate(lists), counts, np.arange(terms, dtype=np.uint64), idf
+    )
+    text = np.repeat(np.arange(texts), 900)[900:]  # the first has no term
+    term = np.concatenate([np.sort(rng.choice(terms, 900, replace=False)) for _ in range(texts - 1)])
+    weight = rng.uniform(0.1, 3, len(term))
+    matrix = index.matrix()
+    assert (matrix[0] < 0).any()
+    tracemalloc.start()
+    found = list(index.products(matrix, text, texts, term, weight, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32e6  # all postings at once took 100 MB
+
+    vectors = np.zeros((examples, terms))
+    vectors[np.repeat(np.arange(examples), 120), np.concatenate(lists)] = (1 + np.log(counts)) * idf[np.concatenate(lists)]
+    vectors /= np.sqrt((vectors ** 2).sum(axis=1, keepdims=True))
+    queries = np.zeros((texts, terms))
+    queries[text, term] = weight
+    assert len(found) == texts and len(found[0][0]) == 0
+    for (near, products), wanted in zip(found[1:], (queries @ vectors.T)[1:]):
+        assert np.allclose(products, np.sort(wanted)[::-1][:3], rtol=1e-5)
+        assert np.allclose(wanted[near], products, rtol=1e-5)
+
+
 def index_of(rng, examples, terms):
     idf = rng.uniform(0.1, 5, terms)
     rows = []
