@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .store import saved
 
 #: Terms that are multiplied as a matrix: in more than a share of the examples, and at most so many.
-MATRIX_SHARE, MATRIX_TERMS = 0.05, 2048
+MATRIX_SHARE, MATRIX_TERMS = 0.08, 2048
 
 #: Texts that are multiplied with the matrix at a time.
 QUERIES = 64

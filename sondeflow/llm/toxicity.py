@@ -206,14 +206,14 @@ class BlockMaxIndex(NamedTuple):
         length = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
         return np.divide(vectors, length, out=vectors, where=length > 0)
 
-    def _score_block(self, block: int, queries: np.ndarray) -> np.ndarray:
-        """Cosines of some dense queries with the examples of a block."""
+    def _score_block(self, block: int, queries: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Cosines of some of the dense queries with the examples of a block."""
         s, e = block * BLOCK_ROWS, min((block + 1) * BLOCK_ROWS, len(self.labels))
         cut = slice(self.rows[s], self.rows[e])
         used, column = np.unique(self.terms[cut], return_inverse=True)
         vectors = np.zeros((len(used), e - s), dtype=np.float32)
         vectors[column, np.repeat(np.arange(e - s), np.diff(self.rows[s:e + 1]))] = self.weights[cut]
-        return queries[:, used] @ vectors
+        return queries[some[:, None], used] @ vectors
 
     def nearest(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ``k`` most similar examples of each dense query and their cosines, best first.
@@ -232,7 +232,7 @@ class BlockMaxIndex(NamedTuple):
         def score() -> None:
             for block in np.flatnonzero(open_.any(axis=0)).tolist():
                 rows = np.flatnonzero(open_[:, block])
-                cosines = self._score_block(block, queries[rows])
+                cosines = self._score_block(block, queries, rows)
                 scores[rows, block, :cosines.shape[1]] = cosines
 
         def least_of(some: np.ndarray) -> np.ndarray:
